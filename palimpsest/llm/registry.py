@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from palimpsest.llm import (
     bit_sliced_topk,
+    curriculum_mix,
     digest_log,
+    histogram_shards,
+    tiered_packing,
+    warc_zst,
 )
 
 _MODULES = (
+    histogram_shards,
     digest_log,
+    curriculum_mix,
+    warc_zst,
+    tiered_packing,
     bit_sliced_topk,
 )
 
