@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from palimpsest.llm import (
     bit_sliced_topk,
+    counterfactual_toxicity,
     curriculum_mix,
     digest_log,
     histogram_shards,
+    line_windows,
     tiered_packing,
     warc_zst,
 )
@@ -15,8 +17,10 @@ _MODULES = (
     histogram_shards,
     digest_log,
     curriculum_mix,
+    line_windows,
     warc_zst,
     tiered_packing,
+    counterfactual_toxicity,
     bit_sliced_topk,
 )
 
