@@ -35,7 +35,7 @@ TRAIN_ROWS = 16_000
 FEATURES = 1 << 22
 STEPS = 150
 #: Weight of the squared score change under a swap, and of the weights' absolute size.
-COUNTERFACTUAL, SPARSITY = 4.0, 2e-4
+COUNTERFACTUAL, SPARSITY = 4.0, 3e-5
 #: Least difference between the classes, in standard errors, for a word to be fitted.
 SCREEN = 3.0
 REMEMBERED_WORDS = 400_000
