@@ -1 +1,8 @@
-"""Conversation-memory analytics as Spark DataFrame plans."""
+"""Conversation-memory analytics and training-data operators on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
