@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palimpsest.llm import (
     bit_sliced_topk,
+    chosen_path_join,
     counterfactual_toxicity,
     curriculum_mix,
     digest_log,
@@ -20,6 +21,7 @@ _MODULES = (
     line_windows,
     warc_zst,
     tiered_packing,
+    chosen_path_join,
     counterfactual_toxicity,
     bit_sliced_topk,
 )
