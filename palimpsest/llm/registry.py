@@ -5,6 +5,7 @@ from __future__ import annotations
 from palimpsest.llm import (
     bit_sliced_topk,
     chosen_path_join,
+    context_mixing,
     counterfactual_toxicity,
     curriculum_mix,
     digest_log,
@@ -18,6 +19,7 @@ _MODULES = (
     histogram_shards,
     digest_log,
     curriculum_mix,
+    context_mixing,
     line_windows,
     warc_zst,
     tiered_packing,
