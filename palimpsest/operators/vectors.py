@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +46,45 @@ def nearest_owners(vectors: DataFrame, owners: DataFrame, query: DataFrame, pool
     return best.withColumn("rank", F.row_number().over(Window.orderBy("best", "owner")) - 1).filter(F.col("rank") < pool).drop("best")
 
 
-def similar_pairs(vectors: DataFrame, least: float, most: int) -> DataFrame:
-    """Undirected pairs of vectors of one group whose cosine is at least ``least``, ``most`` for each vector.
+def _packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("vec_id")
+    matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    return pd.DataFrame(
+        {"block": [key[0]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "width": [matrix.shape[1]], "cells": [matrix.tobytes()]}
+    )
+
+
+def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
+    n = max(1, -(-vectors.count() // size))
+    keyed = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
+    return keyed.groupBy("block").applyInPandas(_packed, "block long, ids binary, width int, cells binary"), n
 
-    ``label`` is the group: candidates meet by an equi-join on it, not in a cross join.
+
+def similar_pairs(vectors: DataFrame, queries: DataFrame, least: float, most: int, block_rows: int = 2048) -> DataFrame:
+    """For each query vector its ``most`` best others of cosine ``least`` or more, as undirected pairs (a, b, cosine).
+
+    Blocks of queries meet blocks of vectors one by one; a meeting gives ``most`` rows for each query.
     """
-    a = vectors.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
-    b = vectors.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, "label").filter("a <> b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("cosine")).filter(F.col("cosine") >= least)
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    chosen = pairs.withColumn("nth", nth).filter(F.col("nth") <= most)
-    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").distinct()
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                mine, theirs = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
+                scores = np.frombuffer(row.q_cells).reshape(-1, row.q_width) @ np.frombuffer(row.cells).reshape(-1, row.width).T
+                scores = np.round(scores, 6)
+                scores[(mine[:, None] == theirs[None, :]) | (scores < least)] = -np.inf
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :most]  # identifiers ascend, so ties go to the smaller
+                q, nth = np.nonzero(np.isfinite(np.take_along_axis(scores, best, axis=1)))
+                found = best[q, nth]
+                yield pd.DataFrame({"q": mine[q], "v": theirs[found], "cosine": scores[q, found]})
+
+    held, n = _blocks(vectors, block_rows)
+    asked, m = _blocks(queries, block_rows)
+    asked = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("cells").alias("q_cells"))
+    pairs = held.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))).join(
+        asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), ["block", "q_block"]
+    )
+    hits = pairs.mapInPandas(meet, "q long, v long, cosine double")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "v"))
+    chosen = hits.withColumn("nth", nth).filter(F.col("nth") <= most)
+    return chosen.select(F.least("q", "v").alias("a"), F.greatest("q", "v").alias("b"), "cosine").distinct()
