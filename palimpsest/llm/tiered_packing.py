@@ -22,7 +22,7 @@ empty result; columns of the input beside identifier and text are not read.
 from __future__ import annotations
 
 import heapq
-import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -37,9 +37,9 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 POOL_TOKENS = 2_000_000
 GROUP_TOKENS = 65_536
-#: Words whose ids a worker remembers; it starts anew beyond.
-REMEMBERED_WORDS = 400_000
-_GAP = re.compile(r"[ \t\r\n]+")
+#: Words whose ids a worker remembers, long ones aside; it starts anew beyond.
+REMEMBERED_WORDS, LONG_WORD = 1_000_000, 100
+_MARKS = ".,;:!?)"
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, "
@@ -67,14 +67,34 @@ class WordEncoder:
         self._known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_GAP.split(t) for t in texts]
+        # white space at which every step of the tokenizer breaks
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self._known) > REMEMBERED_WORDS:
             self._known.clear()
         known = self._known
-        fresh = list({w for words in split for w in words if w not in known})
-        for word, one in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[word] = b"".join(i.to_bytes(4, "little") for i in one.ids)
-        return [b"".join([known[w] for w in words]) for words in split]
+        fresh = set().union(*split).difference(known)
+        pieces = {w: _pieces(w) for w in fresh}
+        self._encode(list(set().union(*pieces.values()).difference(known)))
+        for word, parts in pieces.items():
+            known[word] = b"".join([known[p] for p in parts])
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in [w for w in fresh if len(w) > LONG_WORD]:
+            del known[word]
+        return out
+
+    def _encode(self, words: list[str]) -> None:
+        for word, one in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            ids = one.ids
+            self._known[word] = struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _pieces(word: str) -> tuple[str, ...]:
+    """ASCII letters in lower case and the marks after them are words of their own to the tokenizer; anything else stays."""
+    if word.isascii():
+        core = word.rstrip(_MARKS)
+        if core.isalpha():
+            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
+    return (word,)
 
 
 class _Shelf:
