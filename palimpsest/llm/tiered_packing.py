@@ -22,10 +22,10 @@ empty result; columns of the input beside identifier and text are not read.
 from __future__ import annotations
 
 import heapq
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +56,7 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of a text, as little-endian 32-bit bytes, by the words between blanks.
 
+    ASCII letters and the marks after them are pieces of their own to the tokenizer.
     The tokenizer drops white space and never joins what stands on both sides
     of it, so a text's ids are those of its words, one after another.
     """
@@ -65,6 +66,10 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
+        vocabulary = self._tokenizer.get_vocab()
+        #: by id: whether it ends a word
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # white space at which every step of the tokenizer breaks
@@ -73,28 +78,27 @@ class WordEncoder:
             self._known.clear()
         known = self._known
         fresh = set().union(*split).difference(known)
-        pieces = {w: _pieces(w) for w in fresh}
-        self._encode(list(set().union(*pieces.values()).difference(known)))
-        for word, parts in pieces.items():
-            known[word] = b"".join([known[p] for p in parts])
+        words = {w: (core, w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha() and core.isascii()}
+        cores = list({core.lower() for core, _ in words.values()}.difference(known))
+        known.update(zip(cores, self._of_pieces(cores), strict=True))
+        others = list({m for _, m in words.values()}.union(fresh.difference(words)).difference(known))
+        for word, one in zip(others, self._tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            known[word] = np.array(one.ids, "<u4").tobytes()
+        for word, (core, marks) in words.items():
+            known[word] = known[core.lower()] + known[marks]
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in [w for w in fresh if len(w) > LONG_WORD]:
             del known[word]
         return out
 
-    def _encode(self, words: list[str]) -> None:
-        for word, one in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = one.ids
-            self._known[word] = struct.pack(f"<{len(ids)}I", *ids)
-
-
-def _pieces(word: str) -> tuple[str, ...]:
-    """ASCII letters in lower case and the marks after them are words of their own to the tokenizer; anything else stays."""
-    if word.isascii():
-        core = word.rstrip(_MARKS)
-        if core.isalpha():
-            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
-    return (word,)
+    def _of_pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one piece each to the tokenizer: encoded together, cut after each id that ends a word."""
+        if not words:
+            return []
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        return [data[begin:end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class _Shelf:
