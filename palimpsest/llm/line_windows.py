@@ -63,7 +63,8 @@ def drop_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         F.col(id_col).alias("id"), F.col(text_col).alias("body"),
         F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_tag"),
     )
-    joined = rows.join(covered, (F.col("text_tag") == F.col("tag")) & F.col("id").eqNullSafe(F.col("doc")), "left")
+    # what is covered has no bound, so it is never broadcast
+    joined = rows.join(covered.hint("merge"), (F.col("text_tag") == F.col("tag")) & F.col("id").eqNullSafe(F.col("doc")), "left")
     lines = _lines(F.col("body"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
     cleaned = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("line_list"), i + 1)), "\n")
