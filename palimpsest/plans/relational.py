@@ -275,7 +275,8 @@ _ENTRIES = "entries AS (SELECT o_orderkey AS id, o_custkey AS topic, o_orderdate
 def latest_superseding(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_orderdate as d", "case when o_orderkey % 3 = 0 then o_orderkey - 2 end as supersedes")
     newest = entries.filter("supersedes is not null").groupBy("supersedes").agg(F.max_by("id", F.struct("d", "id")).alias("superseded_by"))
-    return entries.join(newest, entries["id"] == newest["supersedes"], "left").select("id", "superseded_by")
+    newest = newest.select(F.col("supersedes").alias("old"), "superseded_by")
+    return entries.select("id").join(newest, F.col("id") == F.col("old"), "left").select("id", "superseded_by")
 
 
 _DOT = "round(list_inner_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[])), 9)"
