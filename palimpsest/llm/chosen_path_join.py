@@ -5,8 +5,7 @@ at each level a set goes on with those of its n-grams whose hash falls below a
 rate over the set's size, so two sets take a common step with a chance that
 grows with what they share, and buckets are the sets that took the same steps.
 Buckets that are small are compared by brute force; large ones are split again,
-unless splitting keeps most of them together, which is what a group of near
-copies does. Runs are repeated until the share of links seen before, among
+unless most of their sets would take the same least step, as near copies do. Runs are repeated until the share of links seen before, among
 those that the last run meets, reaches the target recall.
 
 Texts with one n-gram set are one node from the start, so copies are never
@@ -128,19 +127,17 @@ def leaves(sets: DataFrame, small: int) -> DataFrame:
         large = members.filter(F.col("sets") > small)
         if large.isEmpty():
             return found
-        step = large.join(sets.select("sid", f"level_{level}"), "sid").withColumn("step", F.explode(f"level_{level}"))
-        step = step.filter(F.col("step").bitwiseAND(15) == F.col("path").bitwiseAND(15)).select(
-            "sid", "tokens", F.col("path").alias("parent"), F.col("sets").alias("parent_sets"),
-            F.xxhash64("path", "step").bitwiseAND(~15).bitwiseOR(F.col("path").bitwiseAND(15)).alias("path"),
-        )
-        split = _counted(step, "split-paths")
-        together = materialize(
-            split.groupBy("parent", "parent_sets").agg(F.max("sets").alias("most"))
-            .filter(F.col("most") * 2 >= F.col("parent_sets")).select("parent"), "unsplit",
-        )
-        found = found.unionByName(large.join(together, F.col("path") == F.col("parent"), "left_semi"))
-        members = split.join(together, "parent", "left_anti").select("path", "sid", "tokens", "sets", "held")
-        members = members.dropDuplicates(["path", "sid"])
+        same_run = lambda step: step.bitwiseAND(15) == F.col("path").bitwiseAND(15)
+        steps = large.join(sets.select("sid", F.col(f"level_{level}").alias("steps")), "sid").withColumn("steps", F.filter("steps", same_run))
+        steps = materialize(steps, "steps")
+        # sets that are nearly alike share their least step; such buckets are not split
+        alike = steps.groupBy("path", "sets", F.array_min("steps").alias("least")).agg(F.count("*").alias("n")).filter("least is not null")
+        together = materialize(alike.groupBy("path", "sets").agg(F.max("n").alias("n")).filter("n * 2 >= sets").select("path"), "unsplit")
+        found = found.unionByName(large.join(together, "path", "left_semi"))
+        step = steps.join(together, "path", "left_anti").withColumn("step", F.explode("steps")).select(
+            "sid", "tokens", F.xxhash64("path", "step").bitwiseAND(~15).bitwiseOR(F.col("path").bitwiseAND(15)).alias("path")
+        )
+        members = _counted(step, "split-paths")
         found = found.unionByName(members if level == LEVELS - 1 else members.filter(F.col("sets") <= small))
     return found
 
@@ -231,15 +228,34 @@ def _compare(rows: list, similarity: tuple[int, int], last: int) -> list[tuple]:
     return [(everyone[x].sid, everyone[least[x]].sid, *(int(c[x]) for c in counts)) for x in some]
 
 
+def blocked(members: DataFrame) -> DataFrame:
+    """Members by pairs of blocks (i, j) of their bucket; ``side`` says which of the two a member is in.
+
+    Members of a large bucket that share their first earlier bucket have met there, so blocks of them do not meet here.
+    """
+    alone = members.filter((F.col("sets") <= BLOCK_SETS) & (F.col("held") <= BLOCK_TOKENS))
+    whole = F.lit("pool:0")
+    alone = alone.select("*", whole.alias("i"), whole.alias("j"), F.lit(0).alias("side"))
+    large = members.filter((F.col("sets") > BLOCK_SETS) | (F.col("held") > BLOCK_TOKENS)).withColumn("met", F.get("earlier", F.lit(0)))
+    base = F.when(F.col("met").isNotNull() & (F.col("n") * 2 >= BLOCK_SETS), F.hex("met")).otherwise("pool")
+    groups = large.groupBy("path", "met").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).withColumn("base", base)
+    count = F.greatest(F.ceil(F.sum("n") / BLOCK_SETS), F.ceil(F.sum("t") / BLOCK_TOKENS)).cast("int")
+    sizes = groups.groupBy("path", "base").agg(count.alias("blocks"))
+    named = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct("base", F.concat("base", F.lit(":"), b).alias("label")))
+    every = sizes.groupBy("path").agg(F.flatten(F.collect_list(named)).alias("others"))
+    groups = materialize(groups.select("path", "met", "base").join(sizes, ["path", "base"]).join(every, "path"), "blocks").alias("g")
+    large = large.alias("m").join(groups, (F.col("m.path") == F.col("g.path")) & F.col("m.met").eqNullSafe(F.col("g.met")))
+    label = F.concat("base", F.lit(":"), F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    apart = F.filter("others", lambda o: (o["base"] != F.col("base")) | (F.col("base") == "pool"))
+    large = large.select("m.*", label.alias("label"), F.explode(apart).alias("other")).withColumn("with", F.col("other.label"))
+    pair = (F.least("label", "with").alias("i"), F.greatest("label", "with").alias("j"), (F.col("label") > F.col("with")).cast("int").alias("side"))
+    return alone.unionByName(large.select(*(c for c in alone.columns if c not in ("i", "j", "side")), *pair))
+
+
 def links(members: DataFrame, elements: DataFrame, similarity: tuple[int, int], last: int) -> DataFrame:
     """Brute force in blocks: (sid, other, links, met, known) for each set in each pair of blocks."""
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_TOKENS), F.lit(1)).cast("int")
-    dealt = members.join(elements, "sid").withColumn("blocks", blocks)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "path", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
-        (F.col("block") > F.col("with")).cast("int").alias("side"), "sid", "tokens", "copies", "earlier", "buckets", "elements",
-    )
+    columns = ("path", "i", "j", "side", "sid", "tokens", "copies", "earlier", "buckets")
+    dealt = blocked(members).select(*columns).join(elements, "sid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key = [], None
@@ -292,14 +308,13 @@ def similar(
     runs: int = RUNS,
 ) -> DataFrame:
     """(doc_id, tag, class_id, links, class_label) for every row: its class and how many other rows are similar to it."""
-    rows = materialize(sketched(docs, id_col, text_col, words, MOST_RUNS), "sketched")
+    rows = materialize(sketched(docs, id_col, text_col, words, runs), "sketched")
     copies = rows.groupBy("sid").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tag")).alias("one")
     )
     copies = materialize(copies, "copies")
     while True:
-        limited = [F.filter(f"level_{i}", lambda x: x.bitwiseAND(15) < runs).alias(f"level_{i}") for i in range(LEVELS)]  # noqa: B023
-        sets = rows.select("sid", "tokens", *limited).dropDuplicates(["sid"])
+        sets = rows.drop("doc_id", "tag").dropDuplicates(["sid"])
         found = materialize(leaves(sets, small_bucket), "leaves")
         members = compared(found)
         held = found.groupBy("path").agg(F.max("held").alias("held"))
@@ -311,6 +326,7 @@ def similar(
         if runs >= MOST_RUNS or not seen["met"] or seen["known"] >= target_recall * seen["met"]:
             break
         runs = min(MOST_RUNS, runs + MORE_RUNS)
+        rows = materialize(sketched(docs, id_col, text_col, words, runs), "sketched")
     labels = components(met)
     of_sets = copies.join(met.groupBy("sid").agg(F.sum("links").alias("linked")), "sid", "left").join(labels, "sid", "left")
     of_sets = of_sets.select(
