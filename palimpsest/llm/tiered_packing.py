@@ -22,6 +22,7 @@ empty result; columns of the input beside identifier and text are not read.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -56,7 +57,7 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of a text, as little-endian 32-bit bytes, by the words between blanks.
 
-    ASCII letters and the marks after them are pieces of their own to the tokenizer.
+    Letters, and the marks after them, are pieces of their own to the tokenizer.
     The tokenizer drops white space and never joins what stands on both sides
     of it, so a text's ids are those of its words, one after another.
     """
@@ -64,6 +65,7 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core for each task is Spark's to give
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
         vocabulary = self._tokenizer.get_vocab()
@@ -78,14 +80,14 @@ class WordEncoder:
             self._known.clear()
         known = self._known
         fresh = set().union(*split).difference(known)
-        words = {w: (core, w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha() and core.isascii()}
-        cores = list({core.lower() for core, _ in words.values()}.difference(known))
+        words = {w: (_folded(core), w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha()}
+        cores = list({core for core, _ in words.values()}.difference(known))
         known.update(zip(cores, self._of_pieces(cores), strict=True))
         others = list({m for _, m in words.values()}.union(fresh.difference(words)).difference(known))
         for word, one in zip(others, self._tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             known[word] = np.array(one.ids, "<u4").tobytes()
         for word, (core, marks) in words.items():
-            known[word] = known[core.lower()] + known[marks]
+            known[word] = known[core] + known[marks]
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in [w for w in fresh if len(w) > LONG_WORD]:
             del known[word]
@@ -101,6 +103,11 @@ class WordEncoder:
         return [data[begin:end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def _folded(word: str) -> str:
+    """ASCII words in lower case, as the tokenizer takes them; how it folds others is left to it."""
+    return word.lower() if word.isascii() else word
+
+
 class _Shelf:
     """Pieces (document, start, length) by length; the longest that fits is found by bit arithmetic."""
 
