@@ -155,7 +155,7 @@ def epoch(text: Column) -> Column:
 def recency(seconds: Column, now: int, half_life_days: float = 30.0, floor: float = 0.15) -> Column:
     """1 for now and later, halved each half-life down to a floor; 0.5 for an unknown time."""
     age = F.greatest(F.lit(0.0), (F.lit(now) - seconds) / 86400.0)
-    return F.coalesce(F.greatest(F.lit(floor), F.pow(F.lit(0.5), age / half_life_days)), F.lit(0.5))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(floor), F.pow(F.lit(0.5), age / half_life_days))).otherwise(0.5)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 LIGHT, MOST_ERRORS = 50, 60
@@ -20,7 +20,8 @@ PROGRESS = (
 )
 SPINNER = r"^[\s|/\-\\]+$"
 
-_ORDER = Window.partitionBy("key").orderBy("pos")
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("key").orderBy("pos")
 
 
 def lines(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -39,14 +40,14 @@ def _blank(line: Column) -> Column:
 
 
 def collapse_blanks(held: DataFrame) -> DataFrame:
-    again = _blank(F.col("line")) & F.coalesce(_blank(F.lag("line").over(_ORDER)), F.lit(False))
+    again = _blank(F.col("line")) & F.coalesce(_blank(F.lag("line").over(_in_order())), F.lit(False))
     return held.withColumn("again", again).filter(~F.col("again")).drop("again")
 
 
 def runs(held: DataFrame) -> DataFrame:
     """(key, pos, line, n): equal neighbours as one row; blank lines each for itself."""
-    same = (F.col("line") == F.lag("line").over(_ORDER)) & ~_blank(F.col("line"))
-    numbered = held.withColumn("fresh", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(_ORDER))
+    same = (F.col("line") == F.lag("line").over(_in_order())) & ~_blank(F.col("line"))
+    numbered = held.withColumn("fresh", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(_in_order()))
     return numbered.groupBy("key", "run").agg(F.min("pos").alias("pos"), F.first("line").alias("line"), F.count("*").alias("n")).drop("run")
 
 
@@ -58,14 +59,14 @@ def compress(rows: DataFrame, key: str, text: str) -> DataFrame:
     held = held.withColumn("line", F.when(F.col("n") > 1, F.concat("line", F.lit("  (×"), "n", F.lit(")"))).otherwise(F.col("line")))
     everyone = Window.partitionBy("key")
     held = (
-        held.withColumn("bad", F.col("line").rlike(ERROR)).withColumn("nth", F.row_number().over(_ORDER))
+        held.withColumn("bad", F.col("line").rlike(ERROR)).withColumn("nth", F.row_number().over(_in_order()))
         .withColumn("count", F.count("*").over(everyone)).withColumn("any_bad", F.max("bad").over(everyone))
     )
     head = F.when(F.col("any_bad"), WITH_ERRORS[0]).otherwise(WITHOUT[0])
     tail = F.when(F.col("any_bad"), WITH_ERRORS[1]).otherwise(WITHOUT[1])
     whole = (F.col("count") <= LIGHT) | (F.col("count") <= head + tail)
     middle = ~whole & (F.col("nth") > head) & (F.col("nth") <= F.col("count") - tail)
-    held = held.withColumn("middle", middle).withColumn("nth_bad", F.when(middle & F.col("bad"), F.sum((middle & F.col("bad")).cast("int")).over(_ORDER)))
+    held = held.withColumn("middle", middle).withColumn("nth_bad", F.when(middle & F.col("bad"), F.sum((middle & F.col("bad")).cast("int")).over(_in_order())))
     kept = held.withColumn("keep", ~middle | (F.col("nth_bad") <= MOST_ERRORS)).withColumn("keep", F.coalesce("keep", F.lit(False)))
     out = kept.groupBy("key").agg(
         F.count_if("keep").alias("n_kept"), F.count_if(~F.col("keep")).alias("omitted"), F.max("middle").alias("cut"), F.max("any_bad").alias("any_bad"),

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 DIMS = 64
 
@@ -33,7 +34,7 @@ def metrics(best: DataFrame) -> DataFrame:
     return best.groupBy("kind").agg(F.count("*").alias("queries"), *(hit(k) for k in (1, 3, 10, 40)), rank)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
     """Signed hashed words at unit length; a model of the same shape can take its place."""
 

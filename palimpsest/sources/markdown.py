@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import slug
@@ -17,7 +17,8 @@ LOG_TITLE = r"(?im)^#[ \t]+.*change[ \t]*log"
 ITEM = r"^-\s+(?:\[( |~|x)\]|(✅|⏸))\s*(.*)$"
 LINK = r"\[[^\]]*\]\(([^)\s]+)\)"
 
-_ORDER = Window.partitionBy("key").orderBy("pos")
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("key").orderBy("pos")
 
 
 def _numbered(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -25,13 +26,13 @@ def _numbered(rows: DataFrame, key: str, text: str) -> DataFrame:
     whole = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
     lines = rows.select(F.col(key).alias("key"), F.posexplode(F.split(whole, "\n")).alias("pos", "line"))
     mark = F.col("line").rlike(FENCE)
-    inside = F.sum(mark.cast("int")).over(_ORDER) % 2 == 1
+    inside = F.sum(mark.cast("int")).over(_in_order()) % 2 == 1
     return lines.withColumn("fenced", mark | inside)
 
 
 def _blocks(lines: DataFrame, head: Column) -> DataFrame:
     """(key, block, head line, body lines): lines from each head to the next; block 0 is what stands before."""
-    held = lines.withColumn("head", head).withColumn("block", F.sum(F.col("head").cast("int")).over(_ORDER))
+    held = lines.withColumn("head", head).withColumn("block", F.sum(F.col("head").cast("int")).over(_in_order()))
     grouped = held.groupBy("key", "block").agg(
         F.max(F.when(F.col("head"), F.col("line"))).alias("head_line"),
         F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))).alias("body"),
@@ -89,7 +90,7 @@ def items(rows: DataFrame, key: str, text: str) -> DataFrame:
     lines = _numbered(rows, key, text)
     head = F.col("line").rlike(ITEM)
     stop = ~head & F.col("line").rlike(r"^\S")
-    held = lines.withColumn("head", head).withColumn("block", F.sum((head | stop).cast("int")).over(_ORDER))
+    held = lines.withColumn("head", head).withColumn("block", F.sum((head | stop).cast("int")).over(_in_order()))
     grouped = held.filter(head | F.col("line").rlike(r"^\s+\S")).groupBy("key", "block").agg(
         F.max(F.when(F.col("head"), F.col("line"))).alias("first"), F.max(F.when(F.col("head"), F.col("pos") + 1)).alias("line"),
         F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))).alias("more"),
