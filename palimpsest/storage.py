@@ -39,4 +39,14 @@ def materialize(df: DataFrame, label: str, *, partition_by: list[str] | None = N
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
