@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.storage import materialize, table
+from palimpsest.storage import discard, materialize, table
 
 WORDS = 5
 SIMILARITY = (4, 5)
@@ -113,15 +113,21 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words: int, runs: int)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
-def _counted(members: DataFrame, label: str) -> DataFrame:
+def _kept(df: DataFrame, label: str, used: list[DataFrame]) -> DataFrame:
+    """A table on the way, noted to be deleted."""
+    used.append(materialize(df, label))
+    return used[-1]
+
+
+def _counted(members: DataFrame, label: str, used: list[DataFrame]) -> DataFrame:
     """Members of buckets with two sets at least, with the bucket's size."""
     held = members.groupBy("path").agg(F.count("*").alias("sets"), F.sum("tokens").alias("held")).filter("sets > 1")
-    return materialize(members.join(held, "path"), label)
+    return _kept(members.join(held, "path"), label, used)
 
 
-def leaves(sets: DataFrame, small: int) -> DataFrame:
+def leaves(sets: DataFrame, small: int, used: list[DataFrame]) -> DataFrame:
     """(path, sid, tokens, sets, held): buckets to compare, from the recursive splits."""
-    members = _counted(sets.select("sid", "tokens", F.explode("level_0").alias("path")), "paths")
+    members = _counted(sets.select("sid", "tokens", F.explode("level_0").alias("path")), "paths", used)
     found = members.filter(F.col("sets") <= small)
     for level in range(1, LEVELS):
         large = members.filter(F.col("sets") > small)
@@ -129,20 +135,20 @@ def leaves(sets: DataFrame, small: int) -> DataFrame:
             return found
         same_run = lambda step: step.bitwiseAND(15) == F.col("path").bitwiseAND(15)
         steps = large.join(sets.select("sid", F.col(f"level_{level}").alias("steps")), "sid").withColumn("steps", F.filter("steps", same_run))
-        steps = materialize(steps, "steps")
+        steps = _kept(steps, "steps", used)
         # sets that are nearly alike share their least step; such buckets are not split
         alike = steps.groupBy("path", "sets", F.array_min("steps").alias("least")).agg(F.count("*").alias("n")).filter("least is not null")
-        together = materialize(alike.groupBy("path", "sets").agg(F.max("n").alias("n")).filter("n * 2 >= sets").select("path"), "unsplit")
+        together = _kept(alike.groupBy("path", "sets").agg(F.max("n").alias("n")).filter("n * 2 >= sets").select("path"), "unsplit", used)
         found = found.unionByName(large.join(together, "path", "left_semi"))
         step = steps.join(together, "path", "left_anti").withColumn("step", F.explode("steps")).select(
             "sid", "tokens", F.xxhash64("path", "step").bitwiseAND(~15).bitwiseOR(F.col("path").bitwiseAND(15)).alias("path")
         )
-        members = _counted(step, "split-paths")
+        members = _counted(step, "split-paths", used)
         found = found.unionByName(members if level == LEVELS - 1 else members.filter(F.col("sets") <= small))
     return found
 
 
-def compared(found: DataFrame) -> DataFrame:
+def compared(found: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Leaves that hold a pair no earlier bucket holds, each member with its earlier buckets and all of them."""
     place = F.struct((-F.col("sets")).alias("order"), F.col("path").alias("path"))
     lists = found.groupBy("sid").agg(F.array_sort(F.collect_list(place)).alias("buckets"))
@@ -152,7 +158,7 @@ def compared(found: DataFrame) -> DataFrame:
         F.slice(F.transform("buckets", lambda b: b["path"]), F.lit(1), F.col("nth")).alias("earlier"),
         F.transform("buckets", lambda b: b["path"]).alias("buckets"),
     )
-    each = materialize(each, "buckets")
+    each = _kept(each, "buckets", used)
     within = each.select("path", "sets", F.explode("earlier").alias("other")).groupBy("path", "sets", "other").count()
     within = within.filter(F.col("count") == F.col("sets")).select("path").distinct()
     return each.join(within, "path", "left_anti")
@@ -228,7 +234,7 @@ def _compare(rows: list, similarity: tuple[int, int], last: int) -> list[tuple]:
     return [(everyone[x].sid, everyone[least[x]].sid, *(int(c[x]) for c in counts)) for x in some]
 
 
-def blocked(members: DataFrame) -> DataFrame:
+def blocked(members: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Members by pairs of blocks (i, j) of their bucket; ``side`` says which of the two a member is in.
 
     Members of a large bucket that share their first earlier bucket have met there, so blocks of them do not meet here.
@@ -243,7 +249,7 @@ def blocked(members: DataFrame) -> DataFrame:
     sizes = groups.groupBy("path", "base").agg(count.alias("blocks"))
     named = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct("base", F.concat("base", F.lit(":"), b).alias("label")))
     every = sizes.groupBy("path").agg(F.flatten(F.collect_list(named)).alias("others"))
-    groups = materialize(groups.select("path", "met", "base").join(sizes, ["path", "base"]).join(every, "path"), "blocks").alias("g")
+    groups = _kept(groups.select("path", "met", "base").join(sizes, ["path", "base"]).join(every, "path"), "blocks", used).alias("g")
     large = large.alias("m").join(groups, (F.col("m.path") == F.col("g.path")) & F.col("m.met").eqNullSafe(F.col("g.met")))
     label = F.concat("base", F.lit(":"), F.pmod(F.xxhash64("sid"), F.col("blocks")))
     apart = F.filter("others", lambda o: (o["base"] != F.col("base")) | (F.col("base") == "pool"))
@@ -252,10 +258,10 @@ def blocked(members: DataFrame) -> DataFrame:
     return alone.unionByName(large.select(*(c for c in alone.columns if c not in ("i", "j", "side")), *pair))
 
 
-def links(members: DataFrame, elements: DataFrame, similarity: tuple[int, int], last: int) -> DataFrame:
+def links(members: DataFrame, elements: DataFrame, similarity: tuple[int, int], last: int, used: list[DataFrame]) -> DataFrame:
     """Brute force in blocks: (sid, other, links, met, known) for each set in each pair of blocks."""
     columns = ("path", "i", "j", "side", "sid", "tokens", "copies", "earlier", "buckets")
-    dealt = blocked(members).select(*columns).join(elements, "sid")
+    dealt = blocked(members, used).select(*columns).join(elements, "sid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key = [], None
@@ -286,13 +292,15 @@ def components(edges: DataFrame) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("drawn"), F.col(c).alias("to"))  # noqa: B023, E731
         chosen = left.groupBy("sid").agg(F.min(order("other")).alias("best"))
         chosen = materialize(chosen.select("sid", F.least("best", order("sid"))["to"].alias("to")), "contract")
-        labels = labels.join(chosen.withColumnRenamed("sid", "label"), "label", "left").select(
-            "sid", F.coalesce("to", "label").alias("label")
-        )
-        labels = materialize(labels, "labels")
+        renamed = labels.join(chosen.withColumnRenamed("sid", "label"), "label", "left").select("sid", F.coalesce("to", "label").alias("label"))
+        renamed = materialize(renamed, "labels")
+        discard(labels)
+        labels = renamed
         ends = chosen.select(F.col("sid").alias("other"), F.col("to").alias("other_to"))
-        left = left.join(chosen, "sid").join(ends, "other").select(F.col("to").alias("sid"), F.col("other_to").alias("other"))
-        left = materialize(left.filter("sid <> other").distinct(), "edges")
+        fewer = left.join(chosen, "sid").join(ends, "other").select(F.col("to").alias("sid"), F.col("other_to").alias("other"))
+        fewer = materialize(fewer.filter("sid <> other").distinct(), "edges")
+        discard(left, chosen)
+        left = fewer
     return labels
 
 
@@ -315,17 +323,24 @@ def similar(
     copies = materialize(copies, "copies")
     while True:
         sets = rows.drop("doc_id", "tag").dropDuplicates(["sid"])
-        found = materialize(leaves(sets, small_bucket), "leaves")
-        members = compared(found)
+        used: list[DataFrame] = []
+        found = materialize(leaves(sets, small_bucket, used), "leaves")
+        discard(*used)
+        used = [found]
+        members = compared(found, used)
         held = found.groupBy("path").agg(F.max("held").alias("held"))
         members = members.join(held, "path").join(copies.select("sid", "copies"), "sid")
         members = materialize(members.join(found.select("sid", "tokens").distinct(), "sid"), "members")
+        discard(*used)
+        used = [members]
         elements = _elements(docs, id_col, text_col, words, copies, members.select("sid").distinct())
-        met = materialize(links(members, elements, similarity, runs - 1), "links")
+        met = materialize(links(members, elements, similarity, runs - 1, used), "links")
+        discard(*used)
         seen = met.agg(F.sum("met").alias("met"), F.sum("known").alias("known")).first()
         if runs >= MOST_RUNS or not seen["met"] or seen["known"] >= target_recall * seen["met"]:
             break
         runs = min(MOST_RUNS, runs + MORE_RUNS)
+        discard(met, rows)
         rows = materialize(sketched(docs, id_col, text_col, words, runs), "sketched")
     labels = components(met)
     of_sets = copies.join(met.groupBy("sid").agg(F.sum("links").alias("linked")), "sid", "left").join(labels, "sid", "left")
@@ -335,6 +350,7 @@ def similar(
     of_sets = materialize(of_sets, "set-classes")
     names = of_sets.groupBy("class_label").agg(F.min("least_id").alias("class_id"))
     verdict = materialize(of_sets.join(names, "class_label").select("sid", "class_label", "class_id", "links"), "set-verdicts")
+    discard(of_sets, met, copies)
     return rows.select("doc_id", "tag", "sid").join(verdict, "sid").select("doc_id", "tag", "class_id", "links", "class_label")
 
 
