@@ -46,6 +46,8 @@ TARGET_RECALL = 0.995
 SMALL_BUCKET = 512
 BLOCK_SETS, BLOCK_TOKENS = 512, 2_000_000
 DENSE_TOKENS = 4096
+#: Bits that say whose text is wanted: one megabyte; and how many of them one row of a bitmap aggregate holds.
+FILTER_BITS, BITMAP_BITS = 1 << 23, 1 << 15
 REMEMBERED_WORDS = 400_000
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -355,18 +357,37 @@ def similar(
 
 
 def _elements(docs: DataFrame, id_col: str, text_col: str, words: int, copies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, elements): the sets that stand in a bucket, from the text of one document of each."""
+    """(sid, elements): the sets that stand in a bucket, from the text of one document of each.
+
+    Which documents those are is asked of a bitmap of bounded size where a text is read, so other texts are not
+    exchanged; where they are too many for it, the texts are joined with them.
+    """
+    one = copies.join(wanted, "sid", "left_semi").select(F.col("one.doc_id").alias("one_id"), F.col("one.tag").alias("one_tag"))
+    place = lambda doc, tag: F.pmod(F.xxhash64(doc, tag), F.lit(FILTER_BITS))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), tag_of(F.col(text_col)).alias("tag"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    if one.count() * 4 > FILTER_BITS:
+        bits[:] = 255
+        texts = texts.join(one, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("tag") == F.col("one_tag")), "left_semi")
+    else:
+        at = one.select(place("one_id", "one_tag").alias("place"))
+        rows = at.groupBy(F.expr(f"place div {BITMAP_BITS}").alias("nth")).agg(F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits"))
+        for row in rows.collect():  # FILTER_BITS bits at most
+            first = row["nth"] * BITMAP_BITS // 8
+            bits[first : first + BITMAP_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Hashes()
+        known, marked = _Hashes(), np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            sets = [shingle_set(t if isinstance(t, str) else "", words, known).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"sid": batch["sid"], "elements": sets})
-
-    one = copies.join(wanted, "sid", "left_semi").select("sid", F.col("one.doc_id").alias("one_id"), F.col("one.tag").alias("tag"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), tag_of(F.col(text_col)).alias("tag"))
-    texts = texts.join(one, (F.col("id").eqNullSafe(F.col("one_id"))) & (texts["tag"] == one["tag"])).select("sid", "text")
-    return texts.dropDuplicates(["sid"]).mapInPandas(run, "sid string, elements binary")
+            at = batch["place"].to_numpy()
+            chosen = batch["text"][marked[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
+            for start in range(0, len(chosen), 256):
+                sets = [shingle_set(t if isinstance(t, str) else "", words, known).tobytes() for t in chosen.iloc[start : start + 256]]
+                yield pd.DataFrame({"sid": [hashlib.md5(x).hexdigest() for x in sets], "elements": sets})
+
+    found = texts.select("text", place("id", "tag").alias("place")).mapInPandas(run, "sid string, elements binary")
+    return found.dropDuplicates(["sid"])
 
 
 def tag_of(text: Column) -> Column:
