@@ -39,11 +39,10 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.transform(solid, lambda line: F.struct(line["i"].alias("i"), line["h"].alias("h"))).alias("solid"),
     ).filter(F.size("solid") >= WINDOW)
     place = F.sequence(F.lit(1), F.size("solid") - (WINDOW - 1))
-    return lines.select("doc", "tag", F.explode(place).alias("nth"), "solid").select(
-        "doc", "tag", "nth",
-        F.transform(F.slice("solid", F.col("nth"), WINDOW), lambda line: line["i"]).alias("at"),
-        F.md5(F.array_join(F.transform(F.slice("solid", F.col("nth"), WINDOW), lambda line: line["h"]), "").cast("binary")).alias("digest"),
-    )
+    # windows are made before they are exploded: a row carries its own three lines only
+    three = lambda n, field: F.transform(F.slice("solid", n, F.lit(WINDOW)), lambda line: line[field])
+    window = lambda n: F.struct(n.alias("nth"), three(n, "i").alias("at"), F.md5(F.array_join(three(n, "h"), "").cast("binary")).alias("digest"))
+    return lines.select("doc", "tag", F.explode(F.transform(place, window)).alias("w")).select("doc", "tag", "w.nth", "w.at", "w.digest")
 
 
 def later_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
