@@ -38,7 +38,7 @@ STEPS = 150
 COUNTERFACTUAL, SPARSITY = 4.0, 3e-5
 #: Least difference between the classes, in standard errors, for a word to be fitted.
 SCREEN = 3.0
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 
 # Identity terms; a swap stays in its group.
 IDENTITY_GROUPS = (
