@@ -57,7 +57,8 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of a text, as little-endian 32-bit bytes, by the words between blanks.
 
-    Letters, and the marks after them, are pieces of their own to the tokenizer.
+    ASCII letters, and the marks after them, are pieces of their own to the tokenizer;
+    letters beyond ASCII may become several by its normalisation and are left to it.
     The tokenizer drops white space and never joins what stands on both sides
     of it, so a text's ids are those of its words, one after another.
     """
@@ -80,7 +81,7 @@ class WordEncoder:
             self._known.clear()
         known = self._known
         fresh = set().union(*split).difference(known)
-        words = {w: (_folded(core), w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha()}
+        words = {w: (core.lower(), w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha() and core.isascii()}
         cores = list({core for core, _ in words.values()}.difference(known))
         known.update(zip(cores, self._of_pieces(cores), strict=True))
         others = list({m for _, m in words.values()}.union(fresh.difference(words)).difference(known))
@@ -94,7 +95,7 @@ class WordEncoder:
         return out
 
     def _of_pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are one piece each to the tokenizer: encoded together, cut after each id that ends a word."""
+        """Ids of words of ASCII letters, one piece each to the tokenizer: encoded together, cut after each id that ends a word."""
         if not words:
             return []
         ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -103,11 +104,6 @@ class WordEncoder:
         return [data[begin:end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _folded(word: str) -> str:
-    """ASCII words in lower case, as the tokenizer takes them; how it folds others is left to it."""
-    return word.lower() if word.isascii() else word
-
-
 class _Shelf:
     """Pieces (document, start, length) by length; the longest that fits is found by bit arithmetic."""
 

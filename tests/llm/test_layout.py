@@ -96,6 +96,18 @@ def test_packed_ids_are_the_tokenizer_s(spark):
     assert sorted(held) == wanted
 
 
+@pytest.mark.parametrize("word", ["\u0130stanbul", "\ufb1d", "\u0958", "caf\u00e9", "e\u0301t\u00e9", "\ufb01n", "Plain"])
+def test_words_that_normalisation_takes_apart(word):
+    """Some letters become several pieces to the tokenizer."""
+    from tokenizers import Tokenizer
+
+    path = tiered_packing.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    texts = [f"to {word} and {word}, again", word, f"{word}{word}."]
+    got = tiered_packing.WordEncoder(path)(texts)
+    assert [np.frombuffer(data, "<u4").tolist() for data in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("rows", [16, 8192])
 def test_search_equals_brute_force(spark, rows):
     rng = np.random.default_rng(5)
