@@ -14,7 +14,7 @@ bounded by the sample.
 
 Defined cases: a null or wordless text is scored by the intercept alone; labels
 that are null are no labels, and of several for one document the largest counts;
-without any usable label every score is 0; null identifiers are never labelled;
+without any usable label every score is next to 0; null identifiers are never labelled;
 columns of the input beside identifier and text are not read.
 """
 
@@ -103,7 +103,7 @@ def fit(rows: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     pairs = [(i, np.frombuffer(b, np.int32)) for i, b in enumerate(rows["there"]) if isinstance(b, (bytes, bytearray))]
     positives = y.sum()
     if not 0 < positives < len(y):
-        return (0.0 if not len(y) else 20.0 if positives else -20.0), np.zeros(0, np.int32), np.zeros(0)
+        return (20.0 if positives else -20.0), np.zeros(0, np.int32), np.zeros(0)
 
     unique = [np.unique(r) for r in here]
     df = [np.bincount(_matrix([u for u, t in zip(unique, y, strict=True) if t == label])[1], minlength=FEATURES) for label in (0, 1)]

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import context_mixing as C
@@ -101,3 +102,14 @@ def test_toxicity_without_labels_or_text(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = X.train(docs, labels)
     assert docs.select(X.score(docs, model).alias("s")).filter("s between 0 and 1").count() == 3
+
+
+@pytest.mark.parametrize("labels", [[], [(1, None), (2, None)], [(i, i % 2) for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0]])
+def test_no_document_is_toxic_without_usable_labels(spark, tmp_path, labels):
+    """The table of labels is empty, all null, or all in the held-out fold."""
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "")], "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert [r.predicted for r in X.op9_counterfactual_toxicity(spark, str(tmp_path)).collect()] == [0, 0, 0]
+    assert X.without_toxic(docs, labels).count() == 3
