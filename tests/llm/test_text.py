@@ -64,6 +64,27 @@ def test_scoring_without_training_text(spark):
     assert [r.n_known for r in got] == [0, 0] and all(math.isfinite(r.score) and r.train_tokens == 0 for r in got)
 
 
+@pytest.mark.parametrize("common", [100_000, 0])
+def test_score_gains_by_tokens_that_the_tables_do_not_hold(spark, monkeypatch, common):
+    """The token table grows with the corpus and counts in the score, whether a token is in memory or joined."""
+    monkeypatch.setattr(C, "COMMON_TOKENS", common)
+    docs = spark.createDataFrame([(1, "quixotic zephyr " * 50), (2, "abcdefgh ijklmn " * 50), (3, "")], "doc_id long, text string")
+    model = C.train(docs.filter("doc_id = 1"))
+    model.tables = np.zeros_like(model.tables)
+    got = {r.doc_id: r for r in C.score(docs, model).collect()}
+    assert got[1].bits_per_byte < got[2].bits_per_byte / 2
+    assert math.isfinite(got[3].score) and got[3].score < 0
+
+
+def test_every_chunk_refines_the_weights():
+    import pyarrow as pa
+
+    text = "some words here and there " * (C.CHUNK_BYTES // 26 + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 4)], ["text"])
+    found = [r for b in C._gather(np.arange(256))(iter([batch])) for r in b.to_pylist() if r["kind"] == "weights"]
+    assert [r["n"] for r in found] == [4]
+
+
 def test_windows_keep_the_first_occurrence(spark):
     shared = "one\ntwo\nthree\nfour"
     rows = [(1, f"head\n{shared}\ntail"), (2, f"{shared}\nown"), (3, "a\nb"), (4, None), (5, "x\n\n\ny"), (6, f"{shared}\n{shared}")]
