@@ -247,9 +247,9 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SNK-16_artifact_index", "SELECT sha256(text) AS sha256, i - 1 AS ordinal, string_split(text, chr(10))[i] AS line FROM (SELECT DISTINCT text FROM documents), range(1, 4) r(i) WHERE i <= len(string_split(text, chr(10)))")
 def artifact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first lines of every artifact's index, one artifact for each content."""
+    """All lines of every artifact, one artifact for each content."""
     held = table(spark, sf_dir, "documents").select("text").distinct()
-    lines = held.select(F.sha2("text", 256).alias("sha256"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).filter("ordinal < 3")
+    lines = held.select(F.sha2("text", 256).alias("sha256"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
     return lines.select("sha256", F.col("ordinal").cast("long").alias("ordinal"), S.redact(F.col("line")).alias("line"))
 
 
