@@ -132,7 +132,7 @@ def digest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with the newest entry that supersedes them."""
     docs = table(spark, sf_dir, "documents")
-    hits = retrieval.word_stream(docs.select(F.col("doc_id").alias("id"), F.left("text", F.lit(400)).alias("content")), ["with"], every=True)
+    hits = retrieval.word_stream(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), ["with"], every=True)
     newer = docs.filter("doc_id % 4 = 3").groupBy((F.col("doc_id") - 1).alias("old")).agg(F.max("doc_id").alias("superseded_by"))
     top = hits.orderBy(F.desc("score"), "id").limit(20).select("id", "score")
     return top.join(newer, F.col("id") == F.col("old"), "left").select("id", "score", "superseded_by")
@@ -140,8 +140,16 @@ def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("PRJ-02_marked_snippet", r"SELECT doc_id, regexp_replace(left(text, 120), '(?i)\b(with|from)\b', '[\1]', 'g') AS snippet FROM documents WHERE regexp_matches(left(text, 120), '(?i)\b(with|from)\b')")
 def marked_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.left("text", F.lit(120))
-    return table(spark, sf_dir, "documents").filter(head.rlike(r"(?i)\b(with|from)\b")).select("doc_id", F.regexp_replace(head, F.lit(r"(?i)\b(with|from)\b"), F.lit("[$1]")).alias("snippet"))
+    """The text around its first hit, wherever that is; a word that the cut halves goes, so it is no hit."""
+    shape, around = r"(?i)\b(with|from)\b", 90
+    flat = S.flattened(F.col("text"))
+    at = F.length(F.split("flat", shape, 2)[0]) + 1
+    begin, end = F.greatest(F.lit(1), F.col("at") - around), F.least(F.length("flat"), F.col("at") - 1 + around)
+    middle = F.substring(F.col("flat"), begin, end - begin + 1)
+    middle = F.when(begin > 1, F.concat(F.lit("…"), F.regexp_replace(middle, r"^\w+", ""))).otherwise(middle)
+    middle = F.when(end < F.length("flat"), F.concat(F.regexp_replace(middle, r"\w+$", ""), F.lit("…"))).otherwise(middle)
+    hits = table(spark, sf_dir, "documents").filter(F.col("text").rlike(shape)).select("doc_id", flat.alias("flat")).withColumn("at", at)
+    return hits.select("doc_id", F.regexp_replace(middle, F.lit(shape), F.lit("[$1]")).alias("snippet"))
 
 
 # Evaluation

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 
 from palimpsest import catalog
 
@@ -22,3 +24,26 @@ def test_every_line_of_an_artifact_is_indexed(spark):
     wanted = {(hashlib.sha256(t.encode()).hexdigest(), i) for t in texts for i, _ in enumerate(t.split("\n"))}
     got = [(r.sha256, r.ordinal) for r in _rows(spark, "SNK-16_artifact_index")]
     assert len(got) == len(wanted) and set(got) == wanted
+
+
+def _scores(texts, term):
+    """BM25 of one term."""
+    words = {i: [w for w in re.split(r"[\W_]+", t.lower()) if w] for i, t in texts.items()}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    df = sum(term in w for w in words.values())
+    idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+    return {i: idf * w.count(term) * 2.2 / (w.count(term) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for i, w in words.items() if term in w}
+
+
+def test_log_search_scores_whole_texts(spark):
+    wanted = _scores({r.doc_id: r.text for r in _docs(spark)}, "with")
+    got = {r.id: r.score for r in _rows(spark, "RET-23_log_search")}
+    assert len(got) == min(20, len(wanted))
+    assert all(abs(score - wanted[i]) < 1e-6 for i, score in got.items())
+
+
+def test_snippets_lie_around_a_hit_anywhere(spark):
+    wanted = {r.doc_id for r in _docs(spark) if re.search(r"(?ai)\b(with|from)\b", r.text)}
+    got = {r.doc_id: r.snippet for r in _rows(spark, "PRJ-02_marked_snippet")}
+    assert set(got) == wanted
+    assert all(re.search(r"(?i)\[(with|from)\]", s) for s in got.values())
