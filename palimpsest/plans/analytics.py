@@ -267,11 +267,11 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AGG-22_feedback_counts", model_sql("""
     SELECT token, count(*) AS docs FROM tokens WHERE doc_id % 1000 < 3 AND length(token) BETWEEN 3 AND 40 GROUP BY token HAVING count(*) >= 2""", _TOKENS_SQL))
 def feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the first turns of every conversation that two of them at least hold."""
+    """Tokens that two messages at least hold."""
     from palimpsest.functions.scalars import tokens
 
     words = F.explode(F.array_distinct(tokens(F.col("content")))).alias("token")
-    held = messages(spark, sf_dir).filter("turn < 3").select(words).filter(F.length("token").between(3, 40))
+    held = messages(spark, sf_dir).select(words).filter(F.length("token").between(3, 40))
     return held.groupBy("token").agg(F.count("*").alias("docs")).filter("docs >= 2")
 
 

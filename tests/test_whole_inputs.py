@@ -5,8 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from palimpsest import catalog
+from palimpsest.functions.scalars import tokens
+from palimpsest.sources.conversation_store import messages
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +52,28 @@ def test_snippets_lie_around_a_hit_anywhere(spark):
     got = {r.doc_id: r.snippet for r in _rows(spark, "PRJ-02_marked_snippet")}
     assert set(got) == wanted
     assert all(re.search(r"(?i)\[(with|from)\]", s) for s in got.values())
+
+
+def test_signature_changes_with_any_document(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {r.lang: r.signature for r in _rows(spark, "SCL-05_source_signature")}
+    for digit in range(10):
+        one = docs.filter(f"doc_id % 10 = {digit}").orderBy("doc_id").first()
+        where = str(tmp_path / str(digit))
+        docs.filter(f"doc_id <> {one.doc_id}").repartition(3).write.parquet(f"{where}/documents.parquet")
+        other = {r.lang: r.signature for r in catalog.queries()["SCL-05_source_signature"](spark, where).collect()}
+        assert {lang for lang in found if other.get(lang) != found[lang]} == {one.lang}
+
+
+def test_every_backlog_item_is_checked(spark):
+    files = {r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect() if r.p_partkey % 4}
+    orders = spark.read.parquet(f"{SF}/orders.parquet").collect()
+    wanted = sorted((r.o_orderkey, f"f{2 * r.o_custkey}.ts") for r in orders if 2 * r.o_custkey not in files)
+    assert sorted((r.item, r.name) for r in _rows(spark, "GOV-02_backlog_references")) == wanted
+
+
+def test_feedback_counts_all_turns(spark):
+    held = Counter()
+    for row in messages(spark, SF).select(tokens(F.col("content")).alias("tokens")).collect():
+        held.update({t for t in row.tokens if 3 <= len(t) <= 40})
+    assert {r.token: r.docs for r in _rows(spark, "AGG-22_feedback_counts")} == {t: n for t, n in held.items() if n >= 2}
