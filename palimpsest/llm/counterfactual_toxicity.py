@@ -39,6 +39,8 @@ COUNTERFACTUAL, SPARSITY = 4.0, 3e-5
 #: Least difference between the classes, in standard errors, for a word to be fitted.
 SCREEN = 3.0
 REMEMBERED_WORDS = 150_000
+#: Intercept where no label is toxic.
+NEVER = -20.0
 
 # Identity terms; a swap stays in its group.
 IDENTITY_GROUPS = (
@@ -103,7 +105,7 @@ def fit(rows: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     pairs = [(i, np.frombuffer(b, np.int32)) for i, b in enumerate(rows["there"]) if isinstance(b, (bytes, bytearray))]
     positives = y.sum()
     if not 0 < positives < len(y):
-        return (20.0 if positives else -20.0), np.zeros(0, np.int32), np.zeros(0)
+        return (-NEVER if positives else NEVER), np.zeros(0, np.int32), np.zeros(0)
 
     unique = [np.unique(r) for r in here]
     df = [np.bincount(_matrix([u for u, t in zip(unique, y, strict=True) if t == label])[1], minlength=FEATURES) for label in (0, 1)]
@@ -178,10 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -
     sample = known.filter(~in_fold(F.col("doc_id"), 5)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # at most train_rows rows of two numbers: small enough for every executor
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    sketches = rows.mapInPandas(_sketch, "toxic int, here binary, there binary").coalesce(1)
+    sketches = rows.mapInPandas(_sketch, "toxic int, here binary, there binary")
+    # scan, join and sketches run everywhere; only the sketches move, in an order that does not depend on the tasks
+    sketches = sketches.repartition(1).sortWithinPartitions("toxic", "here", "there")
     fitted = sketches.mapInPandas(_fitted, "feature int, weight double").collect()
     weights = {r["feature"]: r["weight"] for r in fitted}
-    return Scorer(weights.pop(-1), weights)
+    # an empty exchange may leave no task to fit in
+    return Scorer(weights.pop(-1, NEVER), weights)
 
 
 def score(docs: DataFrame, model: Scorer, *, text_col: str = "text") -> Column:

@@ -89,7 +89,7 @@ def container_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SNK-10_backup_restore", model_sql("SELECT count(*) AS n, CAST(sum(message_count) AS BIGINT) AS messages FROM sessions"))
 def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(sessions(spark, sf_dir).coalesce(1), "backup").agg(F.count("*").alias("n"), F.sum("message_count").alias("messages"))
+    return materialize(sessions(spark, sf_dir), "backup").agg(F.count("*").alias("n"), F.sum("message_count").alias("messages"))
 
 
 @query("SNK-05_offsets", "SELECT 'f' || conv_id AS file_path, max(turn) + 1 AS last_line, count(*) AS lines FROM conversations GROUP BY conv_id")

@@ -134,3 +134,18 @@ def test_no_document_is_toxic_without_usable_labels(spark, tmp_path, labels):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     assert [r.predicted for r in X.op9_counterfactual_toxicity(spark, str(tmp_path)).collect()] == [0, 0, 0]
     assert X.without_toxic(docs, labels).count() == 3
+
+
+def test_the_sample_is_sketched_by_more_than_one_task(spark, monkeypatch):
+    """The documents are read and sketched where they lie; only sketches come together."""
+    tasks = spark.sparkContext.accumulator(0)
+    sketch = X._sketch
+
+    def counted(batches):
+        tasks.add(1)
+        yield from sketch(batches)
+
+    monkeypatch.setattr(X, "_sketch", counted)
+    docs = spark.createDataFrame([(i, "bad idiot" if i % 2 else "good day") for i in range(200)], "doc_id long, text string").repartition(4)
+    model = X.train(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    assert tasks.value == 4 and model("bad idiot") > 0.5 > model("good day")
