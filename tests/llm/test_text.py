@@ -46,16 +46,99 @@ def test_decisions_are_a_distribution():
     total = 0.0
     for byte in range(256):
         digit, rows, doc = C._coded(coder, [(0, b"ab c" + bytes([byte]), 4)])
-        total += math.exp(-mixer.cost(tables, rows, digit, doc, 1)[0][0])
+        nats = np.zeros(len(digit))
+        mixer.cost(tables, rows, digit, doc, 1, None, nats)
+        total += math.exp(-nats.sum())
     assert abs(total - 1) < 1e-4
 
 
+def _random_tables(seed):
+    tables = np.random.default_rng(seed).integers(-100, 100, (C.CONTEXTS, C._ROWS, 16)).astype(np.int8)
+    tables[:, :, 0] = np.random.default_rng(seed + 1).integers(0, 5, (C.CONTEXTS, C._ROWS))
+    return tables
+
+
+def _nats(texts, tables, ranks):
+    """Nats of each text, coded as scoring does."""
+    coder, mixer, out, state = C.Coder(ranks), C.Mixer(C.first_weights()), [0.0] * len(texts), {}
+    for chunk in C._chunks(iter(enumerate(texts))):
+        digit, rows, doc = C._coded(coder, chunk)
+        each = np.zeros(len(digit))
+        after = mixer.cost(tables, rows, digit, doc, len(chunk), state.get(chunk[0][0]) if len(chunk) == 1 else None, each)
+        state = {chunk[0][0]: after} if len(chunk) == 1 else {}
+        for i, (key, _, _) in enumerate(chunk):
+            out[key] += each[doc == i].sum()
+    return out
+
+
 def test_a_long_text_costs_the_same_in_windows(monkeypatch):
-    data = b"some words here and there " * 3000
-    whole = list(C._chunks(iter([(0, data)])))
-    monkeypatch.setattr(C, "WINDOW_BYTES", 20_000)
-    parts = list(C._chunks(iter([(0, data)])))
-    assert len(whole) == 1 and len(parts) == 4 and sum(len(d) - s for chunk in parts for _, d, s in chunk) == len(data)
+    """Whatever a window holds, words and gaps longer than it among them."""
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 110, rng.integers(1, 12)).tolist()) for _ in range(400)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 400, 9000)) + b"\n", b"ab" * 20_000 + b" " + b"cd" * 400 + b" tail of it\n", b"short one\n"]
+    ranks, tables = rng.permutation(256), _random_tables(3)
+    monkeypatch.setattr(C, "WINDOW_BYTES", 1 << 30)
+    whole = _nats(texts, tables, ranks)
+    for size in (1500, 20_000):
+        monkeypatch.setattr(C, "WINDOW_BYTES", size)
+        assert np.allclose(_nats(texts, tables, ranks), whole, rtol=1e-5)
+
+
+def _bit_by_bit(text, tables, ranks):
+    """Nats of one text: a decision at a time, the weights refined when a stretch of digits is over."""
+    digits, rows, _ = C._coded(C.Coder(ranks), [(0, text, 0)])
+    weights = C.first_weights().astype(float)
+    squares, pull, nats, over = np.full_like(weights, 4.0), np.zeros_like(weights), 0.0, 128
+    for n, digit in enumerate(digits.tolist()):
+        if n == over:
+            gradient = pull / C.SCALE
+            squares += gradient**2
+            weights += C.RATE * gradient / np.sqrt(squares)
+            pull[:], over = 0, over * 2
+        held = [tables[c][rows[c][n]] for c in range(C.CONTEXTS)]
+        gate, node = 5 * int(held[1][0]) + int(held[2][0]), 1
+        for shift in (3, 2, 1, 0):
+            bit = digit >> shift & 1
+            inputs = np.array([*(float(h[node]) for h in held), C.BIAS])
+            p = 1 / (1 + math.exp(-float(weights[gate] @ inputs) / C.SCALE)) * (1 - 1 / 2048) + 1 / 4096
+            nats -= math.log(p if bit else 1 - p)
+            pull[gate] += (bit - p) * inputs
+            node = 2 * node + bit
+    return nats
+
+
+def test_mixing_equals_a_decision_at_a_time():
+    rng = np.random.default_rng(7)
+    ranks, tables = rng.permutation(256), _random_tables(5)
+    texts = [b"the cat sat on the mat and the dog did not " * 40 + b"\n", "\u00fcber caf\u00e9 x\n".encode(), b"\n"]
+    assert np.allclose(_nats(texts, tables, ranks), [_bit_by_bit(t, tables, ranks) for t in texts], rtol=1e-4)
+
+
+def test_node_table_is_the_log_odds_of_leaf_counts():
+    counts = np.random.default_rng(1).integers(0, 9, (50, 16))
+    got = C.node_table(counts)
+    for row, nodes in zip(counts, got, strict=True):
+        for node in range(1, 16):
+            depth = node.bit_length() - 1
+            width = 16 >> depth
+            leaves = row[(node - (1 << depth)) * width :][:width]
+            odds = math.log((leaves[width // 2 :].sum() + C.PRIOR) / (leaves[: width // 2].sum() + C.PRIOR))
+            assert abs(nodes[node] - odds * C.SCALE) <= 0.51
+
+
+def test_the_mix_beats_each_context_and_the_base(spark):
+    """Held-out documents cost fewer bits than under the token counts alone, and than under any one context."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = C.in_fold(F.col("doc_id"))
+    model = C.train(docs.filter(~held))
+    rows = C.score(docs.filter(held), model).collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    texts = [C.stream_of(C._words_of(r.text)) for r in docs.filter(held).limit(20).collect()]
+    mixed, even = sum(_nats(texts, model.tables, model.ranks)), np.zeros_like(model.tables)
+    for c in range(C.CONTEXTS):
+        one = even.copy()
+        one[c] = model.tables[c]
+        assert mixed < sum(_nats(texts, one, model.ranks))
 
 
 def test_scoring_without_training_text(spark):
@@ -82,7 +165,8 @@ def test_every_chunk_refines_the_weights():
     text = "some words here and there " * (C.CHUNK_BYTES // 26 + 1)
     batch = pa.RecordBatch.from_arrays([pa.array([text] * 4)], ["text"])
     found = [r for b in C._gather(np.arange(256))(iter([batch])) for r in b.to_pylist() if r["kind"] == "weights"]
-    assert [r["n"] for r in found] == [4]
+    chunks = list(C._chunks((i, C.stream_of(C._words_of(text))) for i in range(4)))
+    assert len(chunks) >= 4 and [r["n"] for r in found] == [len(chunks)]
 
 
 def test_windows_keep_the_first_occurrence(spark):
