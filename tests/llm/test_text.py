@@ -99,7 +99,7 @@ def _bit_by_bit(text, tables, ranks):
         gate, node = 5 * int(held[1][0]) + int(held[2][0]), 1
         for shift in (3, 2, 1, 0):
             bit = digit >> shift & 1
-            inputs = np.array([*(float(h[node]) for h in held), C.BIAS])
+            inputs = np.array([float(h[node]) for h in held])
             p = 1 / (1 + math.exp(-float(weights[gate] @ inputs) / C.SCALE)) * (1 - 1 / 2048) + 1 / 4096
             nats -= math.log(p if bit else 1 - p)
             pull[gate] += (bit - p) * inputs
