@@ -1,20 +1,24 @@
 """Exact deduplication over a log-structured merge index of text digests.
 
-Rows are dealt to memtables; each memtable is flushed as one run of
-(digest, identifier, copies), sorted by digest, beside a bitmap filter of its
-digests. Compaction asks the filters which digests may also stand in another
-run, merges only those, and keeps the extreme identifier of each digest. Rows
-of a digest with more than one copy are then compared byte for byte with the
-text that stays; where bytes differ, the digest's rows are grouped by text.
+Rows are dealt to memtables of a bounded number of rows; each memtable is flushed
+as one run of (digest, identifier, copies), sorted by digest, beside a bitmap
+filter of its digests. Compaction goes by levels: a few neighbouring runs at a
+time, it asks the filters which digests may also stand in another of them, merges
+only those, and keeps the extreme identifier of each digest, until one run is
+left. Rows of a digest with more than one copy, the hits, are then compared byte
+for byte with the text that stays; where bytes differ, the digest's rows are
+grouped by text.
 
 Everything is built-in DataFrame functions. Hot digests shrink to one row per
-memtable and task before any shuffle; the joins that carry every row are plain
-equi-joins, which adaptive execution splits; texts meet the text that stays
-under a salt that grows with the group.
+memtable and task before any shuffle; the joins that carry every row have digests
+and identifiers only, and adaptive execution splits them. Texts of hits alone are
+exchanged: a filter of bounded size says which rows may be hits where they are
+read. They meet the text that stays under a salt that grows with the group.
 
 Defined cases: a null text counts as empty; a null identifier is smaller than
 any other; rows that repeat both identifier and text are the same document and
-share one verdict; an empty table gives an empty result.
+share one verdict; an empty table gives an empty result; columns of the input
+beside identifier and text are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.storage import materialize, table
+from palimpsest.storage import discard, materialize, table
 
 FILTER_BITS = 32768  # what one bitmap of bitmap_construct_agg holds
 BITS_PER_ENTRY = 64
+MEMTABLE_ROWS, LEAST_MEMTABLES = 50_000_000, 4
+#: Runs that one compaction merges.
+FAN_IN = 4
+#: Bitmaps of the filter of hits at most: 4 MB.
+HIT_BITMAPS = 1024
 MEMBERS_PER_KEEPER_COPY = 64
 
 
@@ -33,24 +42,23 @@ def sha256_of(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def flush(rows: DataFrame, memtables: int, keep: str) -> DataFrame:
-    """Level 0: for each memtable its sorted run of (digest, keep_id, copies)."""
+def flush(rows: DataFrame, keep: str) -> DataFrame:
+    """Level 0: for each memtable its sorted run of (run, digest, keep_id, copies)."""
     extreme = F.max if keep == "largest" else F.min
     runs = rows.groupBy("run", "digest").agg(extreme("row_id").alias("keep_id"), F.count("*").alias("copies"))
     return materialize(runs.sortWithinPartitions("run", "digest"), "memtables")
 
 
-def _slot(buckets: int) -> Column:
-    """A digest's place in the filter's bit space, from its text form."""
-    return F.pmod(F.xxhash64("digest"), F.lit(buckets * FILTER_BITS))
+def _slotted(rows: DataFrame, bitmaps: int) -> DataFrame:
+    """Rows with the bitmap and the bit that their digest has in a filter of so many bitmaps."""
+    slot = F.pmod(F.xxhash64("digest"), F.lit(bitmaps * FILTER_BITS))
+    return rows.withColumn("slot", slot).withColumn("bucket", F.expr(f"slot div {FILTER_BITS}")).withColumn("bit", F.pmod("slot", F.lit(FILTER_BITS))).drop("slot")
 
 
-def filters(runs: DataFrame, memtables: int, buckets: int) -> DataFrame:
-    """One row per bucket with each run's bitmap of that bucket."""
-    slots = runs.withColumn("slot", _slot(buckets)).withColumn("bucket", F.expr(f"slot div {FILTER_BITS}"))
-    bit = F.bitmap_bit_position(F.pmod("slot", F.lit(FILTER_BITS)) + 1)
-    held = [F.bitmap_construct_agg(F.when(F.col("run") == r, bit)).alias(f"bits_{r}") for r in range(memtables)]
-    return slots.groupBy("bucket").agg(*held)
+def filters(runs: DataFrame) -> DataFrame:
+    """One row for each set of runs and bitmap, with each run's bits, from rows that know their place."""
+    held = [F.bitmap_construct_agg(F.when(F.col("member") == r, F.bitmap_bit_position(F.col("bit") + 1))).alias(f"bits_{r}") for r in range(FAN_IN)]
+    return runs.groupBy("merged", "bucket").agg(*held)
 
 
 def _has_bit(bitmap: Column, position: Column) -> Column:
@@ -58,25 +66,30 @@ def _has_bit(bitmap: Column, position: Column) -> Column:
     return F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1
 
 
-def compact(runs: DataFrame, memtables: int, keep: str, buckets: int) -> DataFrame:
-    """Merge all runs into one; digests that no other run's filter knows are passed on as they are."""
+def compact(runs: DataFrame, keep: str, bitmaps: int) -> DataFrame:
+    """One level: each FAN_IN runs become one; digests that no other of them knows by its filter are passed on as they are."""
     extreme = F.max if keep == "largest" else F.min
-    keyed = runs.withColumn("slot", _slot(buckets)).withColumn("bucket", F.expr(f"slot div {FILTER_BITS}"))
-    position = F.pmod("slot", F.lit(FILTER_BITS))
+    placed = _slotted(runs, bitmaps).withColumn("merged", F.expr(f"run div {FAN_IN}")).withColumn("member", F.pmod("run", F.lit(FAN_IN)))
     elsewhere = F.lit(False)
-    for r in range(memtables):
-        elsewhere = elsewhere | ((F.col("run") != r) & _has_bit(F.col(f"bits_{r}"), position))
-    probed = keyed.join(filters(runs, memtables, buckets), "bucket").select(
-        "digest", "keep_id", "copies", elsewhere.alias("elsewhere")
-    )
+    for r in range(FAN_IN):
+        elsewhere = elsewhere | ((F.col("member") != r) & F.coalesce(_has_bit(F.col(f"bits_{r}"), F.col("bit")), F.lit(False)))
+    probed = placed.join(filters(placed), ["merged", "bucket"]).select(F.col("merged").alias("run"), "digest", "keep_id", "copies", elsewhere.alias("elsewhere"))
     probed = materialize(probed, "probed")
-    alone = probed.filter(~F.col("elsewhere")).select("digest", "keep_id", "copies")
-    merged = (
-        probed.filter("elsewhere")
-        .groupBy("digest")
-        .agg(extreme("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-    )
-    return alone.unionByName(merged)
+    columns = ["run", "digest", "keep_id", "copies"]
+    alone = probed.filter(~F.col("elsewhere")).select(columns)
+    merged = probed.filter("elsewhere").groupBy("run", "digest").agg(extreme("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+    out = materialize(alone.unionByName(merged).sortWithinPartitions("run", "digest"), "compacted")
+    discard(probed)
+    return out
+
+
+def _may_be_hits(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose digest stands in a filter of all digests with copies: all hits, and few others."""
+    hits = index.filter("copies > 1")
+    bitmaps = min(HIT_BITMAPS, max(1, -(-hits.count() * BITS_PER_ENTRY // FILTER_BITS)))
+    known = _slotted(hits, bitmaps).groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+    # HIT_BITMAPS rows of 4 KB at most; where hits are too many for them, more rows pass that are none
+    return _slotted(texts, bitmaps).join(F.broadcast(known), "bucket").filter(_has_bit(F.col("bits"), F.col("bit"))).select(texts.columns)
 
 
 def deduplicate(
@@ -85,34 +98,39 @@ def deduplicate(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "smallest",
-    memtables: int = 4,
+    memtables: int | None = None,
     digest=sha256_of,
 ) -> DataFrame:
     """Every row of ``docs`` as (row_id, digest, keep_id, copies, kept).
 
-    ``keep`` says which identifier of equal texts stays. ``digest`` may be any
-    function of the text column: texts are equal only where their bytes are.
+    ``keep`` says which identifier of equal texts stays. ``memtables`` comes from
+    the number of rows. ``digest`` may be any function of the text column: texts
+    are equal only where their bytes are.
     """
     texts = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     texts = texts.withColumn("digest", digest(F.col("body")))
+    if memtables is None:
+        memtables = max(LEAST_MEMTABLES, -(-docs.count() // MEMTABLE_ROWS))
     dealt = texts.select("row_id", "digest", F.pmod(F.xxhash64("row_id"), F.lit(memtables)).alias("run"))
-    runs = flush(dealt, memtables, keep)
-    buckets = max(1, -(-runs.count() * BITS_PER_ENTRY // (FILTER_BITS * memtables)))
-    index = materialize(compact(runs, memtables, keep, buckets), "index")
+    index = flush(dealt, keep)
+    bitmaps = max(1, -(-index.count() * BITS_PER_ENTRY // (FILTER_BITS * memtables)))
+    while memtables > 1:
+        merged = compact(index, keep, bitmaps)
+        discard(index)
+        index, memtables, bitmaps = merged, -(-memtables // FAN_IN), bitmaps * FAN_IN
+    index = index.drop("run")
 
-    found = texts.join(index, "digest")
+    columns = ["row_id", "digest", "keep_id", "copies", "same"]
+    single = texts.select("row_id", "digest").join(index.filter("copies = 1"), "digest").withColumn("same", F.lit(True))
     spread = F.ceil(F.col("copies") / MEMBERS_PER_KEEPER_COPY).cast("int")
-    single = found.filter("copies = 1").withColumn("same", F.lit(True)).drop("body")
-    hits = found.filter("copies > 1").withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(1)), spread))
+    hits = _may_be_hits(texts, index).join(index.filter("copies > 1"), "digest").withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(1)), spread))
     keepers = (
-        found.filter(F.col("copies") > 1)
-        .filter(F.col("row_id").eqNullSafe(F.col("keep_id")))
+        hits.filter(F.col("row_id").eqNullSafe(F.col("keep_id")))
         .groupBy("digest", "copies")
         .agg(F.max("body").alias("kept_body"))
         .select("digest", F.explode(F.sequence(F.lit(0).cast("long"), spread.cast("long") - 1)).alias("salt"), "kept_body")
     )
     verified = hits.join(keepers, ["digest", "salt"]).withColumn("same", F.col("body") == F.col("kept_body"))
-    columns = ["row_id", "digest", "keep_id", "copies", "same"]
     verdict = materialize(single.select(columns).unionByName(verified.select(columns)), "verdict")
 
     broken = verdict.filter("not same").select("digest").distinct()

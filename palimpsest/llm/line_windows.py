@@ -10,8 +10,9 @@ The exchange carries hashes and places, never lines; the first occurrence is
 found by a combining aggregate, and the join that marks later occurrences is a
 plain equi-join that adaptive execution splits where one window is everywhere.
 
-Defined cases: a null text counts as empty; blank lines belong to no window and
-stay; texts of fewer than three lines are left as they are; rows that repeat
+Defined cases: a null text counts as empty; blank lines (of blanks, tabs and
+carriage returns alone) belong to no window and stay; an empty table gives an
+empty result; texts of fewer than three lines are left as they are; rows that repeat
 identifier and text are one document and lose the same lines; a null identifier
 comes first; columns of the input beside the text are kept as they are.
 """
@@ -21,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.storage import materialize, table
+from palimpsest.storage import discard, materialize, table
 
 WINDOW = 3
+#: What a blank line may hold, a carriage return before the line feed among it.
+BLANK = " \t\r\x0b\x0c"
 
 
 def _lines(text: Column) -> Column:
@@ -32,7 +35,7 @@ def _lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tag, nth, at, digest): each window's place among its document's windows, its lines' places and its hash."""
-    hashed = F.transform(_lines(F.col(text_col)), lambda line, i: F.struct(i.alias("i"), F.md5(line.cast("binary")).alias("h"), F.trim(line).alias("t")))
+    hashed = F.transform(_lines(F.col(text_col)), lambda line, i: F.struct(i.alias("i"), F.md5(line.cast("binary")).alias("h"), F.trim(line, F.lit(BLANK)).alias("t")))
     solid = F.filter(hashed, lambda line: line["t"] != "")
     lines = docs.select(
         F.col(id_col).alias("doc"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tag"),
@@ -45,9 +48,8 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc", "tag", F.explode(F.transform(place, window)).alias("w")).select("doc", "tag", "w.nth", "w.at", "w.digest")
 
 
-def later_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def later_lines(found: DataFrame) -> DataFrame:
     """(doc, tag, covered): the lines of each document that later occurrences of windows cover."""
-    found = materialize(windows(docs, id_col, text_col), "line-windows")
     place = F.struct("doc", "tag", "nth")
     repeated = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = found.join(repeated.select("digest", "first"), "digest").filter(~place.eqNullSafe(F.col("first")))
@@ -56,7 +58,9 @@ def later_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def drop_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` as structs ``row``, with ``cleaned`` text and the numbers of ``lines`` and ``removed`` ones."""
-    covered = materialize(later_lines(docs, id_col, text_col), "covered-lines")
+    found = materialize(windows(docs, id_col, text_col), "line-windows")
+    covered = materialize(later_lines(found), "covered-lines")
+    discard(found)
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(id_col).alias("id"), F.col(text_col).alias("body"),
@@ -100,7 +104,7 @@ ORACLE_SQL = {
             SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split_up),
         solid AS (
             SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth
-            FROM lines WHERE trim(line) <> ''),
+            FROM lines WHERE trim(line, concat(' ', chr(9), chr(13), chr(11), chr(12))) <> ''),
         three AS (
             SELECT doc_id, nth, pos AS p1,
                    lead(pos, 1) OVER w AS p2, lead(pos, 2) OVER w AS p3,

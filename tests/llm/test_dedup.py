@@ -101,3 +101,10 @@ def test_components_of_a_long_chain(spark):
     for r in J.components(edges).collect():
         labels[r.label].add(r.sid)
     assert sorted(map(len, labels.values())) == [2, 61]
+
+
+def test_exact_compacts_in_levels(spark):
+    rows = [(i, f"text {i % 37}") for i in range(300)]
+    docs = spark.createDataFrame(rows, KIND)
+    got = {r.row_id: (r.keep_id, r.copies) for r in digest_log.deduplicate(docs, memtables=21).collect()}
+    assert got == {i: (i % 37, sum(j % 37 == i % 37 for j in range(300))) for i in range(300)}
