@@ -108,22 +108,43 @@ def test_words_that_normalisation_takes_apart(word):
     assert [np.frombuffer(data, "<u4").tolist() for data in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-@pytest.mark.parametrize("rows", [16, 8192])
+def _nearest(vectors, k=5):
+    """Brute force over rows: (query_id, rank, vec_id, score)."""
+    cells = [(i, np.floor(256 * np.array(v, float)).astype(np.int64).tolist()) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a, (q, qv) in enumerate(cells):
+        if q is None or q % 10:
+            continue
+        best = sorted((-sum(x * y for x, y in zip(qv, v, strict=False)), i is None, i or 0) for b, (i, v) in enumerate(cells) if b != a)[:k]
+        out += [(q, n, None if none else i, -s) for n, (s, none, i) in enumerate(best, 1)]
+    return sorted(out, key=str)
+
+
+def _found(spark, vectors, **more):
+    held = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("block", F.lit("clash"))
+    rows = bit_sliced_topk.top_k(held, F.col("vec_id") % 10 == 0, **more).collect()
+    return sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("rows", [16, None])
 def test_search_equals_brute_force(spark, rows):
     rng = np.random.default_rng(5)
-    vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(150)] + [(200, None), (201, [float("nan")] * 8), (202, [1e6] * 8), (3, [0.5] * 8), (None, [1.0] * 8)]
-    held = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in bit_sliced_topk.top_k(held, F.col("vec_id") % 10 == 0, block_rows=rows).collect())
-    cells = {}
-    for i, v in vectors:
-        if i is not None and v is not None and np.isfinite(v).all():
-            cells[i] = min(cells.get(i, v), v)
-    cells = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in cells.items()}
-    wanted = []
-    for q in (i for i in cells if i % 10 == 0):
-        best = sorted(((-int(cells[q] @ cells[i]), i) for i in cells if i != q))[:5]
-        wanted += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert got == sorted(wanted)
+    vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(150)]
+    vectors += [(200, None), (201, [float("nan")] * 8), (202, [1e6] * 8), (203, [0.5, None]), (3, [0.5] * 8), (None, [1.0] * 8), (7, []), (204, [2.0] * 11), (20, [0.5] * 8), (20, [0.5] * 8)]
+    assert _found(spark, vectors, block_rows=rows, query_rows=7) == _nearest(vectors)
+
+
+def test_search_breaks_ties_by_identifier(spark):
+    vectors = [(i, [1.0, 0.0]) for i in (40, 3, 9, 10, 2, 1, 8)] + [(50, []), (None, [1.0, 0.0])]
+    got = _found(spark, vectors)
+    assert got == _nearest(vectors)
+    assert [i for q, _, i, _ in sorted(got, key=lambda x: x[:2]) if q == 10] == [1, 2, 3, 8, 9]
+
+
+def test_search_of_few_or_no_rows(spark):
+    assert _found(spark, []) == []
+    assert _found(spark, [(10, [1.0])]) == []
+    assert _found(spark, [(10, [1.0]), (11, [2.0])]) == [(10, 1, 11, 256 * 512)]
 
 
 def test_registered_queries_equal_their_sql(spark):
