@@ -2,9 +2,11 @@
 
 A logistic model over the distinct words of a text: each word counts by itself
 and by its beginnings of four and five letters, so that inflected and obscured
-forms share evidence. Identity terms of labelled texts are swapped for others of
-their group, and the squared change of the score is added to the loss: what a
-text says about a group must not depend on which group it is.
+forms share evidence. Every labelled text has a counterfactual: where it has
+identity terms they are swapped for others of their group, and where it has none
+one is put in. The squared change of the score is added to the loss: what a text
+says about a group must not depend on which group it is, and a mention alone says
+nothing. Terms are a parameter; the given ones are of four languages.
 
 The fit uses a bounded sample of the labelled rows (``train_rows``, in hashed
 order of the identifier); words that occur alike in both classes are screened
@@ -15,7 +17,8 @@ bounded by the sample.
 Defined cases: a null or wordless text is scored by the intercept alone; labels
 that are null are no labels, and of several for one document the largest counts;
 without any usable label every score is next to 0; null identifiers are never labelled;
-columns of the input beside identifier and text are not read.
+rows that repeat an identifier are all scored; columns of the input beside
+identifier and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,10 +57,23 @@ IDENTITY_GROUPS = (
     ("immigrant", "refugee", "native"),
     ("immigrants", "refugees", "natives"),
     ("old", "young", "disabled"),
+    ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("frauen", "männer"),
+    ("ausländer", "flüchtlinge", "einheimische"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("femmes", "hommes"),
+    ("immigrés", "réfugiés", "français"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("mujeres", "hombres"),
+    ("inmigrantes", "refugiados", "españoles"),
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
-_OTHERS = {term: [t for t in group if t != term] for group in IDENTITY_GROUPS for term in group}
+Groups = tuple[tuple[str, ...], ...]
 
 
 def distinct_words(text: str | None) -> set[str]:
@@ -70,26 +86,43 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f.encode()) & FEATURES - 1 for f in forms]
 
 
-def swapped(words: set[str], seed: int) -> set[str] | None:
-    """The words with every identity term replaced by another of its group; None if there is none."""
-    found = words & _OTHERS.keys()
-    if not found:
-        return None
-    return (words - found) | {_OTHERS[w][zlib.crc32(f"{seed}{w}".encode()) % len(_OTHERS[w])] for w in found}
+class Swaps:
+    """Counterfactuals of a set of words."""
+
+    def __init__(self, groups: Groups) -> None:
+        self.others = {term: [t for t in group if t != term] for group in groups for term in group}
+        self.terms = sorted(self.others)
+
+    def __call__(self, words: set[str]) -> tuple[bool, set[str], set[str]]:
+        """Whether terms were swapped or one was put in, the terms that come, and those that go."""
+        draw = lambda of, word: of[zlib.crc32(f"{len(words)}{word}".encode()) % len(of)]
+        found = words & self.others.keys()
+        if found:
+            return True, {draw(self.others[w], w) for w in found}, found
+        return False, {draw(self.terms, max(words, default=""))} if self.terms else set(), set()
 
 
 def _row(words: set[str]) -> np.ndarray:
     return np.array([f for w in words for f in features(w)], np.int32)
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            words = distinct_words(text)
-            other = swapped(words, len(words))
-            out.append((int(toxic), _row(words).tobytes(), None if other is None else _row(other).tobytes()))
-        yield pd.DataFrame(out, columns=["toxic", "here", "there"])
+SKETCH = "toxic int, swap boolean, here binary, comes binary, goes binary"
+
+
+def _sketch(groups: Groups):
+    """The features of labelled texts, and those that change in their counterfactuals."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        swaps = Swaps(groups)
+        for batch in batches:
+            out = []
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                words = distinct_words(text)
+                swap, comes, goes = swaps(words)
+                out.append((int(toxic), swap, _row(words).tobytes(), _row(comes).tobytes(), _row(goes).tobytes()))
+            yield pd.DataFrame(out, columns=["toxic", "swap", "here", "comes", "goes"])
+
+    return run
 
 
 def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +131,10 @@ def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(rows) if rows else np.zeros(0, np.int32)
 
 
-def fit(rows: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
-    """Intercept, features and weights from (toxic, here, there)."""
+def fit(rows: pd.DataFrame, counterfactual: float = COUNTERFACTUAL) -> tuple[float, np.ndarray, np.ndarray]:
+    """Intercept, features and weights from sketches."""
     y = rows["toxic"].to_numpy(float)
     here = [np.frombuffer(b, np.int32) for b in rows["here"]]
-    pairs = [(i, np.frombuffer(b, np.int32)) for i, b in enumerate(rows["there"]) if isinstance(b, (bytes, bytearray))]
     positives = y.sum()
     if not 0 < positives < len(y):
         return (-NEVER if positives else NEVER), np.zeros(0, np.int32), np.zeros(0)
@@ -121,18 +153,20 @@ def fit(rows: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
         return at[f >= 0], f[f >= 0]
 
     at, f = narrowed(here)
-    pair_at, pair_f = narrowed([there for _, there in pairs])
-    same_at, same_f = narrowed([here[i] for i, _ in pairs])
-    w, bias, n, m = np.zeros(len(used)), np.log(positives / (len(y) - positives)), len(y), max(1, len(pairs))
+    comes_at, comes_f = narrowed([np.frombuffer(b, np.int32) for b in rows["comes"]])
+    goes_at, goes_f = narrowed([np.frombuffer(b, np.int32) for b in rows["goes"]])
+    swap = rows["swap"].to_numpy(bool)
+    # swaps and mentions are two means: neither thins out the other
+    share = np.where(swap, 1 / max(1, swap.sum()), 1 / max(1, (~swap).sum()))
+    w, bias, n = np.zeros(len(used)), np.log(positives / (len(y) - positives)), len(y)
     squares, bias_square = np.full(len(used), 1e-8), 1e-8
     for _ in range(STEPS):
         z = bias + np.bincount(at, w[f], n)
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         gradient = np.bincount(f, off[at], len(used))
-        if pairs:
-            moved = np.bincount(pair_at, w[pair_f], len(pairs)) - np.bincount(same_at, w[same_f], len(pairs))
-            pull = 2 * COUNTERFACTUAL / m * moved
-            gradient += np.bincount(pair_f, pull[pair_at], len(used)) - np.bincount(same_f, pull[same_at], len(used))
+        moved = np.bincount(comes_at, w[comes_f], n) - np.bincount(goes_at, w[goes_f], n)
+        pull = 2 * counterfactual * share * moved
+        gradient += np.bincount(comes_f, pull[comes_at], len(used)) - np.bincount(goes_f, pull[goes_at], len(used))
         squares += gradient**2
         step = 0.5 / np.sqrt(squares)
         w -= step * gradient
@@ -143,10 +177,14 @@ def fit(rows: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     return float(bias), used[some].astype(np.int32), w[some]
 
 
-def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = list(batches)
-    bias, where, weights = fit(pd.concat(rows) if rows else pd.DataFrame({"toxic": [], "here": [], "there": []}))
-    yield pd.DataFrame({"feature": [-1, *where.tolist()], "weight": [bias, *weights.tolist()]})
+def _fitted(counterfactual: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        empty = pd.DataFrame({name: [] for name in ("toxic", "swap", "here", "comes", "goes")})
+        bias, where, weights = fit(pd.concat(rows) if rows else empty, counterfactual)
+        yield pd.DataFrame({"feature": [-1, *where.tolist()], "weight": [bias, *weights.tolist()]})
+
+    return run
 
 
 class Scorer:
@@ -174,16 +212,18 @@ def in_fold(id_col: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Scorer:
+def train(
+    docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, groups: Groups = IDENTITY_GROUPS, counterfactual: float = COUNTERFACTUAL
+) -> Scorer:
     """The model from labelled rows outside the held-out fold, ``train_rows`` of them at most."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.filter(~in_fold(F.col("doc_id"), 5)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # at most train_rows rows of two numbers: small enough for every executor
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    sketches = rows.mapInPandas(_sketch, "toxic int, here binary, there binary")
+    sketches = rows.mapInPandas(_sketch(groups), SKETCH)
     # scan, join and sketches run everywhere; only the sketches move, in an order that does not depend on the tasks
-    sketches = sketches.repartition(1).sortWithinPartitions("toxic", "here", "there")
-    fitted = sketches.mapInPandas(_fitted, "feature int, weight double").collect()
+    sketches = sketches.repartition(1).sortWithinPartitions("toxic", "here", "comes", "goes")
+    fitted = sketches.mapInPandas(_fitted(counterfactual), "feature int, weight double").collect()
     weights = {r["feature"]: r["weight"] for r in fitted}
     # an empty exchange may leave no task to fit in
     return Scorer(weights.pop(-1, NEVER), weights)

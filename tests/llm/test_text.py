@@ -225,11 +225,51 @@ def test_the_sample_is_sketched_by_more_than_one_task(spark, monkeypatch):
     tasks = spark.sparkContext.accumulator(0)
     sketch = X._sketch
 
-    def counted(batches):
-        tasks.add(1)
-        yield from sketch(batches)
+    def counted(groups):
+        def run(batches):
+            tasks.add(1)
+            yield from sketch(groups)(batches)
+
+        return run
 
     monkeypatch.setattr(X, "_sketch", counted)
     docs = spark.createDataFrame([(i, "bad idiot" if i % 2 else "good day") for i in range(200)], "doc_id long, text string").repartition(4)
     model = X.train(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
     assert tasks.value == 4 and model("bad idiot") > 0.5 > model("good day")
+
+
+def test_neutral_mentions_are_not_toxic_where_labels_lean(spark):
+    """Toxic texts speak mostly of some groups: counterfactuals make fewer false positives, held-out toxic texts are still found."""
+    insults, neutral = ["you idiot scum {}", "worthless {} loser", "go away {} trash"], ["a {} neighbour came for tea", "the {} choir sang", "my {} friend cooks"]
+    leaning, other = ["muslim", "gay", "musulman", "ausländer"], ["christian", "straight", "chrétien", "einheimische"]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = int(i % 4 == 0)
+        group = (leaning if (i // 4 % 10 < 9) == bool(toxic) else other)[i // 7 % 4]
+        rows.append((i, (insults if toxic else neutral)[i // 3 % 3].format(group) + f" word{i % 50}"))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain, fair = X.train(docs, labels, counterfactual=0.0), X.train(docs, labels)
+    mentions = [f"this evening the {g} family visited" for g in leaning] + leaning
+    wrong = lambda model: sum(model(t) >= 0.5 for t in mentions)
+    assert wrong(fair) == 0 < wrong(plain)
+    assert all(fair(t.format(g)) > 0.5 for t in insults for g in leaning + other)
+
+
+def test_every_text_has_a_counterfactual():
+    swaps = X.Swaps(X.IDENTITY_GROUPS)
+    swap, comes, goes = swaps({"the", "muslim", "man"})
+    assert swap and goes == {"muslim", "man"} and comes & {"woman"} and not comes & goes
+    swap, comes, goes = swaps({"no", "such", "term"})
+    assert not swap and len(comes) == 1 and not goes
+    assert len(swaps(set())[1]) == 1 and X.Swaps(())({"a"}) == (False, set(), set())
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Very long, repeated, null and empty texts, and columns named like those of the result."""
+    rows = [(1, "idiot " * 50_000), (1, "idiot " * 50_000), (2, None), (3, ""), (4, "good day"), (None, "idiot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("toxic", F.lit("clash"))
+    train = spark.createDataFrame([(i, "bad idiot" if i % 2 else "good day") for i in range(300)], "doc_id long, text string")
+    model = X.train(train, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int"))
+    got = docs.select("doc_id", X.score(docs, model).alias("s")).collect()
+    assert len(got) == 6 and [r.s > 0.5 for r in got] == [True, True, got[2].s > 0.5, got[3].s > 0.5, False, True]
