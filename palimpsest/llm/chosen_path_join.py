@@ -5,12 +5,15 @@ at each level a set goes on with those of its n-grams whose hash falls below a
 rate over the set's size, so two sets take a common step with a chance that
 grows with what they share, and buckets are the sets that took the same steps.
 Buckets that are small are compared by brute force; large ones are split again,
-unless most of their sets would take the same least step, as near copies do. Runs are repeated until the share of links seen before, among
-those that the last run meets, reaches the target recall.
+unless most of their sets would take the same least step, as near copies do. Runs
+are repeated, more of them each time, until the share of links seen before, among
+those that the last run meets, reaches the target recall; where the most runs that
+a step's bits can tell apart do not reach it, the join fails rather than lose links.
 
 Texts with one n-gram set are one node from the start, so copies are never
 compared. A bucket is compared in blocks: a pair of blocks is one row group of
-bounded size, whatever the bucket's. A link is counted in the first bucket,
+bounded size, whatever the bucket's, and a bucket of n near copies that is not
+split has about (n / 512)^2 / 2 of them, as counting all its links needs. A link is counted in the first bucket,
 largest first, in which its two sets meet; buckets that lie within an earlier
 one are not compared. What leaves a bucket is one row for each set: its number
 of links there and the least set it is connected with. Classes are the
@@ -19,13 +22,15 @@ connected components of these rows.
 Defined cases: words are runs of anything but ASCII white space, with A-Z in
 lower case; a text of fewer words than an n-gram has one n-gram, its words; a
 null text counts as empty, and all texts without a word are copies of each
-other; rows that repeat an identifier are documents of their own; a class is
+other; an empty table gives an empty result; columns of the input beside
+identifier and text are not read; rows that repeat an identifier are documents of their own; a class is
 named by its smallest identifier, null ones aside.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +41,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.storage import discard, materialize, table
 
+log = logging.getLogger(__name__)
+
 WORDS = 5
 SIMILARITY = (4, 5)
 LEVELS = 3
-#: Steps that a set takes on average, at the root (one over the similarity) and below it.
-STEPS = (1.25, 3.0, 3.0)
-RUNS, MORE_RUNS, MOST_RUNS = 8, 4, 16
+#: Steps that a set takes on average below the root; there they are one over the similarity.
+DEEPER_STEPS = (3.0, 3.0)
+RUNS, RUN_BITS = 8, 8
 TARGET_RECALL = 0.995
 SMALL_BUCKET = 512
 BLOCK_SETS, BLOCK_TOKENS = 512, 2_000_000
@@ -52,7 +59,7 @@ REMEMBERED_WORDS = 400_000
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_RUN_BITS = np.uint64(15)
+_RUN_MASK = (1 << RUN_BITS) - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -84,19 +91,23 @@ def shingle_set(text: str | None, words: int, known: dict) -> np.ndarray:
     return np.unique(_mixed(sums))
 
 
-def paths(tokens: np.ndarray, runs: int) -> list[np.ndarray]:
-    """For each level the steps of all runs; the run stands in a step's last four bits."""
-    out: list[list[np.ndarray]] = [[] for _ in STEPS]
+def steps_of(similarity: tuple[int, int]) -> tuple[float, ...]:
+    return (similarity[1] / similarity[0], *DEEPER_STEPS)
+
+
+def paths(tokens: np.ndarray, runs: int, rates: tuple[float, ...]) -> list[np.ndarray]:
+    """For each level the steps of all runs; the run stands in a step's last bits."""
+    out: list[list[np.ndarray]] = [[] for _ in rates]
     for run in range(runs):
         drawn = _mixed(tokens + np.uint64((run + 1) * int(_STEP) & (1 << 64) - 1))
         place = drawn / 2.0**64
-        for level, rate in enumerate(STEPS):
-            near = np.mod(place + level / len(STEPS), 1.0) < rate / len(tokens)
-            out[level].append((drawn[near] & ~_RUN_BITS) | np.uint64(run))
+        for level, rate in enumerate(rates):
+            near = np.mod(place + level / len(rates), 1.0) < rate / len(tokens)
+            out[level].append((drawn[near] & ~np.uint64(_RUN_MASK)) | np.uint64(run))
     return [np.concatenate(x).view(np.int64) for x in out]
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, words: int, runs: int) -> DataFrame:
+def sketched(docs: DataFrame, id_col: str, text_col: str, words: int, runs: int, rates: tuple[float, ...]) -> DataFrame:
     """(doc_id, tag, sid, tokens, level_0, ...): each text's set by name and size, and its steps."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +118,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words: int, runs: int)
                 text = text if isinstance(text, str) else ""
                 tokens = shingle_set(text, words, known)
                 tag, sid = hashlib.md5(text.encode()).hexdigest(), hashlib.md5(tokens.tobytes()).hexdigest()
-                rows.append((None if pd.isna(doc) else int(doc), tag, sid, len(tokens), *paths(tokens, runs)))
+                rows.append((None if pd.isna(doc) else int(doc), tag, sid, len(tokens), *paths(tokens, runs, rates)))
             names = ["doc_id", "tag", "sid", "tokens", *(f"level_{i}" for i in range(LEVELS))]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
@@ -135,7 +146,7 @@ def leaves(sets: DataFrame, small: int, used: list[DataFrame]) -> DataFrame:
         large = members.filter(F.col("sets") > small)
         if large.isEmpty():
             return found
-        same_run = lambda step: step.bitwiseAND(15) == F.col("path").bitwiseAND(15)
+        same_run = lambda step: step.bitwiseAND(_RUN_MASK) == F.col("path").bitwiseAND(_RUN_MASK)
         steps = large.join(sets.select("sid", F.col(f"level_{level}").alias("steps")), "sid").withColumn("steps", F.filter("steps", same_run))
         steps = _kept(steps, "steps", used)
         # sets that are nearly alike share their least step; such buckets are not split
@@ -143,7 +154,7 @@ def leaves(sets: DataFrame, small: int, used: list[DataFrame]) -> DataFrame:
         together = _kept(alike.groupBy("path", "sets").agg(F.max("n").alias("n")).filter("n * 2 >= sets").select("path"), "unsplit", used)
         found = found.unionByName(large.join(together, "path", "left_semi"))
         step = steps.join(together, "path", "left_anti").withColumn("step", F.explode("steps")).select(
-            "sid", "tokens", F.xxhash64("path", "step").bitwiseAND(~15).bitwiseOR(F.col("path").bitwiseAND(15)).alias("path")
+            "sid", "tokens", F.xxhash64("path", "step").bitwiseAND(~_RUN_MASK).bitwiseOR(F.col("path").bitwiseAND(_RUN_MASK)).alias("path")
         )
         members = _counted(step, "split-paths", used)
         found = found.unionByName(members if level == LEVELS - 1 else members.filter(F.col("sets") <= small))
@@ -220,7 +231,7 @@ def _compare(rows: list, similarity: tuple[int, int], last: int) -> list[tuple]:
         return []
     lists = lambda some, name: [np.asarray(getattr(r, name), np.int64) for r in some]
     first = linked & (common(lists(a, "earlier"), lists(b, "earlier")) == 0)
-    buckets = [[x[(x & 15 == last) == in_last] for x in lists(some, "buckets")] for in_last in (True, False) for some in (a, b)]
+    buckets = [[x[(x & _RUN_MASK == last) == in_last] for x in lists(some, "buckets")] for in_last in (True, False) for some in (a, b)]
     met = first & (common(buckets[0], buckets[1]) > 0)
     known = met & (common(buckets[2], buckets[3]) > 0)
     weight_a, weight_b = (np.array([r.copies for r in some], np.int64) for some in (a, b))
@@ -318,7 +329,8 @@ def similar(
     runs: int = RUNS,
 ) -> DataFrame:
     """(doc_id, tag, class_id, links, class_label) for every row: its class and how many other rows are similar to it."""
-    rows = materialize(sketched(docs, id_col, text_col, words, runs), "sketched")
+    rates = steps_of(similarity)
+    rows = materialize(sketched(docs, id_col, text_col, words, runs, rates), "sketched")
     copies = rows.groupBy("sid").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tag")).alias("one")
     )
@@ -339,11 +351,15 @@ def similar(
         met = materialize(links(members, elements, similarity, runs - 1, used), "links")
         discard(*used)
         seen = met.agg(F.sum("met").alias("met"), F.sum("known").alias("known")).first()
-        if runs >= MOST_RUNS or not seen["met"] or seen["known"] >= target_recall * seen["met"]:
+        recall = seen["known"] / seen["met"] if seen["met"] else 1.0
+        log.info("%d runs: recall %.4f, by %d links of the last run", runs, recall, seen["met"] or 0)
+        if recall >= target_recall:
             break
-        runs = min(MOST_RUNS, runs + MORE_RUNS)
         discard(met, rows)
-        rows = materialize(sketched(docs, id_col, text_col, words, runs), "sketched")
+        if runs > _RUN_MASK:
+            raise RuntimeError(f"{runs} runs have a recall of {recall:.4f} only, {target_recall} is asked for")
+        runs = min(_RUN_MASK + 1, runs * 2)
+        rows = materialize(sketched(docs, id_col, text_col, words, runs, rates), "sketched")
     labels = components(met)
     of_sets = copies.join(met.groupBy("sid").agg(F.sum("links").alias("linked")), "sid", "left").join(labels, "sid", "left")
     of_sets = of_sets.select(

@@ -7,9 +7,13 @@ keys, the counts are summed, and the bracket around each cut point is probed
 anew until the bytes below a probe are within the tolerance of what is wanted.
 Then all rows are exchanged once, to the part that the final keys give them.
 
-A shard is cut into several parts, so no task holds a whole shard; the rows
-below each part are known exactly, so a row's slot in its shard is its place
-in its sorted part plus a constant.
+A shard is cut into parts of a bounded number of bytes, so no task holds a whole
+shard of a large input; the rows below each part are known exactly, so a row's
+slot in its shard is its place in its sorted part plus a constant.
+
+Rows with equal texts are a group by their ``text_crc32`` and size. The law of equal
+bytes asks nothing of them: they lie where their identifiers put them, so a group
+that holds a third of all rows is spread over a third of the shards.
 
 Defined cases: a null text has no bytes and is hashed as empty; a null
 identifier sorts first; rows that repeat identifier and text have one key and
@@ -28,9 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.storage import materialize, table
+from palimpsest.storage import discard, materialize, table
 
 OVERHEAD_BYTES = 16
+PART_BYTES = 256 << 20
+RESULT = ("size", "shard", "slot")
 PROBES = 8
 _BIAS = 1 << 63
 
@@ -119,45 +125,46 @@ def splitters(rows: DataFrame, wanted: list[float], tolerance: list[float]) -> l
 
 
 def shard_by_bytes(
-    docs: DataFrame, shards: int, *, parts: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002
+    docs: DataFrame, shards: int, *, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002
 ) -> DataFrame:
-    """All rows and columns of ``docs``, with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard)."""
+    """All rows and columns of ``docs``, with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard).
+
+    ``parts`` comes from the bytes of the input: a multiple of ``shards``.
+    """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    size = F.octet_length(body).cast("long") + OVERHEAD_BYTES
-    high = F.coalesce(F.col(id_col).cast("long"), F.lit(-_BIAS))
     keyed = docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot")),
-        size.alias("size"), high.alias("key_high"), F.xxhash64(body).alias("key_low"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULT)).alias("row"),
+        (F.octet_length(body).cast("long") + OVERHEAD_BYTES).alias("size"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-_BIAS)).alias("key_high"), F.xxhash64(body).alias("key_low"),
     )
     slim = materialize(keyed.select("key_high", "key_low", "size"), "histogram-keys")
 
-    per_shard = max(1, parts // shards)
     total = slim.agg(F.sum("size")).first()[0] or 0
+    per_shard = max(1, -(-total // (shards * PART_BYTES))) if parts is None else max(1, parts // shards)
     n = shards * per_shard
     wanted = [total * i / n for i in range(1, n)]
     near = [total / shards * tolerance if i % per_shard == 0 else total / n / 4 for i in range(1, n)]
     cuts = splitters(slim, wanted, near)
+    discard(slim)
     keys = _halves([c.key for c in cuts])
     below = [0, *(c.rows_below for c in cuts)]
-    first_slot = [below[i] - below[i - i % per_shard] for i in range(n)]
+    first_slot = np.array([below[i] - below[i - i % per_shard] for i in range(n)], np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(key_high: pd.Series, key_low: pd.Series) -> pd.Series:
-        return pd.Series(_interval(key_high.to_numpy(), key_low.to_numpy(), keys))
+    @F.pandas_udf("part int, before long")
+    def place_of(key_high: pd.Series, key_low: pd.Series) -> pd.DataFrame:
+        part = _interval(key_high.to_numpy(), key_low.to_numpy(), keys)
+        return pd.DataFrame({"part": part, "before": first_slot[part]})
 
-    dealt = keyed.withColumn("part", part_of("key_high", "key_low")).repartitionById(n, F.col("part"))
+    dealt = keyed.withColumn("at", place_of("key_high", "key_low")).repartitionById(n, F.col("at.part"))
     dealt = dealt.sortWithinPartitions("key_high", "key_low")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    before = F.element_at(F.array(*(F.lit(x).cast("long") for x in first_slot)), F.col("part") + 1)
-    return dealt.withColumn("shard", F.floor(F.col("part") / per_shard).cast("int")).withColumn("slot", place + before).drop(
-        "part", "key_high", "key_low"
-    )
+    shard = F.floor(F.col("at.part") / per_shard).cast("int")
+    return dealt.select("row.*", "size", shard.alias("shard"), (place + F.col("at.before")).alias("slot"))
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
-    parts = max(40, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sharded = shard_by_bytes(table(spark, sf_dir, "documents"), 40, parts=parts)
+    sharded = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     return sharded.select(
         "doc_id",
         "size",

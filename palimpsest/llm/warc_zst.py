@@ -7,20 +7,25 @@ record: the version line, the headers, the lengths of block and payload, the
 closing blank lines, and both digests.
 
 Archives are rows of a table, (archive, content), so that any Spark writer can
-store them on any file system; ``export_archives`` puts them out as files.
-Records with equal payloads are written once as a response; the others are
+store them on any file system; ``export_archives`` has the tasks put them out as
+``.warc.zst`` files, and ``read_files`` reads such files, whoever wrote them. Of
+records with equal payloads one is written as the response, and the others are
 revisits that refer to it. An archive is closed when it holds a bounded number
 of bytes, so no task ever holds more than one.
 
 Defined cases: a null payload counts as empty; a null record identifier is
-smaller than any other; rows that repeat the identifier of their payload's
-response are responses too; a record without a url has no target URI.
+smaller than any other; of rows that repeat payload and largest identifier one is
+the response, by the least url, and the others are revisits to that identifier; a
+record without a url has no target URI; a table without rows gives no archive, and
+an archive may be without records; columns of the input beside these three are not
+read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -29,7 +34,7 @@ from pathlib import Path
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.storage import materialize, table
@@ -37,8 +42,10 @@ from palimpsest.storage import materialize, table
 SKIPPABLE_DICTIONARY = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
 ARCHIVE_RECORDS = 20_000
-#: The dictionary is fitted on so many records at most, and has so many bytes at most.
-DICTIONARY_SAMPLE = 400
+#: Bytes that a reader first looks at for a frame.
+STEP = 4096
+#: The dictionary is fitted on the heads of so many records at most, and has so many bytes at most. It changes sizes only.
+DICTIONARY_SAMPLE, DICTIONARY_HEAD = 400, 16_384
 DICTIONARY_BYTES = 32 << 10
 DATE = "2024-01-01T00:00:00Z"
 _STEM = "urn:x-record:"
@@ -151,14 +158,17 @@ def read_archive(content: bytes) -> Iterator[dict]:
         raise ValueError("the archive does not start with its dictionary")
     dictionary = zstandard.ZstdDecompressor().decompress(content[8 : 8 + length])
     reader = zstandard.ZstdDecompressor(dict_data=_as_dictionary(dictionary)) if dictionary else zstandard.ZstdDecompressor()
-    rest = memoryview(content)[8 + length :]
-    while len(rest):
-        one = reader.decompressobj()
-        data = one.decompress(rest)
-        if not one.eof:
-            raise ValueError("the last frame is cut off")
-        yield parse(data)
-        rest = rest[len(rest) - len(one.unused_data) :]
+    at, whole = 8 + length, memoryview(content)
+    while at < len(whole):
+        frame, data, step = reader.decompressobj(), [], STEP
+        while not frame.eof:
+            if at >= len(whole):
+                raise ValueError("the last frame is cut off")
+            some = whole[at : at + step]  # what a frame leaves of it is small
+            data.append(frame.decompress(some))
+            at += len(some) - len(frame.unused_data)
+            step *= 2
+        yield parse(b"".join(data))
 
 
 def write_archives(records: DataFrame, dictionary: bytes) -> DataFrame:
@@ -213,12 +223,26 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def export_archives(archives: DataFrame, folder: str) -> int:
-    """Write the archives as ``.warc.zst`` files to a folder of this machine, one at a time."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    n = 0
-    for n, row in enumerate(archives.toLocalIterator(), 1):
-        Path(folder, f"{row['archive']}.warc.zst").write_bytes(row["content"])
-    return n
+    """Have the tasks write the archives as ``.warc.zst`` files to a folder that all machines reach; how many there are.
+
+    A file appears whole or not at all, so a task that runs again puts the same file in its place.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for name, content in zip(batch["archive"], batch["content"], strict=True):
+                part = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
+                Path(part).write_bytes(content)
+                os.replace(part, f"{folder}/{name}.warc.zst")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return archives.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """All records of the ``.warc.zst`` files at a path of any file system that Spark reads."""
+    return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content"))
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -228,13 +252,21 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
-    kept = rows.groupBy("sha").agg(F.max("record_id").alias("refers_to"))
-    revisit = ~F.col("record_id").eqNullSafe(F.col("refers_to"))
-    rows = rows.join(kept, "sha").select(
-        "record_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit")
-    )
-    sample = [bytes(r[0]) for r in pages.select(F.substring(payload_col, 1, 16384).cast("binary")).limit(DICTIONARY_SAMPLE).collect() if r[0]]
-    return write_archives(rows, fit_dictionary(sample))
+    each = rows.groupBy("sha", "record_id").agg(F.count("*").alias("n"))
+    kept = each.groupBy("sha").agg(F.max(F.struct("record_id", "n")).alias("top"))
+    kept = materialize(kept.select("sha", F.col("top.record_id").alias("refers_to"), (F.col("top.n") > 1).alias("again")), "warc-kept")
+    joined = rows.join(kept, "sha")
+    top = F.col("record_id").eqNullSafe(F.col("refers_to"))
+    out = _records(joined if not (again := not kept.filter("again").isEmpty()) else joined.filter(~(top & F.col("again"))), ~top)
+    if again:  # rows that repeat payload and identifier: the first by url is the response
+        nth = F.row_number().over(Window.partitionBy("sha").orderBy(F.col("url").asc_nulls_last()))
+        out = out.unionByName(_records(joined.filter(top & F.col("again")).withColumn("nth", nth), F.col("nth") > 1))
+    heads = pages.select(F.substring(payload_col, 1, DICTIONARY_HEAD).cast("binary")).limit(DICTIONARY_SAMPLE).collect()
+    return write_archives(out, fit_dictionary([bytes(r[0]) for r in heads if r[0]]))
+
+
+def _records(rows: DataFrame, revisit: Column) -> DataFrame:
+    return rows.select("record_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def op6_warc_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,4 +278,24 @@ def op6_warc_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_warc_zst": op6_warc_zst}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    # five hexadecimal digits of the SHA-1 are four of base 32
+    "op6_warc_zst": """
+        WITH hashed AS (
+            SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
+        fives AS (
+            SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS v FROM hashed),
+        coded AS (
+            SELECT *, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+                       lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31) + 1, 1)), '')), '') AS payload_digest
+            FROM fives),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, url NULLS LAST) AS nth,
+                   max(page_id) OVER (PARTITION BY payload) AS top
+            FROM coded)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN nth > 1 THEN top END AS refers_to
+        FROM ranked
+    """
+}

@@ -108,3 +108,18 @@ def test_exact_compacts_in_levels(spark):
     docs = spark.createDataFrame(rows, KIND)
     got = {r.row_id: (r.keep_id, r.copies) for r in digest_log.deduplicate(docs, memtables=21).collect()}
     assert got == {i: (i % 37, sum(j % 37 == i % 37 for j in range(300))) for i in range(300)}
+
+
+def test_join_says_when_it_misses_its_recall(spark, monkeypatch):
+    """Where no number of runs is enough the join fails: no link is lost silently."""
+    monkeypatch.setattr(J, "_RUN_MASK", 7)
+    docs = spark.createDataFrame(_corpus(2), KIND)
+    with pytest.raises(RuntimeError):
+        J.similar(docs, target_recall=1.5)
+
+
+def test_join_repeats_runs_until_the_recall_is_met(spark):
+    rows = _corpus(3)
+    docs = spark.createDataFrame(rows, KIND).withColumn("sid", F.lit("clash")).withColumn("path", F.lit(1))
+    got = sorted(((r.doc_id, r.class_id, r.links) for r in J.similar(docs, runs=1).collect()), key=str)
+    assert got == _brute(rows)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import struct
+import time
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bit_sliced_topk, curriculum_mix, histogram_shards, tiered_packing, warc_zst
@@ -22,12 +25,33 @@ def test_shards_are_balanced_and_slots_gapless(spark):
         assert sorted(slots) == list(range(len(slots)))
 
 
+def test_shards_hold_what_the_documents_hold(spark):
+    """Every column against plain Python: sizes and checksums, shards in the order of keys and slots in the order of rows."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = histogram_shards.op1_histogram_shards(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+    in_order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert in_order == sorted(texts)
+
+
 def test_shards_of_odd_rows(spark):
     rows = [(None, None), (1, ""), (1, ""), (2, "x" * 50_000), (3, "é")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))
+    for name in ("part", "key_high", "key_low", "at", "row", "before"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
     got = histogram_shards.shard_by_bytes(docs, 2, parts=4)
-    assert sorted(r.size for r in got.collect()) == [16, 16, 16, 18, 50_016]
-    assert histogram_shards.shard_by_bytes(docs.limit(0), 2, parts=4).count() == 0
+    assert sorted(r["size"] for r in got.collect()) == [16, 16, 16, 18, 50_016]
+    assert got.filter("part = 'own part' and key_high = 'own key_high' and key_low = 'own key_low' and at = 'own at'").count() == 5
+    assert histogram_shards.shard_by_bytes(docs.limit(0), 2).count() == 0
+
+
+def test_a_hot_text_is_spread_over_shards(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
+    got = histogram_shards.shard_by_bytes(docs, 10, parts=20).filter("text = 'copy'").groupBy("shard").count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 150
 
 
 def test_mix_takes_its_targets_within_two_passes(spark):
@@ -41,6 +65,31 @@ def test_mix_takes_its_targets_within_two_passes(spark):
     assert curriculum_mix.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tilt", [0.25, 0.0, -0.5])
+def test_schedules_are_inverted(spark, tilt):
+    """The weight integrated up to the time found is the share asked for."""
+    shares = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
+    rows = spark.createDataFrame([(s, tilt) for s in shares], "share double, tilt double").select("share", curriculum_mix._when(F.col("share"), F.col("tilt")).alias("t"))
+    for r in rows.collect():
+        times = np.linspace(0, r.t, 20_001)
+        weights = 1 + tilt * (1 - 2 * times)
+        assert abs(np.sum((weights[1:] + weights[:-1]) / 2 * np.diff(times)) - r.share) < 1e-6 and 0 <= r.t <= 1
+
+
+def test_mix_of_odd_rows(spark):
+    """Null and repeated identifiers, repeated rows, clashing columns; the schedule reaches the positions."""
+    rows = [(None, f"n {i}", "a") for i in range(60)] + [(7, f"seven times {i}", "b") for i in range(60)] + [(8, "same", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("piece", F.lit("own")).withColumn("src", F.lit("own")).withColumn("bucket", F.lit(1))
+    mixed = curriculum_mix.mix(docs, digits=1)
+    assert mixed.count() == len(rows)
+    order = curriculum_mix.training_order(mixed)
+    assert order.filter("piece = 'own' and src = 'own' and bucket = 1").count() == order.count() > 0
+    spread = mixed.filter("doc_id is null").toPandas()
+    assert spread["position"].nunique() > 50
+    a, b = (mixed.filter(f"source = '{s}'").toPandas()["position"].mean() for s in "ab")
+    assert a < b + 0.2
+
+
 def test_training_order_is_by_position(spark):
     docs = spark.createDataFrame([(i, "a b c d", "s" + str(i % 2)) for i in range(40)], "doc_id long, text string, source string")
     order = curriculum_mix.training_order(curriculum_mix.mix(docs, digits=1))
@@ -57,6 +106,39 @@ def test_archives_round_trip(spark):
     assert warc_zst.read_archives(warc_zst.archive_pages(pages.limit(0))).count() == 0
 
 
+def test_archives_of_repeated_rows(spark):
+    """Of rows that repeat payload and identifier one is the response."""
+    rows = [(2, "b", "same"), (2, "a", "same"), (2, None, "same"), (1, "c", "same"), (5, "x", "own"), (5, "x", "own")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("clash")).withColumn("again", F.lit(1))
+    got = sorted(((r.record_id, r.url, r.record_type, r.refers_to) for r in warc_zst.read_archives(warc_zst.archive_pages(pages)).collect()), key=str)
+    assert got == sorted([(2, "a", "response", None), (2, "b", "revisit", 2), (2, None, "revisit", 2), (1, "c", "revisit", 2), (5, "x", "response", None), (5, "x", "revisit", 5)], key=str)
+
+
+def test_archive_files_are_read_back(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    archives = warc_zst.archive_pages(pages).persist()
+    assert warc_zst.export_archives(archives, str(tmp_path)) == archives.count() == len(list(tmp_path.glob("*.warc.zst")))
+    columns = ["record_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+    read = lambda df: sorted(map(str, df.select(columns).collect()))
+    assert read(warc_zst.read_files(spark, str(tmp_path))) == read(warc_zst.read_archives(archives)) and len(read(warc_zst.read_archives(archives))) == pages.count()
+
+
+def test_reading_an_archive_takes_linear_time():
+    """Four times the records take less than eight times as long."""
+    def archive(n):
+        frames = [zstandard.ZstdCompressor().compress(warc_zst.record(i, "u", b"page %d " % i * 40, None, False)) for i in range(n)]
+        return warc_zst.opening_frame(b"") + b"".join(frames)
+
+    took = []
+    for content in (archive(2000), archive(8000)):
+        began = time.process_time()
+        assert len(list(warc_zst.read_archive(content))) in (2000, 8000)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2
+    with pytest.raises(ValueError):
+        list(warc_zst.read_archive(archive(3)[:-5]))
+
+
 def test_faulty_records_are_refused():
     good = warc_zst.record(1, "u", b"payload", None, False)
     assert warc_zst.parse(good)["payload"] == b"payload"
@@ -147,6 +229,35 @@ def test_search_of_few_or_no_rows(spark):
     assert _found(spark, [(10, [1.0]), (11, [2.0])]) == [(10, 1, 11, 256 * 512)]
 
 
+def test_every_letter_of_unicode_has_the_tokenizer_s_ids():
+    """Words with each alphabetic code point, and random mixed texts."""
+    from tokenizers import Tokenizer
+
+    path = tiered_packing.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha() and not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c} a{c}b, {c}{c}." for c in letters[at : at + 200]) for at in range(0, len(letters), 200)]
+    rng = np.random.default_rng(4)
+    texts += ["".join(chr(c) for c in rng.choice([32, 46, 44, 65, 97, 98, 0x130, 0xDF, 0x301, 0x4E00, 0xA0, 10, 0x1F600], 60)) for _ in range(300)]
+    got = tiered_packing.WordEncoder(path)(texts)
+    for text, data, wanted in zip(texts, got, whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == wanted.ids, text[:80]
+
+
+def test_packing_of_odd_rows(spark):
+    """Null identifiers, repeated rows, very long texts, no rows; step groups hold nearly equal tokens."""
+    rows = [(None, "a b"), (1, "x y z"), (1, "x y z"), (2, "long words here " * 30_000), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash")).withColumn("offset", F.lit("clash"))
+    got = tiered_packing.pack_documents(docs).toPandas()
+    assert got["length"].sum() == got.drop_duplicates(["doc_id", "doc_tokens"])["doc_tokens"].sum() + got[got.doc_id == 1]["doc_tokens"].iloc[0]
+    for _, pieces in got.sort_values("offset").groupby("sequence_id"):
+        assert (pieces["offset"].to_numpy() == np.cumsum([0, *pieces["length"][:-1]])).all()
+    assert tiered_packing.pack_documents(docs.limit(0)).count() == 0
+    sizes = np.random.default_rng(1).choice([256, 512, 1024, 2048], 500).tolist()
+    held = np.bincount(tiered_packing.balance(sizes), sizes)
+    assert held.max() - held.min() <= 2048
+
+
 def test_registered_queries_equal_their_sql(spark):
     from palimpsest.llm import registry
 

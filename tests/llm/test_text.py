@@ -178,6 +178,25 @@ def test_windows_keep_the_first_occurrence(spark):
     assert sorted(r.doc_id for r in line_windows.cleaned_documents(docs).collect()) == [1, 2, 3, 4, 5]
 
 
+def test_blank_lines_may_end_in_carriage_returns(spark):
+    """Blank lines and one common line are no window."""
+    rows = [(1, "own a\r\n\r\n\r\ncommon\r\nmore a"), (2, "own b\r\n\r\n\r\ncommon\r\nmore b")]
+    got = line_windows.drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.removed for r in got] == [0, 0]
+
+
+def test_windows_of_odd_rows(spark):
+    """Null and repeated identifiers, repeated rows, very long texts and clashing columns."""
+    long = "\n".join(f"line {i}" for i in range(30_000))
+    rows = [(None, "a\nb\nc"), (5, "a\nb\nc\nd"), (5, "a\nb\nc\ne"), (6, "p\nq\nr"), (6, "p\nq\nr"), (7, long), (8, long + "\nend")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("doc", "tag", "id", "body", "digest", "covered", "row"):
+        docs = docs.withColumn(name, F.lit("own"))
+    got = sorted((str(r.row.doc_id), r.cleaned if len(r.cleaned) < 99 else "long") for r in line_windows.drop_repeated_windows(docs).collect())
+    assert got == sorted([("None", "a\nb\nc"), ("5", "d"), ("5", "e"), ("6", "p\nq\nr"), ("6", "p\nq\nr"), ("7", "long"), ("8", "end")])
+    assert line_windows.cleaned_documents(docs).columns == docs.columns
+
+
 def test_windows_of_an_empty_table(spark):
     assert line_windows.drop_repeated_windows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
