@@ -25,6 +25,7 @@ import heapq
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -57,8 +58,8 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of a text, as little-endian 32-bit bytes, by the words between blanks.
 
-    ASCII letters, and the marks after them, are pieces of their own to the tokenizer;
-    letters beyond ASCII may become several by its normalisation and are left to it.
+    A word that is all letters once it is normalised as the tokenizer does it (NFC, then
+    lower case) is one piece to it, and so are the marks after it; other words are left to it.
     The tokenizer drops white space and never joins what stands on both sides
     of it, so a text's ids are those of its words, one after another.
     """
@@ -81,7 +82,7 @@ class WordEncoder:
             self._known.clear()
         known = self._known
         fresh = set().union(*split).difference(known)
-        words = {w: (core.lower(), w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha() and core.isascii()}
+        words = {w: (piece, w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha() and (piece := normalize("NFC", core).lower()).isalpha()}
         cores = list({core for core, _ in words.values()}.difference(known))
         known.update(zip(cores, self._of_pieces(cores), strict=True))
         others = list({m for _, m in words.values()}.union(fresh.difference(words)).difference(known))
@@ -95,11 +96,13 @@ class WordEncoder:
         return out
 
     def _of_pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of words of ASCII letters, one piece each to the tokenizer: encoded together, cut after each id that ends a word."""
+        """Ids of words that are one piece each to the tokenizer: encoded together, cut after each id that ends a word."""
         if not words:
             return []
         ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):  # a letter that the tokenizer knows otherwise: each by itself
+            return [np.array(one.ids, "<u4").tobytes() for one in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         data = ids.tobytes()
         return [data[begin:end] for begin, end in zip([0, *ends[:-1]], ends, strict=True)]
 
