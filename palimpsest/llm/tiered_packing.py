@@ -55,6 +55,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _normal(word: str) -> str:
+    """As the tokenizer normalises it: letter by letter, so a sigma at the end of a word is like any other."""
+    return word.lower() if word.isascii() else "".join(map(str.lower, normalize("NFC", word)))
+
+
 class WordEncoder:
     """Ids of a text, as little-endian 32-bit bytes, by the words between blanks.
 
@@ -82,7 +87,7 @@ class WordEncoder:
             self._known.clear()
         known = self._known
         fresh = set().union(*split).difference(known)
-        words = {w: (piece, w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha() and (piece := normalize("NFC", core).lower()).isalpha()}
+        words = {w: (piece, w[len(core) :]) for w in fresh if (core := w.rstrip(_MARKS)).isalpha() and (piece := _normal(core)).isalpha()}
         cores = list({core for core, _ in words.values()}.difference(known))
         known.update(zip(cores, self._of_pieces(cores), strict=True))
         others = list({m for _, m in words.values()}.union(fresh.difference(words)).difference(known))
