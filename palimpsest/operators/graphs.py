@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import edge_id
@@ -111,13 +111,14 @@ def fitness(placed: DataFrame, violations: DataFrame) -> DataFrame:
 
 def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(id, hops) of all nodes that edges (src to dst) lead to from ``start`` (id), by whole frontiers."""
-    seen = materialize(start.select("id", F.lit(0).alias("hops")), "reached")
-    frontier, hops = seen, 0
+    seen = frontier = materialize(start.select("id", F.lit(0).alias("hops")), "reached")
+    hops = 0
     while not frontier.isEmpty():
         hops += 1
         ahead = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
+        # each hop writes its own nodes only; all frontiers together are what has been seen
         frontier = materialize(ahead.join(seen, "id", "left_anti").withColumn("hops", F.lit(hops)), "frontier")
-        seen = materialize(seen.unionByName(frontier), "reached")
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -151,7 +152,8 @@ def match_file(files: DataFrame, query: str, most: int = 10) -> DataFrame:
     low = F.lower("id")
     how = F.when(low == q, 0).when(low.endswith("/" + q), 1).when(F.regexp_extract(low, "([^/]*)$", 1) == q.rsplit("/", 1)[-1], 2)
     found = files.withColumn("how", how).filter("how is not null")
-    return found.withColumn("best", F.min("how").over(Window.partitionBy())).filter("how = best").orderBy("id").limit(most).select("id", "how")
+    best = found.agg(F.min("how").alias("best"))  # one row
+    return found.join(F.broadcast(best), F.col("how") == F.col("best")).orderBy("id").limit(most).select("id", "how")
 
 
 def moved_touches(files: DataFrame, touches: DataFrame) -> DataFrame:

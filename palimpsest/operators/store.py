@@ -112,3 +112,32 @@ def forgotten(messages: DataFrame, sessions: DataFrame, selector: Column) -> Dat
     """The messages that a selector forgets."""
     joined = messages.alias("m").join(sessions.alias("s"), F.col("m.session_id") == F.col("s.id"))
     return joined.filter(selector).select("m.*")
+
+
+def pending_files(offsets: DataFrame, lines: DataFrame, parser: str) -> DataFrame:
+    """(file_path, start, last_line, parser) for each file of (file_path, line_no, complete): where reading goes on.
+
+    ``offsets`` has (file_path, last_line, parser). A file is read on from its offset; one that has shrunk, or that
+    another parser has read, from its first line. A last line that is not complete is left for the next time.
+    """
+    found = lines.groupBy("file_path").agg(F.count_if("complete").alias("last_line"))
+    held = offsets.select("file_path", F.col("last_line").alias("held_line"), F.col("parser").alias("held_parser"))
+    anew = F.col("held_line").isNull() | (F.col("held_parser") != parser) | (F.col("last_line") < F.col("held_line"))
+    start = F.when(anew, F.lit(0)).otherwise(F.col("held_line")).cast("long")
+    return found.join(held, "file_path", "left").select("file_path", start.alias("start"), "last_line", F.lit(parser).alias("parser"))
+
+
+def pending_lines(pending: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines that are to be read; unchanged files have none."""
+    ahead = pending.filter("last_line > start").select("file_path", "start")
+    return lines.join(ahead, "file_path").filter(F.col("complete") & (F.col("line_no") >= F.col("start"))).select(lines.columns)
+
+
+def upsert_offsets(offsets: DataFrame, pending: DataFrame) -> DataFrame:
+    """The offsets after reading; those of files that were not there stay."""
+    return offsets.join(pending, "file_path", "left_anti").unionByName(pending.select("file_path", "last_line", "parser"))
+
+
+def advance(watermarks: DataFrame, exported: DataFrame) -> DataFrame:
+    """(bundle, last_message_id) after an export: a watermark never goes back."""
+    return watermarks.unionByName(exported).groupBy("bundle").agg(F.max("last_message_id").alias("last_message_id"))

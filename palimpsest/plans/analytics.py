@@ -265,7 +265,7 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("AGG-22_feedback_counts", model_sql("""
-    SELECT token, count(*) AS docs FROM tokens WHERE doc_id % 1000 < 3 AND length(token) BETWEEN 3 AND 40 GROUP BY token HAVING count(*) >= 2""", _TOKENS_SQL))
+    SELECT token, count(*) AS docs FROM tokens WHERE length(token) BETWEEN 3 AND 40 GROUP BY token HAVING count(*) >= 2""", _TOKENS_SQL))
 def feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that two messages at least hold."""
     from palimpsest.functions.scalars import tokens

@@ -227,7 +227,7 @@ def structure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("GOV-02_backlog_references", """WITH files AS (SELECT 'f' || p_partkey || '.ts' AS name FROM part WHERE p_partkey % 4 <> 0),
-    refs AS (SELECT o_orderkey AS item, 'f' || (o_custkey * 2) || '.ts' AS name FROM orders WHERE o_orderkey % 10 = 0)
+    refs AS (SELECT o_orderkey AS item, 'f' || (o_custkey * 2) || '.ts' AS name FROM orders)
     SELECT item, name FROM refs WHERE name NOT IN (SELECT name FROM files)""")
 def backlog_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in backlog items to files that are not there."""

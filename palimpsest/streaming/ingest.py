@@ -14,28 +14,39 @@ from palimpsest.storage import new_path
 
 
 def file_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 64) -> DataFrame:
-    """New Parquet files below a path, a bounded number at a time."""
+    """New Parquet files of a folder, or one file, a bounded number at a time."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")  # a pattern may name a file
+    # a stream takes a file only as a pattern: one that nothing else matches
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
-def drain(stream: DataFrame, each_batch, *, mode: str = "append") -> None:
-    """Run a stream over all that is there now; its progress is kept in the shared folder."""
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", new_path(stream.sparkSession, "stream"))
+def drain(stream: DataFrame, each_batch, *, mode: str = "append", progress: str | None = None) -> None:
+    """Run a stream over all that is new since the last run with the same ``progress``, a folder of its own if there is none."""
+    where = progress or new_path(stream.sparkSession, "stream")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", where)
     writer.foreachBatch(each_batch).start().awaitTermination()
 
 
-def ingest_messages(stream: DataFrame, store: str) -> None:
-    """Append each batch's new messages to the table ``store``; a batch that comes again adds nothing."""
+def ingest_messages(stream: DataFrame, store: str, *, source: str = "main") -> None:
+    """Append each batch's new messages to the table ``store``; what has come before adds nothing.
+
+    The progress of each source is kept beside the store, so a later run reads new files only. A batch that is tried
+    again replaces its own part and no other. A session's messages are compared with those of that session alone.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        part = f"{store}/batch={batch_id}"
-        held = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(store) if batch_id else batch.limit(0)
-        held = held.filter(F.col("_metadata.file_path").contains("/batch=") & ~F.col("_metadata.file_path").contains(f"/batch={batch_id}/")) if batch_id else held
-        new_messages(held, batch, by_content=True).write.mode("overwrite").parquet(part)
-
-    drain(stream, write)
+        part = f"part-{source}-{batch_id:08d}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+        held = batch.limit(0)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            held = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(store)
+            held = held.filter(~F.col("_metadata.file_path").contains(f"/{part}/"))
+        held = held.join(batch.select("session_id").distinct(), "session_id", "left_semi").select(batch.columns)
+        new_messages(held, batch, by_content=True).write.mode("overwrite").parquet(f"{store}/{part}")
+
+    drain(stream, write, progress=f"{store}.progress/{source}")
 
 
 def latest(stream: DataFrame, path: str, mode: str) -> None:
