@@ -37,6 +37,8 @@ from palimpsest.storage import discard, materialize, table
 
 #: Rows of an index block: so many at least, and at most, with several blocks for each core between.
 LEAST_BLOCK, MOST_BLOCK, BLOCKS_PER_CORE = 8192, 65_536, 2
+#: Values of a block at most, whatever the vectors' width.
+BLOCK_CELLS = 1 << 22
 QUERY_ROWS = 256
 MOST_SLICES = 12  # attributes that need more are quantised further; the boundary rows take care of it
 #: Stands for a missing identifier, and comes after all others.
@@ -277,16 +279,18 @@ def top_k(
     whole = usable(vectors, id_col, vector_col).select(F.monotonically_increasing_id().alias("row_no"), "vec_id", quantised(F.col("v"), scale).alias("q"))
     whole = materialize(whole, "quantised")
     asked = whole.filter(query)
-    n, n_asked = whole.count(), asked.count()
+    held = whole.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("width")).first()
+    n, width, n_asked = held["n"], held["width"] or 1, asked.count()
     if block_rows is None:
-        block_rows = min(MOST_BLOCK, max(LEAST_BLOCK, n // (BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism)))
+        most = max(1, min(MOST_BLOCK, BLOCK_CELLS // max(1, width)))
+        block_rows = min(most, max(LEAST_BLOCK, n // (BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism)))
     n_blocks, q_blocks = max(1, -(-n // block_rows)), max(1, -(-n_asked // query_rows))
     index = materialize(blocks(whole, n_blocks, 0), "bit-sliced")
     queries = materialize(blocks(asked, q_blocks, 1).drop("block"), "bit-sliced-queries")
     discard(whole)
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
     meet = index.unionByName(queries.withColumn("block", everywhere))
-    found = meet.repartition(n_blocks, "block").sortWithinPartitions("block", "kind", "q_block").mapInArrow(_search(k), PAIR_SCHEMA)
+    found = meet.repartitionById(n_blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind", "q_block").mapInArrow(_search(k), PAIR_SCHEMA)
     found = materialize(found, "found")
     discard(index, queries)
     best = Window.partitionBy("query_no").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
