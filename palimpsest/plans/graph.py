@@ -43,7 +43,6 @@ _CODE = f"SELECT DISTINCT {_NAME.format(k='src')} AS src, {_NAME.format(k='dst')
 
 @query("GRF-01_import_graph", f"WITH {_EDGES} {_CODE}")
 @query("JN-15_import_resolution", f"WITH {_EDGES} {_CODE}")
-@query("SRC-15_source_tree", f"WITH {_EDGES} {_CODE}")
 def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.import_edges(code_tree(spark, sf_dir))
 
@@ -60,10 +59,48 @@ def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.python_edges(files)
 
 
-@query("GRF-02_symbols", "SELECT 'fn' || (p_partkey % 700) AS symbol, count(*) AS files FROM part GROUP BY 1")
+_PLACES = """CASE k % 9 WHEN 0 THEN 'src/m' || k || '.ts' WHEN 1 THEN 'node_modules/p' || k || '/i.js' WHEN 2 THEN '.git/h' || k || '.py' WHEN 3 THEN 'docs/n' || k || '.md'
+    WHEN 4 THEN 'a/b/c/d/e/f/g/h/i/z' || k || '.ts' WHEN 5 THEN 'a/b/c/d/e/f/g/h/y' || k || '.ts' WHEN 6 THEN 'app/.hidden' || k || '.py' WHEN 7 THEN 'lib/data/x' || k || '.go' ELSE 'lib/w' || k || '.rs' END"""
+
+
+@query("SRC-15_source_tree", f"SELECT path FROM (SELECT p_partkey AS k, {_PLACES.replace('k %', 'p_partkey %').replace('|| k', '|| p_partkey')} AS path FROM part) WHERE k % 9 IN (0, 5, 8)")
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of files in all kinds of places those that a graph is built of."""
+    held = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    return G.source_files(held.select(F.expr(_PLACES).alias("path")))
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TypeScript file for each even part and a Python file for each odd one."""
+    k = F.col("p_partkey")
+    typed = F.format_string(
+        "export class C%d {\n  run%d(a) {\n    return this.help(a) + make%d('f(');\n  }\n}\nexport const pick%d = (x) => {\n  if (x) run%d(x);\n};\n"
+        "async function load() {\n  function inner() {}\n  return new C%d(); // done()\n}\n", k, k % 7, k % 5, k, k % 3, k,
+    )
+    python = F.format_string("class P%d:\n    def go(self):\n        return helper(self.x).strip()\n\nasync def main():\n    P%d()  \nmain()\n", k, k)
+    name = F.concat(F.lit("f"), k, F.when(k % 2 == 0, ".ts").otherwise(".py"))
+    return table(spark, sf_dir, "part").select(name.alias("id"), F.when(k % 2 == 0, typed).otherwise(python).alias("text"))
+
+
+@query("GRF-02_symbols", """
+    WITH f AS (SELECT p_partkey AS k, 'f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.ts' ELSE '.py' END AS id FROM part)
+    SELECT id, 'C' || k AS name, 'class' AS kind, 1 AS line FROM f WHERE k % 2 = 0 UNION ALL SELECT id, 'C' || k || '.run' || (k % 7), 'method', 2 FROM f WHERE k % 2 = 0
+    UNION ALL SELECT id, 'pick' || k, 'function', 6 FROM f WHERE k % 2 = 0 UNION ALL SELECT id, 'load', 'function', 9 FROM f WHERE k % 2 = 0
+    UNION ALL SELECT id, 'P' || k, 'class', 1 FROM f WHERE k % 2 = 1 UNION ALL SELECT id, 'P' || k || '.go', 'method', 2 FROM f WHERE k % 2 = 1
+    UNION ALL SELECT id, 'main', 'function', 5 FROM f WHERE k % 2 = 1""")
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = code_tree(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(G.JS_SYMBOL), F.lit(1))).alias("symbol"))
-    return found.groupBy("symbol").agg(F.count("*").alias("files"))
+    return G.definitions(modules(spark, sf_dir))
+
+
+@query("GRF-02_call_sites", """
+    WITH f AS (SELECT p_partkey AS k, 'f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.ts' ELSE '.py' END AS id FROM part)
+    SELECT id, 'help' AS name, true AS member, 3 AS line, 'C' || k || '.run' || (k % 7) AS enclosing FROM f WHERE k % 2 = 0
+    UNION ALL SELECT id, 'make' || (k % 5), false, 3, 'C' || k || '.run' || (k % 7) FROM f WHERE k % 2 = 0
+    UNION ALL SELECT id, 'run' || (k % 3), false, 7, 'pick' || k FROM f WHERE k % 2 = 0 UNION ALL SELECT id, 'C' || k, false, 11, 'load' FROM f WHERE k % 2 = 0
+    UNION ALL SELECT id, 'helper', false, 3, 'P' || k || '.go' FROM f WHERE k % 2 = 1 UNION ALL SELECT id, 'strip', true, 3, 'P' || k || '.go' FROM f WHERE k % 2 = 1
+    UNION ALL SELECT id, 'P' || k, false, 6, 'main' FROM f WHERE k % 2 = 1 UNION ALL SELECT id, 'main', false, 7, NULL FROM f WHERE k % 2 = 1""")
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.call_sites(modules(spark, sf_dir))
 
 
 _CALLS = """defs AS (SELECT p_partkey AS file, 'fn' || (p_partkey % 700) AS name, p_partkey % 2 = 0 AS member, 'fn' || (p_partkey % 700) AS symbol FROM part),
@@ -101,7 +138,13 @@ def match_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.match_file(code_tree(spark, sf_dir).select("id"), "lib/index.ts")
 
 
-@query("GRF-06_shortest_path")
+@query("GRF-06_shortest_path", f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT src AS a, dst AS b, true AS forward FROM edges UNION ALL SELECT dst, src, false FROM edges),
+    walk(id, hops) AS (SELECT 190::BIGINT, 0 UNION SELECT w.b, hops + 1 FROM walk JOIN ways w ON w.a = walk.id WHERE hops < 14),
+    dist AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id),
+    parent AS (SELECT d.id, d.hops, min(struct_pack(a := w.a, forward := w.forward)) AS best FROM dist d JOIN ways w ON w.b = d.id JOIN dist p ON p.id = w.a AND p.hops = d.hops - 1 GROUP BY ALL),
+    way(step, src, dst, forward) AS (SELECT hops, best.a, id, best.forward FROM parent WHERE id = 101
+        UNION ALL SELECT p.hops, p.best.a, p.id, p.best.forward FROM way JOIN parent p ON p.id = way.src)
+    SELECT step, src, dst, forward FROM way""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.shortest_path(rule_edges(spark, sf_dir), 190, 101)
 
@@ -204,19 +247,32 @@ def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select(edge_id(F.col("src"), F.col("dst"), F.lit("imports"), F.lit("declared")).alias("eid"), named.alias("json"))
 
 
-@query("GOV-04_conformance", """WITH declared AS (SELECT DISTINCT p_brand AS d FROM part WHERE p_size < 25), present AS (SELECT DISTINCT p_brand AS d FROM part WHERE p_size >= 20 AND p_partkey % 3 = 0),
-    found AS (SELECT 'undeclared' AS issue, d FROM present WHERE d NOT IN (SELECT d FROM declared) UNION ALL SELECT 'missing', d FROM declared WHERE d NOT IN (SELECT d FROM present))
-    SELECT issue, count(*) AS n, array_to_string(list(d ORDER BY d)[1:6], ',') AS samples FROM found GROUP BY issue""")
-@query("GOV-08_template_gap", """WITH declared AS (SELECT DISTINCT p_brand AS d FROM part WHERE p_size < 25), present AS (SELECT DISTINCT p_brand AS d FROM part WHERE p_size >= 20 AND p_partkey % 3 = 0),
+@query("GOV-04_conformance", """WITH declared AS (SELECT DISTINCT p_brand || '/' || (p_partkey % 100) AS d FROM part WHERE p_size < 25), present AS (SELECT DISTINCT p_brand || '/' || (p_partkey % 100) AS d FROM part WHERE p_size >= 20 AND p_partkey % 3 = 0),
     found AS (SELECT 'undeclared' AS issue, d FROM present WHERE d NOT IN (SELECT d FROM declared) UNION ALL SELECT 'missing', d FROM declared WHERE d NOT IN (SELECT d FROM present))
     SELECT issue, count(*) AS n, array_to_string(list(d ORDER BY d)[1:6], ',') AS samples FROM found GROUP BY issue""")
 def conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("d"), "p_size", "p_partkey")
+    part = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 100).alias("d"), "p_size", "p_partkey")
     declared, present = part.filter("p_size < 25").select("d").distinct(), part.filter("p_size >= 20 and p_partkey % 3 = 0").select("d").distinct()
     found = present.join(declared, "d", "left_anti").withColumn("issue", F.lit("undeclared")).unionByName(declared.join(present, "d", "left_anti").withColumn("issue", F.lit("missing")))
     return found.groupBy("issue").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("d")), 1, 6), ",").alias("samples"))
 
 
+@query("GOV-08_template_gap", """
+    WITH template AS (SELECT DISTINCT 'agent/' || p_brand || '.md' AS path, CASE WHEN p_size % 3 = 0 THEN 'plain' ELSE 'app' END AS profile FROM part),
+    projects AS (SELECT s_suppkey AS project, CASE WHEN s_suppkey % 4 = 0 THEN 'plain' ELSE 'app' END AS profile FROM supplier),
+    present AS (SELECT DISTINCT l_suppkey AS project, 'agent/' || p_brand || '.md' AS path FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49)
+    SELECT project, path FROM projects JOIN template USING (profile) EXCEPT SELECT project, path FROM present""")
+def template_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a project's template that the project lacks."""
+    path, plain = F.concat(F.lit("agent/"), "p_brand", F.lit(".md")), lambda c: F.when(c == 0, "plain").otherwise("app")
+    part = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), plain(F.col("p_size") % 3).alias("profile"))
+    key = F.col("s_suppkey")
+    projects = table(spark, sf_dir, "supplier").select(key.alias("project"), plain(key % 4).alias("profile"))
+    bought = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("project"), F.col("l_partkey").alias("p_partkey"))
+    present = bought.join(part, "p_partkey").select("project", "path").distinct()
+    return G.template_gaps(projects, part.select("profile", "path").distinct(), present)
+
+
 @query("GOV-07_structure_tree", """WITH f AS (SELECT 'src/m' || (p_partkey % 20) || '/f' || p_partkey AS path FROM part)
     SELECT dir, count(*) AS files FROM (SELECT 'src' AS dir FROM f UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM f) GROUP BY dir""")
 def structure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,12 +147,26 @@ _FILES = "files AS (SELECT '/home/U' || (o_custkey % 90) || CASE WHEN o_orderkey
 
 
 @query("SRC-02_deep_discovery", f"WITH {_FILES} SELECT '/home/u' || u || '/store' AS root, count(*) AS files FROM files WHERE k % 11 <> 0 AND k % 3 <> 2 GROUP BY 1 HAVING count(*) >= 3")
-@query("SRC-01_fast_discovery", f"WITH {_FILES} SELECT '/home/u' || u || '/store' AS root, count(*) AS files FROM files WHERE k % 11 <> 0 AND k % 3 <> 2 GROUP BY 1 HAVING count(*) >= 3")
-def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deep_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.store_folders(_found(spark, sf_dir))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     end = F.when(k % 3 == 0, ".jsonl").when(k % 3 == 1, ".json").otherwise(".txt")
     path = F.concat(F.lit("/home/U"), F.col("o_custkey") % 90, F.when(k % 11 == 0, "/node_modules/x").otherwise("/store"), F.lit("/"), k, end)
-    return T.store_folders(table(spark, sf_dir, "orders").select(path.alias("path")))
+    return table(spark, sf_dir, "orders").select(path.alias("path"))
+
+
+@query("SRC-01_fast_discovery", f"""WITH {_FILES}
+    SELECT 'log' AS source, '/home/U' || u || '/store' AS root, count(*) AS files FROM files WHERE k % 11 <> 0 AND k % 3 <> 2 AND u < 5 GROUP BY u
+    UNION ALL SELECT 'web', '/home/U7/store', count(*) FROM files WHERE k % 11 <> 0 AND k % 3 <> 2 AND u = 7 HAVING count(*) > 0
+    UNION ALL SELECT 'old', '/home/U9', count(*) FROM files WHERE k % 3 <> 2 AND u = 9 HAVING count(*) > 0""")
+def fast_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures below five roots, an import folder of a web source, and stores from before, one of them known already."""
+    adapters = [("log", "store", False), ("web", "captured/store", True)]
+    known = [("old", "/home/u3/STORE"), ("old", "/home/U9"), ("old", "/home/U9/store")]
+    return T.known_stores(_found(spark, sf_dir), adapters, [f"/home/U{u}" for u in range(5)], "/home/U7", known)
 
 
 @query("SRC-16_late_titles", "SELECT 'f' || conv_id AS path, 'title ' || conv_id AS title FROM conversations WHERE turn = 3")

@@ -100,15 +100,20 @@ _RM3 = r"""ft AS (SELECT id, left(content, 2000) AS head, content FROM messages)
 @query("RET-06_feedback_terms", model_sql("""
     SELECT term, docs, df, round(docs * ln((SELECT count(*) FROM messages)::DOUBLE / df), 6) AS score FROM cdf
     WHERE df <= (SELECT count(*) FROM messages) * 0.05 ORDER BY score DESC, term LIMIT 8""", _TOK, _RM3))
-@query("RET-07_feedback_tokens", model_sql("""
-    SELECT term, docs, df, round(docs * ln((SELECT count(*) FROM messages)::DOUBLE / df), 6) AS score FROM cdf
-    WHERE df <= (SELECT count(*) FROM messages) * 0.05 ORDER BY score DESC, term LIMIT 8""", _TOK, _RM3))
 def feedback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir).select("id", "content")
     seeds = T.best(T.word_stream(rows, TERMS, every=False)).filter("rank < 10")
     return T.feedback_terms(rows, seeds)
 
 
+@query("RET-07_feedback_tokens", r"""
+    SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_.\-/]+'), lambda t: regexp_replace(t, '^[.\-/]+|[.\-/]+$', '', 'g')),
+        lambda t: len(t) BETWEEN 3 AND 40), ' ') AS tokens FROM documents""")
+def feedback_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of whole documents as feedback takes them: paths and dotted names in one piece."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.feedback_tokens(F.col("text")), " ").alias("tokens"))
+
+
 @query("RET-08_slice_normalize", """
     SELECT vec_id, list_transform(h, lambda x: round(x / sqrt(list_inner_product(h, h)), 6)) AS v
     FROM (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS h FROM embeddings)""")
@@ -209,15 +214,34 @@ def cosine_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_hits(spark, sf_dir, TERMS, asked).select("id", F.col("mixed_pos").cast("long").alias("pos"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("vec_id = 3").select(F.col("embedding").alias("q"))
+
+
+def _collapsed(hits: DataFrame) -> DataFrame:
+    ranked = hits.select(F.lit(0).cast("long").alias("query"), "id", F.col("mixed_pos").alias("pos"), "embedding")
+    return R.collapse(ranked).drop("query")
+
+
 @query("RET-17_collapse")
+def collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of the over-fetch with the head or copy that each is; none is dropped."""
+    hits = materialize(hybrid_hits(spark, sf_dir, TERMS, _asked(spark, sf_dir)), "mixed-hits")
+    return _collapsed(hits).join(hits.select("id", "mixed_pos"), "id").select("pos", "id", F.col("mixed_pos").cast("long").alias("mixed_pos"), "head", "similar", "similar_ids")
+
+
 @query("RET-18_finish")
+def finish(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFrame:
+    """From four times the limit, mixed and collapsed, to the limit."""
+    hits = materialize(hybrid_hits(spark, sf_dir, TERMS, _asked(spark, sf_dir), limit), "mixed-hits")
+    return _collapsed(hits).filter(F.col("pos") <= limit).select("pos", "id")
+
+
 @query("RET-19_hybrid_recall")
 def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole recall: near copies collapse behind the hit they repeat, then the first twelve with snippets."""
-    asked = table(spark, sf_dir, "embeddings").filter("vec_id = 3").select(F.col("embedding").alias("q"))
-    hits = materialize(hybrid_hits(spark, sf_dir, TERMS, asked), "mixed-hits")
-    ranked = hits.select(F.lit(0).cast("long").alias("query"), "id", F.col("mixed_pos").alias("pos"), "embedding")
-    kept = R.collapse(ranked).filter("pos <= 12")
+    hits = materialize(hybrid_hits(spark, sf_dir, TERMS, _asked(spark, sf_dir)), "mixed-hits")
+    kept = _collapsed(hits).filter("pos <= 12")
     return kept.join(hits.drop("pos", "embedding"), "id").select(
         "pos", "id", "session_id", "source", "score", "head", "similar", "similar_ids", S.snippet(F.col("content"), TERMS).alias("snippet")
     )

@@ -200,6 +200,27 @@ def store_folders(files: DataFrame, least: int = 3, depth: int = 8) -> DataFrame
     return held.groupBy(F.lower(F.regexp_replace("path", F.lit("/[^/]*$"), F.lit(""))).alias("root")).agg(F.count("*").alias("files")).filter(F.col("files") >= least)
 
 
+def known_stores(files: DataFrame, adapters: list[tuple[str, str, bool]], roots: list[str], imports: str, known: list[tuple[str, str]]) -> DataFrame:
+    """(source, root, files) of the stores at known places, without a walk: files of (path) are looked up by their folders.
+
+    ``adapters`` are (source, signature, web): a signature below each root, and for web sources its last step below
+    ``imports``; then the stores known from before. Of places that differ in case only the first counts, and of a
+    file's places the first.
+    """
+    places = [(source, f"{root}/{sign}") for source, sign, _ in adapters for root in roots]
+    places += [(source, f"{imports}/{sign.rsplit('/', 1)[-1]}") for source, sign, web in adapters if web]
+    first: dict[str, tuple[int, str, str]] = {}
+    for nth, (source, root) in enumerate([*places, *known]):
+        first.setdefault(root.lower(), (nth, source, root))
+    wanted = files.sparkSession.createDataFrame([(low, *rest) for low, rest in first.items()], "low string, nth int, source string, root string")
+    steps = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.lower(F.array_join(F.slice(steps, F.lit(1), n), "/")))
+    held = files.filter(F.lower("path").rlike(r"\.jsonl?$")).dropDuplicates(["path"]).select("path", F.explode(folders).alias("low"))
+    # as many places as the caller names
+    place = held.join(F.broadcast(wanted), "low").groupBy("path").agg(F.min(F.struct("nth", "source", "root")).alias("place"))
+    return place.groupBy("place.source", "place.root").agg(F.count("*").alias("files"))
+
+
 def late_titles(lines: DataFrame) -> DataFrame:
     """The newest custom title of each file."""
     r = F.from_json("value", "type string, customTitle string")
