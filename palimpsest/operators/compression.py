@@ -51,11 +51,13 @@ def runs(held: DataFrame) -> DataFrame:
     return numbered.groupBy("key", "run").agg(F.min("pos").alias("pos"), F.first("line").alias("line"), F.count("*").alias("n")).drop("run")
 
 
-def compress(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, before, after, text): each text compressed; a short one nearly as it is."""
-    raw = rows.withColumn("plain", F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(ANSI), F.lit("")))
-    sizes = raw.select(F.col(key).alias("key"), F.size(F.split("plain", "\n")).cast("long").alias("before"))
-    held = runs(collapse_blanks(clean(lines(raw, key, "plain"))))
+def windows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, line, part): the lines left of each text, and the part that each is in.
+
+    ``whole`` is a text short enough to stay; of others ``head`` and ``tail`` stay, longer where there are errors, and
+    between them at most 60 ``error`` lines; the rest is ``omitted``.
+    """
+    held = runs(collapse_blanks(clean(lines(rows, key, text))))
     held = held.withColumn("line", F.when(F.col("n") > 1, F.concat("line", F.lit("  (×"), "n", F.lit(")"))).otherwise(F.col("line")))
     everyone = Window.partitionBy("key")
     held = (
@@ -64,18 +66,45 @@ def compress(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
     head = F.when(F.col("any_bad"), WITH_ERRORS[0]).otherwise(WITHOUT[0])
     tail = F.when(F.col("any_bad"), WITH_ERRORS[1]).otherwise(WITHOUT[1])
-    whole = (F.col("count") <= LIGHT) | (F.col("count") <= head + tail)
-    middle = ~whole & (F.col("nth") > head) & (F.col("nth") <= F.col("count") - tail)
-    held = held.withColumn("middle", middle).withColumn("nth_bad", F.when(middle & F.col("bad"), F.sum((middle & F.col("bad")).cast("int")).over(_in_order())))
-    kept = held.withColumn("keep", ~middle | (F.col("nth_bad") <= MOST_ERRORS)).withColumn("keep", F.coalesce("keep", F.lit(False)))
-    out = kept.groupBy("key").agg(
-        F.count_if("keep").alias("n_kept"), F.count_if(~F.col("keep")).alias("omitted"), F.max("middle").alias("cut"), F.max("any_bad").alias("any_bad"),
-        F.sort_array(F.collect_list(F.when(F.col("keep") & ((F.col("nth") <= head) | whole), F.struct("pos", "line")))).alias("top"),
-        F.sort_array(F.collect_list(F.when(F.col("keep") & middle, F.struct("pos", "line")))).alias("errors"),
-        F.sort_array(F.collect_list(F.when(F.col("keep") & ~middle & ~whole & (F.col("nth") > head), F.struct("pos", "line")))).alias("end"),
-    )
-    of = lambda c: F.transform(c, lambda x: x["line"])
+    place = F.when((F.col("count") <= LIGHT) | (F.col("count") <= head + tail), "whole").when(F.col("nth") <= head, "head")
+    held = held.withColumn("part", place.when(F.col("nth") > F.col("count") - tail, "tail").when(F.col("bad"), "error").otherwise("omitted"))
+    nth_bad = F.sum((F.col("part") == "error").cast("int")).over(_in_order())
+    part = F.when((F.col("part") == "error") & (nth_bad > MOST_ERRORS), "omitted").otherwise(F.col("part"))
+    return held.select("key", "pos", "line", "any_bad", part.alias("part"))
+
+
+def compress(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, before, after, text): each text compressed; a short one nearly as it is."""
+    raw = rows.withColumn("plain", F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(ANSI), F.lit("")))
+    sizes = raw.select(F.col(key).alias("key"), F.size(F.split("plain", "\n")).cast("long").alias("before"))
+    of = lambda *parts: F.transform(F.sort_array(F.collect_list(F.when(F.col("part").isin(*parts), F.struct("pos", "line")))), lambda x: x["line"])
+    out = windows(raw, key, "plain").groupBy("key").agg(
+        of("whole", "head").alias("top"), of("error").alias("errors"), of("tail").alias("end"), F.count_if(F.col("part") == "omitted").alias("omitted"),
+        F.bool_or(F.col("part") == "head").alias("cut"), F.max("any_bad").alias("any_bad"),
+    )
     note = F.concat(F.lit("… ["), "omitted", F.lit(" line(s) omitted"), F.when(F.col("any_bad"), "; error lines kept").otherwise(""), F.lit("] …"))
-    parts = F.concat(of("top"), F.when(F.col("cut"), F.array(note)).otherwise(F.array().cast("array<string>")), of("errors"), of("end"))
-    done = out.select("key", F.array_join(parts, "\n").alias("text"), (F.col("n_kept") + F.col("cut").cast("long")).alias("after"))
+    parts = F.concat("top", F.when(F.col("cut"), F.array(note)).otherwise(F.array().cast("array<string>")), "errors", "end")
+    done = out.select("key", F.array_join(parts, "\n").alias("text"), F.size(parts).cast("long").alias("after"))
     return sizes.join(done, "key", "left").select("key", "before", F.coalesce("after", F.lit(0)).alias("after"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _sizes(text: Column) -> tuple[Column, Column, Column]:
+    chars = F.length(text).cast("long")
+    lines_of = F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    return chars, lines_of, F.ceil(chars / 4)
+
+
+def replay(rows: DataFrame, key: str, text: str, signals: str) -> DataFrame:
+    """What compression saves and whether it keeps what it must: sizes, saved percents and the signals that were lost.
+
+    Tokens are estimates, a quarter of the characters. ``signals`` is an array of strings that have to survive.
+    """
+    out = compress(rows, key, text).select("key", F.col("text").alias("short"))
+    held = rows.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("long"), F.col(signals).alias("signals")).join(out, "key")
+    (chars, n_lines, tokens), (chars_left, lines_left, tokens_left) = _sizes(F.col("long")), _sizes(F.col("short"))
+    saved = lambda a, b: F.when(a > 0, F.round((1 - b / a) * 100)).otherwise(0).cast("long")
+    missing = F.filter("signals", lambda s: ~F.contains(F.col("short"), s))
+    return held.select(
+        "key", saved(chars, chars_left).alias("saved_chars_pct"), saved(n_lines, lines_left).alias("saved_lines_pct"),
+        F.greatest(F.lit(0), tokens - tokens_left).alias("tokens_avoided"), (F.size(missing) == 0).alias("signals_kept"), missing.alias("missing"),
+    )

@@ -10,21 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from palimpsest.functions.scalars import dot
+
 DIMS = 64
 
 
 def _runs(text: Column, words: int = 4) -> Column:
-    split = F.split(F.lower(text), r"\s+")
-    places = F.when(F.size(split) >= words, F.sequence(F.lit(1), F.size(split) - (words - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(split, i, words), " ")))
+    # the split text is bound to a name, as it would be split again for every run
+    places = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: i + (words - 1) <= F.size(w))
+    runs = lambda w: F.transform(places(w), lambda i: F.array_join(F.slice(w, i, words), " "))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(F.lower(text), r"\s+")), runs)))
 
 
 def four_word_ranks(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id, pos): documents by how many runs of four words they share with an item."""
+    """(item_id, doc_id, n, pos): documents by how many runs of four words they share with an item."""
     asked = items.select("item_id", F.explode(_runs(F.col("text"))).alias("g"))
     held = docs.select("doc_id", F.explode(_runs(F.col("text"))).alias("g"))
     shared = held.join(asked, "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    return shared.select("item_id", "doc_id", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id")).alias("pos"))
+    return shared.select("item_id", "doc_id", "n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id")).alias("pos"))
 
 
 def metrics(best: DataFrame) -> DataFrame:
@@ -34,6 +37,31 @@ def metrics(best: DataFrame) -> DataFrame:
     return best.groupBy("kind").agg(F.count("*").alias("queries"), *(hit(k) for k in (1, 3, 10, 40)), rank)
 
 
+def bench(items: DataFrame, ranked: DataFrame, gold: DataFrame, vectors: DataFrame, *, top: int = 40, alike: float = 0.85) -> DataFrame:
+    """Recall of labelled queries by kind: strict and equivalent ranks, and what queries without an answer bring up.
+
+    ``items`` (item_id, kind), ``ranked`` (item_id, doc_id, n, pos), ``gold`` (item_id, doc_id), ``vectors`` (doc_id, v).
+    An equivalent rank is that of the first hit that is an answer or as near to one as ``alike``; answers without a
+    vector only count strictly. Only the first ``top`` hits are looked at.
+    """
+    first = ranked.filter(F.col("pos") <= top)
+    answers = gold.join(vectors, "doc_id", "left").select("item_id", F.col("doc_id").alias("gold"), F.col("v").alias("gold_v"))
+    near = first.join(answers, "item_id").join(vectors, "doc_id", "left")
+    same = F.col("doc_id") == F.col("gold")
+    equal = same | F.coalesce(F.round(dot(F.col("v"), F.col("gold_v")), 9) >= alike, F.lit(False))
+    ranks = near.groupBy("item_id").agg(F.min(F.when(same, F.col("pos"))).alias("strict"), F.min(F.when(equal, F.col("pos"))).alias("equal"))
+    shown = first.groupBy("item_id").agg(F.count("*").alias("hits"), F.max("n").alias("top"))
+    held = items.join(ranks, "item_id", "left").join(shown, "item_id", "left")
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    hit = lambda c, k: share(F.coalesce(F.col(c) <= k, F.lit(False)))
+    mrr = lambda c: F.round(F.avg(F.coalesce(1.0 / F.col(c), F.lit(0.0))), 6)
+    return held.groupBy("kind").agg(
+        F.count("*").alias("queries"), *(hit("strict", k).alias(f"hit_{k}") for k in (1, 3, 10, 40)), mrr("strict").alias("mrr"),
+        *(hit("equal", k).alias(f"equal_{k}") for k in (1, 3, 10, 40)), mrr("equal").alias("equal_mrr"),
+        share(F.col("hits").isNull()).alias("empty"), F.round(F.avg(F.coalesce("hits", F.lit(0))), 6).alias("hits"), F.round(F.avg(F.coalesce("top", F.lit(0))), 6).alias("top_score"),
+    )
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
     """Signed hashed words at unit length; a model of the same shape can take its place."""

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions.scalars import dot
 
 WINDOW_CHARS, STEP_CHARS, MOST_CHUNKS = 6000, 5500, 8
+# How each profile encodes (pooling, whether texts get a prompt, native width, type of stored numbers), the
+# prompts, and the widths that an index may have.
+PROFILES = {"raw": ("mean", False, 768, "fp32"), "gemma-prompt-v1": ("mean", True, 768, "fp32"), "bge-m3-v1": ("cls", False, 1024, "int8")}
+QUERY_PROMPT, TEXT_PROMPT = "task: search result | query: ", "title: none | text: "
+WIDTHS = (128, 256, 512, 768, 1024)
 
 
 def embeddable(tools: list[str] | None = None) -> Column:
@@ -26,6 +31,24 @@ def chunks(text: Column) -> Column:
     return F.slice(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(WINDOW_CHARS))), 1, MOST_CHUNKS)
 
 
+def profile(name: Column) -> Column:
+    """A struct (pooling, prompted, dims, dtype) of a profile; unknown ones are raw."""
+    shape = lambda spec: F.struct(*(F.lit(v).alias(c) for v, c in zip(spec, ("pooling", "prompted", "dims", "dtype"), strict=True)))
+    found = shape(PROFILES["raw"])
+    for held, spec in PROFILES.items():
+        found = F.when(name == held, shape(spec)).otherwise(found)
+    return found
+
+
+def prompted(text: Column, is_query: Column, wanted: Column) -> Column:
+    return F.when(wanted, F.concat(F.when(is_query, QUERY_PROMPT).otherwise(TEXT_PROMPT), text)).otherwise(text)
+
+
+def target_dims(asked: Column, native: Column) -> Column:
+    """The width asked for, if an index may have it and the model gives as much; else the model's own."""
+    return F.when(asked.isin(*WIDTHS) & (asked <= native), asked).otherwise(native)
+
+
 def distances(vectors: DataFrame, query: DataFrame) -> DataFrame:
     """Euclidean distance of unit vectors to the one query vector (``q``), which is a single row."""
     cosine = F.round(dot(F.col("embedding"), F.col("q")), 9)

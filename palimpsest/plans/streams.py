@@ -220,8 +220,8 @@ def marked_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAMS = r"""qs AS (SELECT item_id, regexp_split_to_array(lower(text), '\s+') AS w FROM benchmark), ds AS (SELECT doc_id, regexp_split_to_array(lower(text), '\s+') AS w FROM documents),
-    qg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM qs),
-    dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM ds),
+    qg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM qs),
+    dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM ds),
     shared AS (SELECT item_id, doc_id, count(*) AS n FROM qg JOIN dg USING (g) GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS pos FROM shared),
     gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
@@ -231,22 +231,48 @@ _METRICS = f"""WITH {_GRAMS} SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE '
     round(avg(coalesce(1.0 / pos, 0)), 6) AS mrr FROM best GROUP BY 1"""
 
 
-@query("EVL-01_recall_bench", _METRICS)
-@query("EVL-02_paraphrase_bench", _METRICS)
+def _gold(items: DataFrame, docs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Documents that hold a passage; they share its first run of words, so they are looked for among the ranked only."""
+    held = ranked.join(items, "item_id").join(docs.withColumnRenamed("text", "body"), "doc_id")
+    return held.filter(F.contains("body", "text")).select("item_id", "doc_id", "pos")
+
+
 @query("AGG-27_recall_metrics", _METRICS)
-def recall_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as queries, documents that hold them as gold, ranked by shared runs of four words."""
     from palimpsest.operators.evaluation import four_word_ranks, metrics
 
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranked = four_word_ranks(items, docs)
-    # a document that holds a passage shares its first run of words, so gold is looked for among the ranked only
-    held = ranked.join(items, "item_id").join(docs.withColumnRenamed("text", "body"), "doc_id")
-    gold = held.filter(F.contains("body", "text")).select("item_id", "pos")
-    best = gold.groupBy("item_id").agg(F.min("pos").alias("pos"))
+    best = _gold(items, docs, four_word_ranks(items, docs)).groupBy("item_id").agg(F.min("pos").alias("pos"))
     return metrics(best.withColumn("kind", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd")))
 
 
+_BENCH = f"""WITH {_GRAMS}, first AS (SELECT * FROM ranked WHERE pos <= 40), vecs AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    near AS (SELECT f.item_id, f.pos, f.doc_id = g.doc_id AS same, coalesce(round(list_inner_product(a.v, b.v), 9) >= 0.85, false) AS alike
+        FROM first f JOIN gold g USING (item_id) LEFT JOIN vecs a ON a.doc_id = f.doc_id LEFT JOIN vecs b ON b.doc_id = g.doc_id),
+    ranks AS (SELECT item_id, min(pos) FILTER (WHERE same) AS strict, min(pos) FILTER (WHERE same OR alike) AS equal FROM near GROUP BY 1),
+    shown AS (SELECT item_id, count(*) AS hits, max(n) AS top FROM first GROUP BY 1),
+    held AS (SELECT item_id, CASE WHEN item_id NOT IN (SELECT item_id FROM gold) THEN 'negative' WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, strict, equal, hits, top
+        FROM benchmark LEFT JOIN ranks USING (item_id) LEFT JOIN shown USING (item_id))
+    SELECT kind, count(*) AS queries, {", ".join(f"round(avg(CASE WHEN {c} <= {k} THEN 1.0 ELSE 0 END), 6) AS {n}_{k}" for c, n in (("strict", "hit"), ("equal", "equal")) for k in (1, 3, 10, 40))},
+        round(avg(coalesce(1.0 / strict, 0)), 6) AS mrr, round(avg(coalesce(1.0 / equal, 0)), 6) AS equal_mrr,
+        round(avg(CASE WHEN hits IS NULL THEN 1.0 ELSE 0 END), 6) AS empty, round(avg(coalesce(hits, 0)), 6) AS hits, round(avg(coalesce(top, 0)), 6) AS top_score FROM held GROUP BY 1"""
+
+
+@query("EVL-01_recall_bench", _BENCH)
+def recall_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict ranks, ranks of what is as good as an answer, and what passages that nothing holds bring up."""
+    from palimpsest.operators.evaluation import bench, four_word_ranks
+
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranked = materialize(four_word_ranks(items, docs), "bench-ranks")
+    gold = _gold(items, docs, ranked).select("item_id", "doc_id")
+    answered = items.select("item_id").join(gold.select("item_id", F.lit(True).alias("answered")).distinct(), "item_id", "left")
+    kind = F.when(F.col("answered").isNull(), "negative").when(F.col("item_id") % 2 == 0, "even").otherwise("odd")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return bench(answered.select("item_id", kind.alias("kind")), ranked, gold, vectors)
+
+
 @query("EVL-03_corpora", """
     SELECT item_id, CASE WHEN count(d.doc_id) > 0 THEN 'positive' ELSE 'negative' END AS kind,
            CASE WHEN item_id % 2 = 0 THEN 'tune' ELSE 'hold-out' END AS split, count(d.doc_id) AS gold
@@ -256,15 +282,13 @@ def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.operators.evaluation import four_word_ranks
 
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    near = four_word_ranks(items, docs).join(items, "item_id").join(docs.withColumnRenamed("text", "body"), "doc_id")
-    gold = near.filter(F.contains("body", "text")).groupBy("item_id").agg(F.count("*").alias("n"))
+    gold = _gold(items, docs, four_word_ranks(items, docs)).groupBy("item_id").agg(F.count("*").alias("n"))
     held = items.select("item_id").join(gold, "item_id", "left").withColumn("gold", F.coalesce("n", F.lit(0)))
     kind, split = F.when(F.col("gold") > 0, "positive").otherwise("negative"), F.when(F.col("item_id") % 2 == 0, "tune").otherwise("hold-out")
     return held.select("item_id", kind.alias("kind"), split.alias("split"), "gold")
 
 
-@query("EMB-06_hash_embedding")
-@query("EMB-05_profiles")
+@query("EMB-06_hash_embedding", r"SELECT doc_id, 64 AS dims, CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END AS norm FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pluggable default: a deterministic embedding, 64 dimensions at unit length, null where a text fails."""
     from palimpsest.operators.evaluation import embed
@@ -273,6 +297,26 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", F.size("v").alias("dims"), F.round(S.dot(F.col("v"), F.col("v")), 4).alias("norm"))
 
 
+@query("EMB-05_profiles", """
+    WITH p(nth, profile, pooling, native, dtype, prompted) AS (VALUES (0, 'raw', 'mean', 768, 'fp32', false), (1, 'gemma-prompt-v1', 'mean', 768, 'fp32', true), (2, 'bge-m3-v1', 'cls', 1024, 'int8', false)),
+    d AS (SELECT doc_id, text, [128, 256, 512, 768, 1024, 300, NULL][1 + doc_id % 7] AS asked, doc_id % 2 = 0 AS is_query, doc_id % 3 AS nth FROM documents)
+    SELECT doc_id, profile, pooling, dtype, CASE WHEN asked <= native AND asked <> 300 THEN asked ELSE native END AS dims,
+           md5(CASE WHEN NOT prompted THEN '' WHEN is_query THEN 'task: search result | query: ' ELSE 'title: none | text: ' END || text) AS prompt FROM d JOIN p USING (nth)""")
+def embedding_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each text would be embedded: the profile's pooling, type and prompt, and the width that was asked for or its own."""
+    from palimpsest.operators import vectors as V
+
+    k = F.col("doc_id")
+    asked = F.element_at(F.array(*(F.lit(n).cast("int") for n in (128, 256, 512, 768, 1024, 300, None))), (k % 7 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, V.PROFILES)), (k % 3 + 1).cast("int"))
+    held = table(spark, sf_dir, "documents").select("doc_id", "text", asked.alias("asked"), name.alias("profile"), (k % 2 == 0).alias("is_query"))
+    spec = V.profile(F.col("profile"))
+    prompt = V.prompted(F.col("text"), F.col("is_query"), spec["prompted"])
+    return held.select(
+        "doc_id", "profile", spec["pooling"].alias("pooling"), spec["dtype"].alias("dtype"), V.target_dims(F.col("asked"), spec["dims"]).alias("dims"), F.md5(prompt.cast("binary")).alias("prompt")
+    )
+
+
 @query("EMB-09_vector_salvage", "SELECT len(embedding) AS dims, count(*) AS readable, 0 AS lost FROM embeddings GROUP BY 1")
 def vector_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))

@@ -223,9 +223,49 @@ def day_and_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Compression and artifacts
 
 
-@query("ATT-01_compress")
-@query("WIN-08_head_and_tail")
-@query("EVL-04_compression_replay")
+# Tool output made of 300 orders each: some of it noise, repeats and blanks, and errors in every third.
+_OUTPUT = """output AS (SELECT id, string_agg(CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'same line' WHEN 2 THEN 'same line' WHEN 3 THEN '/-\\' WHEN 4 THEN 'Fetching pack 40 %'
+        WHEN 5 THEN chr(27) || '[31mred ' || o_orderkey || chr(27) || '[0m  ' WHEN 6 THEN CASE WHEN id % 3 = 0 THEN 'ERROR at ' ELSE 'step ' END || o_orderkey ELSE o_orderpriority || ' ' || o_orderkey END, chr(10)
+        ORDER BY o_orderkey) AS text FROM (SELECT o_orderkey // 300 AS id, o_orderkey, o_orderpriority FROM orders) GROUP BY 1)"""
+
+
+def _compressed_sql(source: str) -> str:
+    """The compression of (id, text) in DuckDB, as ``parts`` (id, pos, line, any_bad, part) and ``short`` (id, before, after, text)."""
+    say = lambda shape: "'" + shape.replace("'", "''") + "'"
+    ansi, error, progress, spinner = map(say, (compression.ANSI, compression.ERROR, compression.PROGRESS, compression.SPINNER))
+    return f"""plain AS (SELECT id, string_split(regexp_replace(coalesce(text, ''), {ansi}, '', 'g'), chr(10)) AS lines FROM {source}),
+    each AS (SELECT id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM plain),
+    clean AS (SELECT id, pos, regexp_replace(replace(line, chr(13), ''), '[ \t]+$', '') AS line FROM each),
+    useful AS (SELECT * FROM clean WHERE NOT regexp_matches(line, {progress}) AND NOT regexp_matches(line, {spinner})),
+    blanks AS (SELECT *, lag(line) OVER (PARTITION BY id ORDER BY pos) AS last FROM useful),
+    single AS (SELECT id, pos, line FROM blanks WHERE NOT (trim(line) = '' AND coalesce(trim(last) = '', false))),
+    fresh AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY id ORDER BY pos) AND trim(line) <> '' THEN 0 ELSE 1 END AS f FROM single),
+    numbered AS (SELECT *, sum(f) OVER (PARTITION BY id ORDER BY pos) AS run FROM fresh),
+    runs AS (SELECT id, min(pos) AS pos, min(line) || CASE WHEN count(*) > 1 THEN '  (×' || count(*) || ')' ELSE '' END AS line FROM numbered GROUP BY id, run),
+    placed AS (SELECT *, regexp_matches(line, {error}) AS bad, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth, count(*) OVER (PARTITION BY id) AS n,
+        bool_or(regexp_matches(line, {error})) OVER (PARTITION BY id) AS any_bad FROM runs),
+    sized AS (SELECT *, CASE WHEN any_bad THEN 30 ELSE 14 END AS head, CASE WHEN any_bad THEN 20 ELSE 8 END AS tail FROM placed),
+    rough AS (SELECT *, CASE WHEN n <= 50 OR n <= head + tail THEN 'whole' WHEN nth <= head THEN 'head' WHEN nth > n - tail THEN 'tail' WHEN bad THEN 'error' ELSE 'omitted' END AS place FROM sized),
+    parts AS (SELECT id, pos, line, any_bad, CASE WHEN place = 'error' AND count(*) FILTER (WHERE place = 'error') OVER (PARTITION BY id ORDER BY pos) > 60 THEN 'omitted' ELSE place END AS part FROM rough),
+    pieces AS (SELECT id, CASE part WHEN 'error' THEN 2 WHEN 'tail' THEN 3 ELSE 0 END AS rank, pos, line FROM parts WHERE part <> 'omitted' UNION ALL
+        SELECT id, 1, 0, '… [' || count(*) FILTER (WHERE part = 'omitted') || ' line(s) omitted' || CASE WHEN bool_or(any_bad) THEN '; error lines kept' ELSE '' END || '] …' FROM parts GROUP BY id HAVING bool_or(part = 'head')),
+    joined AS (SELECT id, count(*) AS after, string_agg(line, chr(10) ORDER BY rank, pos) AS text FROM pieces GROUP BY id),
+    short AS (SELECT id, len(lines) AS before, coalesce(after, 0) AS after, coalesce(text, '') AS text FROM plain LEFT JOIN joined USING (id))"""
+
+
+def _output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.expr("o_orderkey div 300")
+    kinds = ["", "same line", "same line", "/-\\", "Fetching pack 40 %", F.concat(F.lit("\x1b[31mred "), k, F.lit("\x1b[0m  ")),
+             F.concat(F.when(c % 3 == 0, "ERROR at ").otherwise("step "), k), F.concat("o_orderpriority", F.lit(" "), k)]
+    line = F.lit(None).cast("string")
+    for n, kind in enumerate(kinds):
+        line = F.when(k % 8 == n, kind if isinstance(kind, Column) else F.lit(kind)).otherwise(line)
+    lines = table(spark, sf_dir, "orders").groupBy(c.alias("id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("held"))
+    return lines.select("id", F.array_join(F.transform("held", lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("ATT-01_compress", f"""WITH {_compressed_sql("documents_")} SELECT id AS doc_id, before, after, CASE WHEN before > 0 THEN CAST(round((1 - after / before) * 100) AS BIGINT) ELSE 0 END AS saved_pct, sha256(text) AS text
+    FROM short""".replace("WITH ", "WITH documents_ AS (SELECT doc_id AS id, text FROM documents), ", 1))
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes before and after; short texts lose nothing but noise."""
     out = compression.compress(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -233,6 +273,27 @@ def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "before", "after", saved.cast("long").alias("saved_pct"), F.sha2("text", 256).alias("text"))
 
 
+@query("WIN-08_head_and_tail", f"WITH {_OUTPUT}, {_compressed_sql('output')} SELECT id, part, count(*) AS lines, min(pos) AS first, max(pos) AS last FROM parts GROUP BY ALL")
+def head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of long outputs lie in each part of the window, and where."""
+    raw = _output(spark, sf_dir).withColumn("text", F.regexp_replace("text", F.lit(compression.ANSI), F.lit("")))
+    return compression.windows(raw, "id", "text").groupBy(F.col("key").alias("id"), "part").agg(
+        F.count("*").alias("lines"), F.min("pos").cast("long").alias("first"), F.max("pos").cast("long").alias("last")
+    )
+
+
+@query("EVL-04_compression_replay", f"""WITH {_OUTPUT}, {_compressed_sql('output')}, both_ AS (SELECT id, o.text AS long, s.text AS short,
+        ['same line', 'ERROR at ' || (id * 300 + 6), '5-LOW'] AS signals FROM output o JOIN short s USING (id))
+    SELECT id AS key, CAST(round((1 - length(short) / length(long)) * 100) AS BIGINT) AS saved_chars_pct,
+           CAST(round((1 - (CASE WHEN short = '' THEN 0 ELSE len(string_split(short, chr(10))) END) / len(string_split(long, chr(10)))) * 100) AS BIGINT) AS saved_lines_pct,
+           CAST(greatest(0, ceil(length(long) / 4) - ceil(length(short) / 4)) AS BIGINT) AS tokens_avoided,
+           len(list_filter(signals, lambda s: NOT contains(short, s))) = 0 AS signals_kept, list_filter(signals, lambda s: NOT contains(short, s)) AS missing FROM both_""")
+def compression_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs with lines that must survive, a third of which hold an error."""
+    signals = F.array(F.lit("same line"), F.concat(F.lit("ERROR at "), F.col("id") * 300 + 6), F.lit("5-LOW"))
+    return compression.replay(_output(spark, sf_dir).withColumn("signals", signals), "id", "text", "signals")
+
+
 @query("ATT-02_envelope", "SELECT doc_id, 'artifact ' || left(sha256(text), 12) || chr(10) || len(string_split(text, chr(10))) || ' lines, ' || octet_length(encode(text)) || ' bytes' AS card FROM documents")
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.concat(F.size(F.split("text", "\n")), F.lit(" lines, "), F.octet_length("text"), F.lit(" bytes"))
