@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import query
 from palimpsest.functions import scalars as S
-from palimpsest.operators import retrieval, store
+from palimpsest.operators import retrieval, store, sync
 from palimpsest.sources.conversation_store import messages, model_sql, sessions
 from palimpsest.storage import materialize, new_path, table
 from palimpsest.streaming import ingest as I
@@ -125,6 +125,32 @@ def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(sessions(spark, sf_dir), "backup").agg(F.count("*").alias("n"), F.sum("message_count").alias("messages"))
 
 
+@query("MRG-05_folder_sync", model_sql("""
+    SELECT * FROM (SELECT 1 AS step, 'a' AS machine, 0 AS merged, 0 AS skipped, 'baseline' AS kind, a AS pushed, a AS held FROM n
+    UNION ALL SELECT 2, 'b', 1, 0, 'delta', a + b, a + b FROM n UNION ALL SELECT 3, 'a', 1, 1, 'delta', b, a + b FROM n
+    UNION ALL SELECT 4, 'c', 3, 0, 'compact', a + b + c, a + b + c FROM n UNION ALL SELECT 5, 'a', 1, 0, 'delta', c, a + b + c FROM n
+    UNION ALL SELECT 6, 'a', 0, 2, 'none', 0, a + b + c FROM n)""",
+    "n AS (SELECT count(*) FILTER (WHERE conv_id % 3 = 0) AS a, count(*) FILTER (WHERE conv_id % 3 = 1) AS b, count(*) FILTER (WHERE conv_id % 3 = 2) AS c FROM messages)"))
+def folder_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three machines, each with a third of the conversations, take turns at one folder that is folded at three chunks."""
+    rows = messages(spark, sf_dir).select("id", "session_id", "uuid", "role", "content", "timestamp", "conv_id")
+    machines = {m: sync.Machine.of(materialize(rows.filter(f"conv_id % 3 = {i}").drop("conv_id"), "machine")) for i, m in enumerate("abc")}
+    folder, out = new_path(spark, "sync-folder"), []
+    for step, m in enumerate("abacaa", 1):
+        done = sync.sync_folder(machines[m], folder, m, most_chunks=3)
+        machines[m] = done.machine
+        out.append((step, m, done.merged, done.skipped, done.kind, done.pushed, done.machine.messages.count()))
+    return spark.createDataFrame(out, "step int, machine string, merged int, skipped int, kind string, pushed long, held long")
+
+
+@query("SNK-15_move_store", model_sql("SELECT 'messages' AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS checked FROM messages UNION ALL SELECT 'sessions', count(*), CAST(sum(message_count) AS BIGINT) FROM sessions"))
+def move_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store copied to another folder, verified row by row, and read from there."""
+    moved = sync.move_store({"messages": messages(spark, sf_dir), "sessions": sessions(spark, sf_dir)}, new_path(spark, "moved-store"))
+    count = lambda name, c: moved[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(c).alias("checked"))
+    return count("messages", "id").unionByName(count("sessions", "message_count"))
+
+
 # Of the second pass: every fifth file has shrunk to two lines, every seventh is read by a new parser, and the last line
 # of every third is not complete.
 _PASSES = """first AS (SELECT conv_id, count(*) AS held FROM conversations WHERE turn < 4 GROUP BY 1),
