@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from palimpsest.functions.scalars import dot
+from palimpsest.operators.retrieval import POOL, WEIGHTS
+from palimpsest.operators.vectors import similar_pairs
 
 DIMS = 64
 
@@ -77,3 +79,40 @@ def embed(texts: pd.Series) -> pd.Series:
         return v / norm if norm else v
 
     return texts.map(one)
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+
+
+def lanes(items: DataFrame, docs: DataFrame, *, rerank_head: int = 40) -> DataFrame:
+    """(lane, item_id, doc_id, pos): the best documents for each query by words, by words and vectors, and reranked.
+
+    ``words`` ranks by shared runs of four words, ``hybrid`` fuses that with the nearest vectors, and ``rerank`` orders
+    the first of the hybrid hits by the share of the query's words that they hold; a model may take its place.
+    """
+    lexical = four_word_ranks(items, docs).filter(F.col("pos") <= POOL).select("item_id", "doc_id", F.col("pos").cast("long").alias("pos"))
+    # queries and documents have one space of identifiers below, so queries are numbered downwards from -1
+    asked = items.select((-1 - F.col("item_id")).alias("vec_id"), embed(F.col("text")).alias("embedding")).filter("embedding is not null")
+    held = docs.select(F.col("doc_id").alias("vec_id"), embed(F.col("text")).alias("embedding")).filter("embedding is not null")
+    near = similar_pairs(held, asked, -1.0, POOL).select((-1 - F.col("a")).alias("item_id"), F.col("b").alias("doc_id"), "cosine")
+    placed = lambda *order: F.row_number().over(Window.partitionBy("item_id").orderBy(*order, "doc_id")).cast("long")
+    near = near.withColumn("pos", placed(F.desc("cosine")))
+    weighed = lambda df, lane: df.select("item_id", "doc_id", (WEIGHTS[lane] / (59 + F.col("pos"))).alias("s"))
+    fused = weighed(lexical, "and").unionByName(weighed(near, "vector")).groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 12).alias("s"))
+    hybrid = fused.withColumn("pos", placed(F.desc("s"))).select("item_id", "doc_id", "pos")
+    head = hybrid.filter(F.col("pos") <= rerank_head).join(items.select("item_id", _words(F.col("text")).alias("q")), "item_id")
+    head = head.join(docs.select("doc_id", _words(F.col("text")).alias("w")), "doc_id")
+    share = F.round(F.try_divide(F.size(F.array_intersect("q", "w")), F.size("q")), 9)
+    reranked = head.withColumn("share", share).withColumn("pos", placed(F.desc("share"), "pos")).select("item_id", "doc_id", "pos")
+    name = lambda df, lane: df.select(F.lit(lane).alias("lane"), "item_id", "doc_id", "pos")
+    return name(lexical, "words").unionByName(name(hybrid, "hybrid")).unionByName(name(reranked, "rerank"))
+
+
+def recall_at(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """(lane, queries, found, recall): of the queries with an answer those that have one among the first ``k``."""
+    names = ranked.select("lane").distinct()
+    hit = ranked.filter(F.col("pos") <= k).join(gold, ["item_id", "doc_id"], "left_semi").groupBy("lane").agg(F.count_distinct("item_id").alias("found"))
+    n = gold.agg(F.count_distinct("item_id").alias("queries"))  # a single row
+    held = names.join(hit, "lane", "left").crossJoin(F.broadcast(n)).select("lane", "queries", F.coalesce("found", F.lit(0)).alias("found"))
+    return held.withColumn("recall", F.round(F.try_divide("found", "queries"), 6))

@@ -299,6 +299,18 @@ def recall_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench(answered.select("item_id", kind.alias("kind")), ranked, gold, vectors)
 
 
+@query("EVL-02_paraphrase_bench")
+def paraphrase_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages without every fifth word as queries: recall at three by words, by words and vectors, and reranked."""
+    from palimpsest.operators.evaluation import four_word_ranks, lanes, recall_at
+
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    gold = materialize(_gold(items, docs, four_word_ranks(items, docs)).select("item_id", "doc_id"), "gold")
+    said = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 5 != 4), " ")
+    ranked = materialize(lanes(items.select("item_id", said.alias("text")), docs), "lanes")
+    return recall_at(ranked, gold, 3)
+
+
 @query("EVL-03_corpora", """
     SELECT item_id, CASE WHEN count(d.doc_id) > 0 THEN 'positive' ELSE 'negative' END AS kind,
            CASE WHEN item_id % 2 = 0 THEN 'tune' ELSE 'hold-out' END AS split, count(d.doc_id) AS gold

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as S
-from palimpsest.operators import compression, digests, graphs, ranking, retrieval, store
+from palimpsest.operators import compression, digests, graphs, ranking, retrieval, store, sync
 from palimpsest.sources import markdown
 
 
@@ -113,3 +113,60 @@ def test_paths_through_a_graph_with_a_cycle(spark):
     steps = graphs.shortest_path(edges, 1, 4).orderBy("step").collect()
     assert [(s.src, s.dst, s.forward) for s in steps] == [(1, 3, False), (3, 4, False)]
     assert graphs.shortest_path(edges, 1, 6).count() == 0
+
+
+def test_methods_stand_at_the_depth_of_their_class(spark):
+    text = """class A:
+    limit = max(1, 2)
+
+    def one(self):
+        def hidden():
+            return deep()
+        return hidden()
+
+    def two(self): return self.one()
+
+def free(x):
+    # never(x)
+    return A().two("call()")
+"""
+    held = spark.createDataFrame([("a.py", text), ("empty.py", ""), ("none.py", None)], "id string, text string")
+    assert [(r.name, r.kind, r.line) for r in graphs.definitions(held).orderBy("line").collect()] == [
+        ("A", "class", 1), ("A.one", "method", 4), ("A.two", "method", 9), ("free", "function", 11),
+    ]
+    assert [(r.name, r.member, r.line, r.enclosing) for r in graphs.call_sites(held).orderBy("line", "name").collect()] == [
+        ("max", False, 2, None), ("deep", False, 6, "A.one"), ("hidden", False, 7, "A.one"), ("one", True, 9, "A.two"), ("A", False, 13, "free"), ("two", True, 13, "free"),
+    ]
+
+
+def test_a_folder_gives_each_machine_everything_once(spark, tmp_path):
+    kind = "id long, session_id string, uuid string, role string, content string, timestamp string"
+    of = lambda *rows: sync.Machine.of(spark.createDataFrame(list(rows), kind))
+    a = of((0, "s", "u1", "user", "one", None), (1, "s", None, "user", "two", None))
+    b = of((0, "s", "u1", "user", "one", None), (1, "t", None, "user", "three", None))
+    folder = f"file://{tmp_path}/folder"
+    first = sync.sync_folder(a, folder, "a")
+    second = sync.sync_folder(b, folder, "b")
+    third = sync.sync_folder(first.machine, folder, "a")
+    again = sync.sync_folder(third.machine, folder, "a")
+    assert (first.kind, second.kind, third.kind, again.kind) == ("baseline", "delta", "delta", "none")
+    assert sorted(r.content for r in third.machine.messages.collect()) == ["one", "three", "two"] == sorted(r.content for r in second.machine.messages.collect())
+    ids = [r.id for r in third.machine.messages.collect()]
+    assert len(set(ids)) == 3 and (third.merged, third.skipped, again.merged) == (1, 1, 0)
+
+
+def test_a_moved_store_is_whole_and_no_target_is_overwritten(spark, tmp_path):
+    held = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "id long, t string")
+    moved = sync.move_store({"t": held}, f"file://{tmp_path}/there")
+    assert sorted(map(tuple, moved["t"].collect()), key=str) == sorted(map(tuple, held.collect()), key=str)
+    with pytest.raises(Exception, match="(?i)exist"):
+        sync.move_store({"t": held}, f"file://{tmp_path}/there")
+
+
+def test_unknown_profiles_are_raw_and_widths_only_shrink(spark):
+    from palimpsest.operators import vectors
+
+    held = spark.createDataFrame([("bge-m3-v1", 512), ("gemma-prompt-v1", 1024), ("other", 300), (None, None)], "name string, asked int")
+    spec = vectors.profile(F.col("name"))
+    got = held.select(spec["pooling"].alias("p"), vectors.target_dims(F.col("asked"), spec["dims"]).alias("d")).collect()
+    assert [(r.p, r.d) for r in got] == [("cls", 512), ("mean", 768), ("mean", 768), ("mean", 768)]

@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from palimpsest import catalog
@@ -77,3 +79,50 @@ def test_feedback_counts_all_turns(spark):
     for row in messages(spark, SF).select(tokens(F.col("content")).alias("tokens")).collect():
         held.update({t for t in row.tokens if 3 <= len(t) <= 40})
     assert {r.token: r.docs for r in _rows(spark, "AGG-22_feedback_counts")} == {t: n for t, n in held.items() if n >= 2}
+
+
+def _runs(text):
+    w = re.split(r"\s+", text.lower())
+    return {" ".join(w[i : i + 4]) for i in range(len(w) - 3)}
+
+
+def test_paraphrase_bench_equals_brute_force(spark):
+    from palimpsest.operators.evaluation import embed
+
+    docs, items = {r.doc_id: r.text for r in _docs(spark)}, {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    said = {i: " ".join(w for n, w in enumerate(t.split(" ")) if n % 5 != 4) for i, t in items.items()}
+    gold = {i: {d for d, t in docs.items() if items[i] in t} for i in items}
+    vectors = lambda held: np.stack([np.asarray(v, np.float64) for v in embed.func(pd.Series(list(held.values())))])
+    ids, matrix, asked = np.array(list(docs)), vectors(docs), vectors(said)
+    found = {"words": 0, "hybrid": 0, "rerank": 0}
+    runs = {d: _runs(t) for d, t in docs.items()}
+    for (i, text), v in zip(said.items(), asked, strict=True):
+        shared = {d: len(runs[d] & _runs(text)) for d in docs}
+        words = sorted((d for d in docs if shared[d]), key=lambda d: (-shared[d], d))[:60]
+        cosine = np.round(matrix @ v, 6)
+        near = [int(d) for _, d in sorted(zip(-cosine, ids, strict=True))[:60]]
+        score = {d: round(sum(w / (60 + lane.index(d)) for w, lane in ((1.0, words), (1.6, near)) if d in lane), 12) for d in {*words, *near}}
+        hybrid = sorted(score, key=lambda d: (-score[d], d))
+        q = set(text.lower().split())
+        share = {d: round(len(q & set(docs[d].lower().split())) / len(q), 9) for d in hybrid[:40]}
+        best = {"words": words, "hybrid": hybrid, "rerank": sorted(hybrid[:40], key=lambda d: (-share[d], hybrid.index(d)))}
+        for lane, order in best.items():
+            found[lane] += bool(gold[i] & set(order[:3]))
+    n = sum(bool(g) for g in gold.values())
+    got = {r.lane: (r.queries, r.found) for r in _rows(spark, "EVL-02_paraphrase_bench")}
+    assert n > 0 and got == {lane: (n, k) for lane, k in found.items()}
+
+
+def test_collapse_and_finish_agree_with_recall(spark):
+    """The greedy collapse once more in plain Python, over the hits before it."""
+    from palimpsest.plans import recall
+
+    hits = sorted(recall.hybrid_hits(spark, SF, recall.TERMS, recall._asked(spark, SF)).collect(), key=lambda r: r.mixed_pos)
+    heads, copies = [], []
+    for r in hits:
+        near = next((h for h in heads if r.embedding is not None and h.embedding is not None and sum(float(a) * float(b) for a, b in zip(r.embedding, h.embedding, strict=True)) >= 0.85), None)
+        (heads if near is None else copies).append(r)
+    wanted = [r.id for r in heads + copies]
+    assert [r.id for r in sorted(_rows(spark, "RET-17_collapse"), key=lambda r: r.pos)] == wanted
+    assert [r.id for r in sorted(_rows(spark, "RET-19_hybrid_recall"), key=lambda r: r.pos)] == wanted[:12]
+    assert [r.pos for r in sorted(_rows(spark, "RET-18_finish"), key=lambda r: r.pos)] == [1, 2, 3, 4, 5]
