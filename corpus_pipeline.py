@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm import chosen_path_join, counterfactual_toxicity, curriculum_mix, line_windows, tiered_packing
 from palimpsest.storage import materialize, table
@@ -33,8 +34,11 @@ def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, whole or in part."""
-    return curriculum_mix.training_order(curriculum_mix.mix(docs)).select(*docs.columns)
+    """A row for each time that the mix takes a document, whole or in part; ``n_chars`` counts what is taken, other columns go along."""
+    beside = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    taken = curriculum_mix.training_order(curriculum_mix.mix(docs.select("doc_id", "source", "text", beside.alias("beside"))))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return taken.select(*(own.get(c, F.col(f"beside.`{c}`")).alias(c) for c in docs.columns))
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
