@@ -421,9 +421,11 @@ def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     firsts = found.groupBy("class_label").agg(F.min(F.struct("doc_id", "tag")).alias("first")).select(
         F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag")
     )
-    keyed = docs.withColumn("kept_tag", tag_of(F.col(text_col)))
-    kept = keyed.join(firsts, F.col(id_col).eqNullSafe(F.col("first_id")) & (F.col("kept_tag") == F.col("first_tag")), "left_semi")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).dropDuplicates([id_col, text_col])
+    # columns of the input may have any names, so they go along in a struct
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("row"), F.col(id_col).alias("id"), tag_of(F.col(text_col)).alias("tag"))
+    kept = keyed.join(firsts, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tag") == F.col("first_tag")), "left_semi")
+    return kept.dropDuplicates(["id", "tag"]).select("row.*")
 
 
 QUERIES = {"op8_chosen_path_join": op8_chosen_path_join}
