@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from palimpsest.llm import (
+    ball_tree_clusters,
     bit_sliced_topk,
     chosen_path_join,
+    chunked_fim,
     context_mixing,
     counterfactual_toxicity,
     curriculum_mix,
     digest_log,
     histogram_shards,
     line_windows,
+    shard_hnsw,
     tiered_packing,
     warc_zst,
 )
@@ -26,6 +29,9 @@ _MODULES = (
     chosen_path_join,
     counterfactual_toxicity,
     bit_sliced_topk,
+    shard_hnsw,
+    ball_tree_clusters,
+    chunked_fim,
 )
 
 
