@@ -100,7 +100,7 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _fingerprint(df: DataFrame) -> tuple:
+def fingerprint(df: DataFrame) -> tuple:
     """Count and order-free sums of row hashes."""
     row = F.xxhash64(*sorted(df.columns))
     return tuple(df.agg(F.count("*"), F.sum(F.shiftright(row, 32)), F.sum(row.bitwiseAND(F.lit(0xFFFFFFFF)))).first())
@@ -116,6 +116,6 @@ def move_store(tables: dict[str, DataFrame], target: str) -> dict[str, DataFrame
         spark = df.sparkSession
         df.write.mode("errorifexists").parquet(f"{target}/{name}")
         moved[name] = spark.read.schema(df.schema).parquet(f"{target}/{name}")
-        if _fingerprint(df) != _fingerprint(moved[name]):
+        if fingerprint(df) != fingerprint(moved[name]):
             raise ValueError(f"the copy of {name} differs from its source")
     return moved

@@ -9,8 +9,11 @@ from palimpsest.catalog import query
 from palimpsest.functions import scalars as S
 from palimpsest.operators import retrieval, store, sync
 from palimpsest.sources.conversation_store import messages, model_sql, sessions
+from palimpsest.plans.ingest import log_a
 from palimpsest.storage import materialize, new_path, table
 from palimpsest.streaming import ingest as I
+from palimpsest.streaming import transcripts
+from palimpsest.streaming.session_store import scratch_store
 
 
 def _last_state(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -20,45 +23,92 @@ def _last_state(spark: SparkSession, path: str, schema) -> DataFrame:
     return held.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("batch", "last")  # one row
 
 
-_COUNTS = "SELECT 's' || conv_id AS session_id, count(*) AS n FROM conversations GROUP BY 1"
+def _write_transcripts(rows: DataFrame, folder: str) -> None:
+    """A file of log A for each conversation, line after line from the tasks; ``rows`` has path, line_no, value and half.
 
+    A line of which only half is there yet has no line break. Files are written anew as a whole, as a host's would be
+    after a restore; that they begin with what was there before is what the reader finds out.
+    """
 
-def _as_messages(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        F.concat(F.lit("s"), "conv_id").alias("session_id"), F.concat(F.lit("u"), "conv_id", F.lit("-"), "turn").alias("uuid"), "role",
-        F.col("text").alias("content"), F.lit(None).cast("string").alias("timestamp"),
-    )
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
 
+        at, out, lines = None, None, 0
+        system, inner = fs.FileSystem.from_uri(folder)
+        system.create_dir(f"{inner}/log-a", recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["path"] != at:
+                    if out:
+                        out.close()
+                    at, out = row["path"], system.open_output_stream(f"{inner}/log-a/{row['path']}.jsonl")
+                data = row["value"].encode()
+                out.write(data[: len(data) // 2] if row["half"] else data + b"\n")
+                lines += 1
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"lines": [lines]})
 
-def _sessions_of(spark: SparkSession, store_path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).parquet(store_path).groupBy("session_id").agg(F.count("*").alias("n"))
+    written = rows.repartition("path").sortWithinPartitions("path", "line_no").mapInArrow(run, "lines long")
+    written.agg(F.sum("lines")).collect()  # one row: the writing is what counts
 
 
-@query("STR-01_incremental_ingest", _COUNTS)
-def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files come in two lots, and the stream runs after each: the second run reads the second lot only."""
-    rows, inbox, path = table(spark, sf_dir, "conversations"), new_path(spark, "inbox"), new_path(spark, "messages")
-    for lot in ("turn < 4", "turn >= 4"):
-        rows.filter(lot).write.mode("append").parquet(inbox)
-        I.ingest_messages(_as_messages(I.file_stream(spark, inbox)), path)
-    return _sessions_of(spark, path)
+def _by_session(held: DataFrame) -> DataFrame:
+    return held.groupBy("session_id").agg(F.count("*").alias("n"), F.count_distinct("content", "uuid").alias("different"), F.max("seq").isNotNull().alias("placed"))
+
+
+# Of log A: turn 6 is no record; turn 3 a title; other messages are of user and assistant.
+_STORED = """
+    SELECT 'f' || conv_id AS session_id, count(*) AS n, count(DISTINCT CASE WHEN turn = 3 THEN NULL ELSE turn END) AS different, true AS placed
+    FROM conversations WHERE turn <> 6 AND (role IN ('user', 'assistant') OR turn = 3) AND (turn = 3 OR trim(text) <> '' OR turn % 2 = 1) AND {kept} GROUP BY 1"""
 
 
-@query("STR-03_idempotent_replay", _COUNTS)
+@query("STR-01_incremental_ingest", _STORED.replace("{kept}", "(conv_id % 10 <> 0 OR turn < 1)"))
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real files, three runs: they grow and end in half a line, every fifth is written anew with a line, every tenth stays so.
+
+    Each run reads on where the last one ended, and every line is stored once.
+    """
+    rows = log_a(spark, sf_dir).withColumn("conv_id", F.substring("path", 2, 20).cast("long")).withColumn("turn", F.col("line_no") - 1)
+    inbox, held = new_path(spark, "inbox"), scratch_store(spark)
+    shrunk, always = F.col("conv_id") % 5 == 0, F.col("conv_id") % 10 == 0
+    one = F.col("turn") < 1
+    for there, half in (
+        (F.col("turn") <= 3, F.col("turn") == 3),
+        (F.when(shrunk, one).otherwise(F.col("turn") < 6), F.lit(False)),
+        (F.when(always, one).otherwise(F.lit(True)), F.lit(False)),
+    ):
+        _write_transcripts(rows.filter(there).withColumn("half", half), inbox)
+        transcripts.ingest_folder(held, inbox)
+    held.compact()
+    return _by_session(held.messages())
+
+
+@query("STR-03_idempotent_replay", _STORED.replace("{kept}", "true"))
 def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files are read again by a source without progress: every message is known by its identifier."""
-    path = new_path(spark, "messages")
-    for source in ("first", "again"):
-        I.ingest_messages(_as_messages(I.file_stream(spark, f"{sf_dir}/conversations.parquet")), path, source=source)
-    return _sessions_of(spark, path)
-
-
-@query("STR-02_single_session", "SELECT 's3' AS session_id, turn, text FROM conversations WHERE conv_id = 3")
-def single_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "session")
-    stream = I.file_stream(spark, f"{sf_dir}/conversations.parquet").filter("conv_id = 3").select(F.lit("s3").alias("session_id"), "turn", "text")
-    I.latest(stream, path, "append")
-    return spark.read.option("recursiveFileLookup", True).parquet(path)
+    """All files are read again by a source without progress: every message is known by its identifier, or by its content."""
+    inbox, held = new_path(spark, "inbox"), scratch_store(spark)
+    _write_transcripts(log_a(spark, sf_dir).withColumn("half", F.lit(False)), inbox)
+    for source in ("first", "again", "again"):
+        transcripts.ingest_folder(held, inbox, source=source)
+    return _by_session(held.messages())
+
+
+@query("STR-02_hook_events", _STORED.replace("{kept}", "conv_id % 3 = 1 AND (conv_id % 2 = 1 OR turn < 4)"))
+def hook_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events name every third conversation's file, once in the middle and, of every second of these, at the end; others are not read."""
+    rows = log_a(spark, sf_dir).withColumn("conv_id", F.substring("path", 2, 20).cast("long"))
+    inbox, events, held = new_path(spark, "inbox"), new_path(spark, "hook-events"), scratch_store(spark)
+    at = rows.select("conv_id", "path").distinct().select(
+        "conv_id", F.when(F.col("conv_id") % 3 == 1, "stop").otherwise("prompt").alias("kind"), F.concat(F.lit(f"{inbox}/log-a/"), "path", F.lit(".jsonl")).alias("path")
+    )
+    for there, told in ((F.col("line_no") <= 4, F.lit(True)), (F.lit(True), F.col("conv_id") % 2 == 1)):
+        _write_transcripts(rows.filter(there).withColumn("half", F.lit(False)), inbox)
+        at.filter(told).select("kind", "path").write.mode("append").json(events)
+        stream = spark.readStream.schema("kind string, path string").option("maxFilesPerTrigger", 64).json(events)
+        transcripts.ingest_hooks(held, stream)
+    return _by_session(held.messages())
 
 
 @query("STR-04_spans", "SELECT user_id, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest.operators.store import new_messages
 from palimpsest.storage import new_path
+from palimpsest.streaming.session_store import SessionStore
 
 
 def file_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 64) -> DataFrame:
@@ -29,22 +29,14 @@ def drain(stream: DataFrame, each_batch, *, mode: str = "append", progress: str
 
 
 def ingest_messages(stream: DataFrame, store: str, *, source: str = "main") -> None:
-    """Append each batch's new messages to the table ``store``; what has come before adds nothing.
+    """Append each batch's new messages to the session store in the folder ``store``; what has come before adds nothing.
 
-    The progress of each source is kept beside the store, so a later run reads new files only. A batch that is tried
-    again replaces its own part and no other. A session's messages are compared with those of that session alone.
+    The progress of each source is kept beside the store, so a later run reads new files only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        part = f"part-{source}-{batch_id:08d}"
-        folder = spark._jvm.org.apache.hadoop.fs.Path(store)
-        held = batch.limit(0)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            held = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(store)
-            held = held.filter(~F.col("_metadata.file_path").contains(f"/{part}/"))
-        held = held.join(batch.select("session_id").distinct(), "session_id", "left_semi").select(batch.columns)
-        new_messages(held, batch, by_content=True).write.mode("overwrite").parquet(f"{store}/{part}")
+        missing = {"seq": F.lit(None).cast("long"), "tool_name": F.lit(None).cast("string")}
+        SessionStore(batch.sparkSession, store).add(batch.withColumns({c: v for c, v in missing.items() if c not in batch.columns}), source, batch_id)
 
     drain(stream, write, progress=f"{store}.progress/{source}")
 
