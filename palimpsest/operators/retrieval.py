@@ -30,8 +30,10 @@ def _bm25(tf: Column, df: Column, n: Column, dl: Column, mean: Column) -> Column
 def scored(rows: DataFrame, counts: list[Column], length: Column, *, every: bool, weight: list[float] | None = None) -> DataFrame:
     """Rows that hold one of the counted terms (or every), with their BM25 ``score``.
 
-    One scan sums the corpus's figures into a single row, which a second scan takes along.
+    One scan sums the corpus's figures into a single row, which a second scan takes along. Without terms there are no rows.
     """
+    if not counts:
+        return rows.limit(0).withColumn("score", F.lit(0.0))
     n = range(len(counts))
     held = rows.select("*", length.cast("double").alias("dl"), *(c.cast("double").alias(f"tf_{i}") for i, c in enumerate(counts)))
     figures = held.agg(

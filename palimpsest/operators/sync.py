@@ -119,3 +119,31 @@ def move_store(tables: dict[str, DataFrame], target: str) -> dict[str, DataFrame
         if fingerprint(df) != fingerprint(moved[name]):
             raise ValueError(f"the copy of {name} differs from its source")
     return moved
+
+
+def _at(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def swap_in(spark: SparkSession, fresh: str, folder: str) -> None:
+    """Put a verified folder in another's place by two renames; ``recover`` ends what was interrupted between them."""
+    (new, system), (old, _), (aside, _) = _at(spark, fresh), _at(spark, folder), _at(spark, f"{folder}.before")
+    if system.exists(aside):
+        system.delete(aside, True)
+    if system.exists(old) and not system.rename(old, aside):
+        raise OSError(f"{folder} could not be set aside")
+    if not system.rename(new, old):
+        system.rename(aside, old)
+        raise OSError(f"{fresh} could not take the place of {folder}")
+    system.delete(aside, True)
+
+
+def recover(spark: SparkSession, folder: str) -> None:
+    """Where a swap was interrupted, the folder that was set aside comes back; a swap that was made is tidied up."""
+    (old, system), (aside, _) = _at(spark, folder), _at(spark, f"{folder}.before")
+    if system.exists(aside):
+        if system.exists(old):
+            system.delete(aside, True)
+        else:
+            system.rename(aside, old)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import redact
 from palimpsest.operators.store import new_messages
-from palimpsest.operators.sync import fingerprint
+from palimpsest.operators.sync import fingerprint, recover, swap_in
 from palimpsest.storage import discard, materialize, new_path
 
 BUCKETS = 64
@@ -40,7 +40,7 @@ def bucket_of(session_id: Column, buckets: int = BUCKETS) -> Column:
 class SessionStore:
     def __init__(self, spark: SparkSession, folder: str, *, buckets: int = BUCKETS) -> None:
         self.spark, self.folder, self.buckets = spark, folder, buckets
-        self._recover()
+        recover(spark, folder)
 
     def parts(self) -> list[str]:
         """Names of the complete parts, in order; a list of as many as there were batches since the last ``compact``."""
@@ -117,36 +117,10 @@ class SessionStore:
         swap_in(self.spark, fresh, self.folder)
         return wanted[0]
 
-    def _recover(self) -> None:
-        recover(self.spark, self.folder)
-
 
 def _number(part: str) -> int:
     return int(part.removeprefix("part=").split("-")[0])
 
 
-def swap_in(spark: SparkSession, fresh: str, folder: str) -> None:
-    """Put a verified folder in another's place by two renames; ``recover`` ends what was interrupted between them."""
-    (new, system), (old, _), (aside, _) = _path(spark, fresh), _path(spark, folder), _path(spark, f"{folder}.before")
-    if system.exists(aside):
-        system.delete(aside, True)
-    if system.exists(old) and not system.rename(old, aside):
-        raise OSError(f"{folder} could not be set aside")
-    if not system.rename(new, old):
-        system.rename(aside, old)
-        raise OSError(f"{fresh} could not take the place of {folder}")
-    system.delete(aside, True)
-
-
-def recover(spark: SparkSession, folder: str) -> None:
-    """Where a swap was interrupted, the folder that was set aside comes back; a swap that was made is tidied up."""
-    (old, system), (aside, _) = _path(spark, folder), _path(spark, f"{folder}.before")
-    if system.exists(aside):
-        if system.exists(old):
-            system.delete(aside, True)
-        else:
-            system.rename(aside, old)
-
-
 def scratch_store(spark: SparkSession, label: str = "session-store", **options) -> SessionStore:
     return SessionStore(spark, new_path(spark, label), **options)
