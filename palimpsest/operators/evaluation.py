@@ -18,16 +18,29 @@ DIMS = 64
 
 
 def _runs(text: Column, words: int = 4) -> Column:
+    """Runs of four words; a text of fewer is one run."""
     # the split text is bound to a name, as it would be split again for every run
-    places = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: i + (words - 1) <= F.size(w))
-    runs = lambda w: F.transform(places(w), lambda i: F.array_join(F.slice(w, i, words), " "))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
+    runs = lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, words), " "))
     return F.array_distinct(F.flatten(F.transform(F.array(F.split(F.lower(text), r"\s+")), runs)))
 
 
+def _few(text: Column, words: int = 4) -> Column:
+    """The number of words of a text that has fewer than four, else null."""
+    n = F.size(F.split(F.lower(text), r"\s+"))
+    return F.when(n < words, n)
+
+
 def four_word_ranks(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, n, pos): documents by how many runs of four words they share with an item."""
     asked = items.select("item_id", F.explode(_runs(F.col("text"))).alias("g"))
+    # items of one, two or three words ask for runs of so many
+    lengths = [r[0] for r in items.select(_few(F.col("text")).alias("n")).filter("n is not null").distinct().collect()]  # three at most
     held = docs.select("doc_id", F.explode(_runs(F.col("text"))).alias("g"))
+    for n in lengths:
+        # a document of so few words has been taken as one run already
+        longer = docs.filter(F.coalesce(_few(F.col("text")) > n, F.lit(True)))
+        held = held.unionByName(longer.select("doc_id", F.explode(_runs(F.col("text"), n)).alias("g")))
     shared = held.join(asked, "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     return shared.select("item_id", "doc_id", "n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id")).alias("pos"))
 

@@ -22,6 +22,12 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if w))
 
 
+def terms_of(query: Column) -> Column:
+    """As ``query_terms``, of a column of queries."""
+    words = F.transform(F.split(F.lower(query), r"[ \t\n\x0B\f\r]+"), lambda w: F.regexp_replace(w, F.lit(r'["()*:^]'), F.lit("")))
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
+
+
 def _bm25(tf: Column, df: Column, n: Column, dl: Column, mean: Column) -> Column:
     idf = F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))

@@ -50,9 +50,17 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("RET-01_query_terms", "SELECT * FROM (VALUES (0, 'the'), (1, 'with'), (2, 'thing')) v(pos, term)")
+@query("RET-01_query_terms", r"""
+    SELECT item_id, CAST(unnest(range(0, len(terms))) AS INTEGER) AS pos, unnest(terms) AS term
+    FROM (SELECT item_id, list_filter(list_transform(u, lambda t: t.w), lambda w: w <> '') AS terms
+          FROM (SELECT item_id, list_sort(list({'i': i, 'w': w})) AS u
+                FROM (SELECT item_id, w, min(i) AS i FROM (SELECT item_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i
+                      FROM (SELECT item_id, list_transform(regexp_split_to_array(lower('"' || text || '": (' || text || ')'), '[ \t\n\v\f\r]+'), lambda w: regexp_replace(w, '["()*:^]', '', 'g')) AS ws FROM benchmark))
+                      GROUP BY item_id, w) GROUP BY item_id))""")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(T.query_terms(QUERY))), "pos int, term string")
+    """The terms of each benchmark passage, asked for twice with query syntax around it: each once, in order."""
+    asked = F.concat(F.lit('"'), "text", F.lit('": ('), "text", F.lit(")"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.terms_of(asked)).alias("pos", "term"))
 
 
 @query("RET-02_word_and", model_sql("SELECT id, score, rank FROM word_and", _TOK))
@@ -131,14 +139,14 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DIST = """nearest AS (SELECT sqrt(greatest(0, 2 - 2 * round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9))) AS d
-    FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 9) q WHERE e.vec_id % 7 <> 2 ORDER BY d LIMIT 60)"""
+    FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 9) q ORDER BY d LIMIT 60)"""
 
 
 @query("RET-11_abstention", f"""WITH {_DIST}
     SELECT round(min(d), 6) AS top, coalesce(min(d) > 0.86 AND (SELECT d FROM nearest ORDER BY d OFFSET 9 LIMIT 1) - min(d) < 0.05, false) AS abstain FROM nearest""")
 def abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "embeddings")
-    near = V.nearest(held.filter("vec_id % 7 <> 2"), held.filter("vec_id = 9").select(F.col("embedding").alias("q")), V.MOST_CHUNKS * 7 + 4)
+    near = V.nearest(held, held.filter("vec_id = 9").select(F.col("embedding").alias("q")), V.MOST_CHUNKS * 7 + 4)
     top = near.agg(F.min("distance").alias("top")).crossJoin(R.margin(near))
     return top.select(F.round("top", 6).alias("top"), R.abstains(F.col("top"), F.col("margin")).alias("abstain"))
 
@@ -179,7 +187,7 @@ def lexical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts_recall(spark, sf_dir, T.query_terms(QUERY), 12).select("id", "session_id", "score", "source", "pos")
 
 
-_VEC = """vecs AS (SELECT m.id, CAST(e.embedding AS DOUBLE[]) AS v FROM messages m JOIN embeddings e ON e.vec_id = m.conv_id * 5 + m.turn AND m.turn < 5),
+_VEC = """vecs AS (SELECT m.id, CAST(e.embedding AS DOUBLE[]) AS v FROM messages m JOIN embeddings e ON e.vec_id = (m.id * 7919) % (SELECT count(*) FROM embeddings)),
     qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 3),
     vec_top AS (SELECT id, round(list_inner_product(v, q), 9) AS cosine, row_number() OVER (ORDER BY sqrt(greatest(0, 2 - 2 * round(list_inner_product(v, q), 9))), id) - 1 AS rank FROM vecs, qv QUALIFY rank < 60)"""
 _HYBRID = """fused AS (SELECT id, round(sum(w / (60 + rank)), 12) AS score FROM (
@@ -191,8 +199,10 @@ _MIXED = """top48 AS (SELECT *, row_number() OVER (ORDER BY pos) AS p FROM hydra
 
 
 def _message_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every message; there are more messages than vectors, so some share one."""
     held = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    keyed = messages(spark, sf_dir).filter("turn < 5").selectExpr("id", "conv_id * 5 + turn as vec_id")
+    n = held.agg(F.count("*").alias("n"))  # a single row
+    keyed = messages(spark, sf_dir).select("id").crossJoin(F.broadcast(n)).select("id", (F.col("id") * 7919 % F.col("n")).alias("vec_id"))
     return keyed.join(held, "vec_id").select("id", "embedding")
 
 
