@@ -34,9 +34,18 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TILT = (0.25, 0.0, -0.5)
 SHARE = 1.5
 MOST_PASSES = 2
+#: Rows of a source in a bucket of the hashed order, roughly, and its least digits in base 16.
+BUCKET_ROWS, LEAST_DIGITS = 4096, 3
 RESULT = ("size", "source_size", "target", "taken", "first_words", "second_words", "position", "second_position")
 
 
+def least_digits(rows: int) -> int:
+    digits = LEAST_DIGITS
+    while rows > BUCKET_ROWS << 4 * digits:
+        digits += 1
+    return digits
+
+
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -74,12 +83,15 @@ def _when(share: Column, tilt: Column) -> Column:
     return F.when(tilt == 0, share).otherwise((1 + tilt - root) / (2 * tilt))
 
 
-def mix(docs: DataFrame, *, carry: list[str] | None = None, share: float = SHARE, digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, *, carry: list[str] | None = None, share: float = SHARE, digits: int | None = None) -> DataFrame:
     """Every row of ``docs`` with its source's target, the words the mix takes of it, and the positions of the two times.
 
     ``carry`` names the input's columns to keep (all). ``digits`` of the hashed
-    order, in base 16, make a bucket: more for larger inputs.
+    order, in base 16, make a bucket: as many as leave BUCKET_ROWS rows or so in
+    each, however large the input; the result does not depend on them.
     """
+    if digits is None:
+        digits = least_digits(docs.count())
     kept = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
     identity = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     sized = docs.select(
@@ -131,9 +143,11 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, and the training positions that the schedule gives them."""
+    """Words that the mix takes of every document, range-sorted by the training positions that the schedule gives them."""
     mixed = mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
+    slim = mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
+    order = ["position", "second_position", "doc_id"]
+    return slim.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 QUERIES = {"op3_curriculum_mix": op3_curriculum_mix}
