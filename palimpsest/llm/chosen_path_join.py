@@ -9,6 +9,7 @@ unless most of their sets would take the same least step, as near copies do. Run
 are repeated, more of them each time, until the share of links seen before, among
 those that the last run meets, reaches the target recall; where the most runs that
 a step's bits can tell apart do not reach it, the join fails rather than lose links.
+A last run that meets few links or none is no evidence, and SURE_RUNS are made.
 
 Texts with one n-gram set are one node from the start, so copies are never
 compared. A bucket is compared in blocks: a pair of blocks is one row group of
@@ -50,6 +51,9 @@ LEVELS = 3
 DEEPER_STEPS = (3.0, 3.0)
 RUNS, RUN_BITS = 8, 8
 TARGET_RECALL = 0.995
+#: Links that the last run must meet for its recall to count; where it meets fewer, the runs that are made: a pair at the
+#: least similarity is met by about every second run, so one in some 60,000 is missed.
+LEAST_MET, SURE_RUNS = 100, 16
 SMALL_BUCKET = 512
 BLOCK_SETS, BLOCK_TOKENS = 512, 2_000_000
 DENSE_TOKENS = 4096
@@ -335,6 +339,7 @@ def similar(
         F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tag")).alias("one")
     )
     copies = materialize(copies, "copies")
+    alone = copies.limit(2).count() < 2
     while True:
         sets = rows.drop("doc_id", "tag").dropDuplicates(["sid"])
         used: list[DataFrame] = []
@@ -351,14 +356,16 @@ def similar(
         met = materialize(links(members, elements, similarity, runs - 1, used), "links")
         discard(*used)
         seen = met.agg(F.sum("met").alias("met"), F.sum("known").alias("known")).first()
-        recall = seen["known"] / seen["met"] if seen["met"] else 1.0
+        recall = seen["known"] / seen["met"] if seen["met"] else 0.0
         log.info("%d runs: recall %.4f, by %d links of the last run", runs, recall, seen["met"] or 0)
-        if recall >= target_recall:
+        # a few links of the last run are no evidence, and none are no proof that there is none
+        evidence = (seen["met"] or 0) >= LEAST_MET
+        if alone or (recall >= target_recall if evidence else runs >= SURE_RUNS and target_recall <= 1):
             break
         discard(met, rows)
         if runs > _RUN_MASK:
             raise RuntimeError(f"{runs} runs have a recall of {recall:.4f} only, {target_recall} is asked for")
-        runs = min(_RUN_MASK + 1, runs * 2)
+        runs = min(_RUN_MASK + 1, runs * 2 if evidence else max(runs * 2, SURE_RUNS))
         rows = materialize(sketched(docs, id_col, text_col, words, runs, rates), "sketched")
     labels = components(met)
     of_sets = copies.join(met.groupBy("sid").agg(F.sum("links").alias("linked")), "sid", "left").join(labels, "sid", "left")

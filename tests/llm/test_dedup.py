@@ -123,3 +123,14 @@ def test_join_repeats_runs_until_the_recall_is_met(spark):
     docs = spark.createDataFrame(rows, KIND).withColumn("sid", F.lit("clash")).withColumn("path", F.lit(1))
     got = sorted(((r.doc_id, r.class_id, r.links) for r in J.similar(docs, runs=1).collect()), key=str)
     assert got == _brute(rows)
+
+
+def test_no_link_met_is_no_proof_that_there_is_none(spark):
+    """Tables with one pair each, at the least similarity: one run often misses it, and its silence must not end the join."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        # of 100 n-grams each, 90 are shared: a similarity of 90 / 110
+        rows = [(1, " ".join(words)), (2, " ".join([*words[:94], *(f"x{i}" for i in range(10))])), (3, "something else with six words")]
+        got = sorted((r.doc_id, r.class_id, r.links) for r in J.similar(spark.createDataFrame(rows, KIND), runs=1).collect())
+        assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
