@@ -6,7 +6,14 @@ forms share evidence. Every labelled text has a counterfactual: where it has
 identity terms they are swapped for others of their group, and where it has none
 one is put in. The squared change of the score is added to the loss: what a text
 says about a group must not depend on which group it is, and a mention alone says
-nothing. Terms are a parameter; the given ones are of four languages.
+nothing. It acts on terms whose features are fitted; a term that leans to neither
+class is screened out, weighs nothing, and needs no penalty.
+
+Terms are those given, in four languages, and groups that are learned from the
+labelled texts themselves, so that the penalty acts on texts of any language: words
+of like frequency that stand beside like words, each the best match of the other or
+of the group's first. A word that is found in toxic texts many times as often as in
+others (or the reverse) is evidence, not a term, and is never swapped.
 
 The fit uses a bounded sample of the labelled rows (``train_rows``, in hashed
 order of the identifier); words that occur alike in both classes are screened
@@ -32,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.storage import table
+from palimpsest.storage import discard, materialize, table
 
 TRAIN_ROWS = 16_000
 FEATURES = 1 << 22
@@ -42,6 +49,10 @@ COUNTERFACTUAL, SPARSITY = 4.0, 3e-5
 #: Least difference between the classes, in standard errors, for a word to be fitted.
 SCREEN = 3.0
 REMEMBERED_WORDS = 150_000
+#: Learned terms: so many words at most, in so many texts at least, leaning to a class by this factor at most.
+TERMS, TERM_TEXTS, TERM_LEAN = 2000, 12, 4.0
+#: Words of a learned group at most, least likeness of their neighbours, and places of a neighbour's hash.
+GROUP_WORDS, ALIKE, NEIGHBOURS = 6, 0.2, 512
 #: Intercept where no label is toxic.
 NEVER = -20.0
 
@@ -95,7 +106,9 @@ class Swaps:
 
     def __call__(self, words: set[str]) -> tuple[bool, set[str], set[str]]:
         """Whether terms were swapped or one was put in, the terms that come, and those that go."""
-        draw = lambda of, word: of[zlib.crc32(f"{len(words)}{word}".encode()) % len(of)]
+        # drawn by the whole text, so that a term is swapped for each of the others in one text or another
+        seed = sum(zlib.crc32(w.encode()) for w in words)
+        draw = lambda of, word: of[zlib.crc32(f"{seed}{word}".encode()) % len(of)]
         found = words & self.others.keys()
         if found:
             return True, {draw(self.others[w], w) for w in found}, found
@@ -106,6 +119,62 @@ def _row(words: set[str]) -> np.ndarray:
     return np.array([f for w in words for f in features(w)], np.int32)
 
 
+WORD_SQL = r"[^\p{L}]+"
+
+
+def _candidates(rows: DataFrame, terms: int) -> dict[str, int]:
+    """Words that may be terms, with their number of texts: the ``terms`` commonest that are no evidence by themselves."""
+    classes = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    toxic, clean = classes["t"] or 0, classes["n"] - (classes["t"] or 0)
+    if not toxic or not clean:
+        return {}
+    words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), WORD_SQL))).alias("word")).filter("length(word) > 2")
+    held = words.groupBy("word").agg(F.count("*").alias("texts"), F.sum("toxic").alias("t")).filter(F.col("texts") >= TERM_TEXTS)
+    lean = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("texts") - F.col("t") + 0.5) / (clean + 1))
+    some = held.filter(lean.between(1 / TERM_LEAN, TERM_LEAN)).orderBy(F.desc("texts"), "word").limit(terms)
+    return {r["word"]: r["texts"] for r in some.collect()}
+
+
+def learned_groups(rows: DataFrame, *, terms: int = TERMS) -> Groups:
+    """Groups of interchangeable words from the labelled sample (text, toxic): ``terms`` words and their neighbours' counts come to the driver."""
+    texts = _candidates(rows, terms)
+    if not texts:
+        return ()
+    words = rows.select(F.filter(F.split(F.lower("text"), WORD_SQL), lambda w: w != "").alias("w"))
+    place = lambda word, side: F.pmod(F.xxhash64(word, F.lit(side)), F.lit(NEIGHBOURS)).cast("int")
+    beside = lambda i, w: F.filter(F.array(F.when(i > 0, place(F.get(w, i - 1), 0)), F.when(i < F.size(w) - 1, place(F.get(w, i + 1), 1))), lambda x: x.isNotNull())
+    each = words.select("w", F.posexplode("w").alias("i", "word"))
+    wanted = rows.sparkSession.createDataFrame([(w,) for w in texts], "word string")
+    near = each.join(F.broadcast(wanted), "word").select("word", F.explode(beside(F.col("i"), F.col("w"))).alias("place")).groupBy("word", "place").count()
+    order = sorted(texts, key=lambda w: (-texts[w], w))
+    number = {w: i for i, w in enumerate(order)}
+    counts = np.zeros((len(order), NEIGHBOURS))
+    for r in near.collect():
+        counts[number[r["word"]], r["place"]] = r["count"]
+    return _grouped(order, [texts[w] for w in order], counts)
+
+
+def _grouped(words: list[str], texts: list[int], counts: np.ndarray) -> Groups:
+    """Greedy groups, the commonest word first: free words of its class of frequency whose neighbours are most like its own."""
+    expected = counts.sum(axis=1, keepdims=True) * counts.sum(axis=0) / max(1.0, counts.sum())
+    informed = np.log(np.maximum(counts, 1e-12) / np.maximum(expected, 1e-12)).clip(0)
+    unit = informed / np.maximum(np.sqrt((informed**2).sum(axis=1, keepdims=True)), 1e-12)
+    alike = unit @ unit.T
+    level = np.log2(texts).astype(int)
+    free = np.ones(len(words), bool)
+    out = []
+    for i in range(len(words)):
+        if free[i]:
+            near = np.flatnonzero(free & (np.abs(level - level[i]) <= 1) & (alike[i] >= ALIKE))
+            near = near[near != i]
+            best = near[np.lexsort((near, -alike[i, near]))][: GROUP_WORDS - 1]
+            if len(best):
+                free[i] = False
+                free[best] = False
+                out.append((words[i], *(words[j] for j in best)))
+    return tuple(out)
+
+
 SKETCH = "toxic int, swap boolean, here binary, comes binary, goes binary"
 
 
@@ -213,17 +282,24 @@ def in_fold(id_col: Column, folds: int) -> Column:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, groups: Groups = IDENTITY_GROUPS, counterfactual: float = COUNTERFACTUAL
+    docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, groups: Groups = IDENTITY_GROUPS, counterfactual: float = COUNTERFACTUAL,
+    learned_terms: int = TERMS,
 ) -> Scorer:
     """The model from labelled rows outside the held-out fold, ``train_rows`` of them at most."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.filter(~in_fold(F.col("doc_id"), 5)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # at most train_rows rows of two numbers: small enough for every executor
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    sketches = rows.mapInPandas(_sketch(groups), SKETCH)
+    rows = materialize(rows, "toxicity-sample")
+    given = {term for group in groups for term in group}
+    learned = learned_groups(rows, terms=learned_terms) if learned_terms and counterfactual else ()
+    # a word of a given group stays there
+    learned = tuple(g for g in (tuple(w for w in group if w not in given) for group in learned) if len(g) > 1)
+    sketches = rows.mapInPandas(_sketch((*groups, *learned)), SKETCH)
     # scan, join and sketches run everywhere; only the sketches move, in an order that does not depend on the tasks
     sketches = sketches.repartition(1).sortWithinPartitions("toxic", "here", "comes", "goes")
     fitted = sketches.mapInPandas(_fitted(counterfactual), "feature int, weight double").collect()
+    discard(rows)
     weights = {r["feature"]: r["weight"] for r in fitted}
     # an empty exchange may leave no task to fit in
     return Scorer(weights.pop(-1, NEVER), weights)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +293,83 @@ def test_toxicity_of_odd_rows(spark):
     model = X.train(train, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int"))
     got = docs.select("doc_id", X.score(docs, model).alias("s")).collect()
     assert len(got) == 6 and [r.s > 0.5 for r in got] == [True, True, got[2].s > 0.5, got[3].s > 0.5, False, True]
+
+
+def _fits(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = X._binary_labels(spark.read.parquet(f"{sf}/labels.parquet"))
+    labelled = docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("label")), "doc_id").filter("label is not null").withColumn("held", X.in_fold(F.col("doc_id"), 5))
+    groups = X.learned_groups(labelled.filter("not held").select("text", F.col("label").alias("toxic")))
+    return X.train(docs, labels, counterfactual=0.0), X.train(docs, labels), groups, labelled.filter("held").select("text", "label").collect()
+
+
+def test_learned_terms_make_the_penalty_act_on_texts_without_given_ones(spark):
+    """On invented prose, which holds no given term, the fit differs from one without penalty, and held-out swaps change scores less."""
+    plain, fair, groups, held = _fits(spark, "/root/testdata/sf0.01")
+    assert sum(map(len, groups)) > 100 and all(1 < len(g) <= X.GROUP_WORDS for g in groups) and len({w for g in groups for w in g}) == sum(map(len, groups))
+    assert plain.weights != fair.weights and "idiot" not in {w for g in groups for w in g}
+    swaps = X.Swaps(groups)
+
+    def change(model):
+        out = []
+        for row in held:
+            words = X.distinct_words(row.text)
+            swapped, comes, goes = swaps(words)
+            if swapped:
+                out.append(abs(model(" ".join((words - goes) | comes)) - model(row.text)))
+        return sum(out) / len(out)
+
+    assert change(fair) < 0.2 * change(plain)
+    right = lambda model: sum((model(r.text) >= 0.5) == (r.label == 1) for r in held)
+    assert right(fair) >= right(plain) and right(fair) >= 0.93 * len(held)
+
+
+def test_words_that_stand_beside_like_words_are_a_group(spark):
+    """Group names that lean to toxic texts are learned as interchangeable; a neutral mention of one is then not toxic."""
+    names, frames = ["zorb", "quix", "marn", "telp"], ["the {} family came", "a {} choir sang", "every {} friend cooks"]
+    rows, labels, rng = [], [], np.random.default_rng(6)
+    for i in range(2400):
+        toxic = int(i % 4 == 0)
+        # of the first two, more mentions are in toxic texts
+        name = names[rng.integers(2) + 2 * int((rng.random() < 0.7) != bool(toxic))]
+        rows.append((i, frames[i // 5 % 3].format(name) + (" you idiot scum" if toxic and i % 8 else "") + f" filler{i % 40}"))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    groups = X.learned_groups(docs.join(labels, "doc_id").select("text", "toxic"))
+    assert any(set(names) <= set(g) for g in groups)
+    plain, fair = X.train(docs, labels, groups=(), counterfactual=0.0), X.train(docs, labels, groups=())
+    spread = lambda model: max(model(f"the {n} family came") for n in names) - min(model(f"the {n} family came") for n in names)
+    assert spread(fair) < 0.1 * spread(plain)
+
+
+def test_the_fit_is_the_least_of_its_loss(monkeypatch):
+    """Fifty rows, no screening and no sparsity: the probabilities are those of plain gradient steps over a dense matrix."""
+    monkeypatch.setattr(X, "SCREEN", 0.0)
+    monkeypatch.setattr(X, "SPARSITY", 0.0)
+    monkeypatch.setattr(X, "STEPS", 6000)
+    monkeypatch.setattr(X, "FEATURES", 1 << 12)
+    rng = np.random.default_rng(4)
+    vocabulary, groups = [f"word{i}x{i}" for i in range(6)] + ["aaa", "bbb"], (("aaa", "bbb"),)
+    swaps, rows, y = X.Swaps(groups), [], []
+    for i in range(50):
+        words = {w for w in vocabulary if rng.random() < 0.4}
+        y.append(int(rng.random() < (0.8 if vocabulary[0] in words or "aaa" in words else 0.3)))
+        swap, comes, goes = swaps(words)
+        rows.append((y[-1], swap, *(X._row(w) for w in (words, comes, goes))))
+    frame = pd.DataFrame([(t, s, *(x.tobytes() for x in r)) for t, s, *r in rows], columns=["toxic", "swap", "here", "comes", "goes"])
+    bias, where, weights = X.fit(frame, counterfactual=1.0)
+    dense = lambda part: np.stack([np.bincount(r[part], minlength=X.FEATURES) for r in rows]).astype(float)
+    here, moved, labels = dense(2), dense(3) - dense(4), np.array(y, float)
+    used = here.sum(axis=0) >= 3
+    here, moved = here[:, used], moved[:, used]
+    swap = np.array([r[1] for r in rows])
+    share = np.where(swap, 1 / max(1, swap.sum()), 1 / max(1, (~swap).sum()))
+    w, b = np.zeros(here.shape[1]), 0.0
+    for _ in range(40_000):
+        off = (1 / (1 + np.exp(-(here @ w + b))) - labels) / len(labels)
+        w -= 0.02 * (here.T @ off + 2 * moved.T @ (share * (moved @ w)))
+        b -= 0.02 * off.sum()
+    found = np.zeros(X.FEATURES)
+    found[where] = weights
+    found = found[used]
+    assert np.abs(1 / (1 + np.exp(-(here @ found + bias))) - 1 / (1 + np.exp(-(here @ w + b)))).max() < 0.03
