@@ -52,7 +52,7 @@ REMEMBERED_WORDS = 150_000
 #: Learned terms: so many words at most, in so many texts at least, leaning to a class by this factor at most.
 TERMS, TERM_TEXTS, TERM_LEAN = 2000, 12, 4.0
 #: Words of a learned group at most, least likeness of their neighbours, and places of a neighbour's hash.
-GROUP_WORDS, ALIKE, NEIGHBOURS = 6, 0.2, 512
+GROUP_WORDS, ALIKE, NEIGHBOURS = 6, 0.2, 256
 #: Intercept where no label is toxic.
 NEVER = -20.0
 
@@ -141,16 +141,20 @@ def learned_groups(rows: DataFrame, *, terms: int = TERMS) -> Groups:
     if not texts:
         return ()
     words = rows.select(F.filter(F.split(F.lower("text"), WORD_SQL), lambda w: w != "").alias("w"))
-    place = lambda word, side: F.pmod(F.xxhash64(word, F.lit(side)), F.lit(NEIGHBOURS)).cast("int")
-    beside = lambda i, w: F.filter(F.array(F.when(i > 0, place(F.get(w, i - 1), 0)), F.when(i < F.size(w) - 1, place(F.get(w, i + 1), 1))), lambda x: x.isNotNull())
-    each = words.select("w", F.posexplode("w").alias("i", "word"))
+    # each word with those beside it: a row carries three words, not its text's
+    beside = F.transform("w", lambda word, i: F.struct(word.alias("word"), F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")))
+    each = words.select(F.explode(beside).alias("e")).select("e.*")
+    place = lambda word, side: F.when(F.col(word).isNotNull(), F.pmod(F.xxhash64(word, F.lit(side)), F.lit(NEIGHBOURS)).cast("int"))
     wanted = rows.sparkSession.createDataFrame([(w,) for w in texts], "word string")
-    near = each.join(F.broadcast(wanted), "word").select("word", F.explode(beside(F.col("i"), F.col("w"))).alias("place")).groupBy("word", "place").count()
+    near = each.join(F.broadcast(wanted), "word").select("word", F.explode(F.array(place("before", 0), place("after", 1))).alias("place"))
+    near = near.filter("place is not null").groupBy("word", "place").count()
     order = sorted(texts, key=lambda w: (-texts[w], w))
     number = {w: i for i, w in enumerate(order)}
     counts = np.zeros((len(order), NEIGHBOURS))
-    for r in near.collect():
-        counts[number[r["word"]], r["place"]] = r["count"]
+    # at most TERMS x NEIGHBOURS rows, as columns
+    held = near.toArrow()
+    at = [number[w] for w in held["word"].to_pylist()]
+    counts[at, held["place"].to_numpy()] = held["count"].to_numpy()
     return _grouped(order, [texts[w] for w in order], counts)
 
 
