@@ -12,7 +12,6 @@ HUB_FAN_IN = 8
 GATES = {"hub_pct": 20.0, "isolated_pct": 30.0, "util_violations": 0.0}
 MOST_CANDIDATES = 4
 MOST_FOLDERS = 8
-MOST_DEFINITIONS, MOST_CALLS = 80, 2000
 
 # Import and definition shapes, source extensions and where routes are called.
 JS_IMPORT = r"""(?:import|export)\s[^'"]*?from\s*['"]([^'"]+)['"]|import\s*['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\)"""
@@ -25,17 +24,6 @@ IGNORED_FOLDERS = (
 ROUTE_CALL = r"""(?:fetch|get|post|api)\(\s*['"`](/[A-Za-z0-9/_-]+)['"`]"""
 
 
-# What opens a definition: functions (also arrow functions under a name), classes, and methods by their indentation.
-FUNCTION = (
-    r"^\s*(?:export\s+)?(?:default\s+)?(?:pub\s+)?(?:async\s+)?(?:function\*?|def|fn|func)\s+([A-Za-z_$][\w$]*)"
-    r"|^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)"
-)
-CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:public\s+|abstract\s+|pub\s+)*(?:class|interface|struct|enum)\s+([A-Za-z_$][\w$]*)"
-METHOD = r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*([A-Za-z_$][\w$]*)\s*\([^()]*\)\s*(?::[^{]+)?\{\s*$"
-CALL = r"(\.?\s*[A-Za-z_$][\w$]*)\s*\("
-NOT_CALLED = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "super", "import", "with", "elif", "and", "or", "not", "in")
-
-
 def source_files(files: DataFrame) -> DataFrame:
     """The source files among (path): by extension, not hidden, outside ignored folders, at most eight folders deep."""
     steps = F.split("path", "/")
@@ -46,64 +34,6 @@ def source_files(files: DataFrame) -> DataFrame:
     return files.filter(extension.isin(*SOURCE_EXTENSIONS) & ~hidden & ~ignored & (F.size(folders) <= MOST_FOLDERS))
 
 
-def _named_lines(files: DataFrame) -> DataFrame:
-    """(id, line, code, indent, and what a line defines): strings and comments are blanked first."""
-    quoted = r"""\"[^\"\\\n]*\"|'[^'\\\n]*'|`[^`\\\n]*`"""
-    held = files.select("id", F.posexplode(F.split("text", "\r?\n")).alias("line", "code")).withColumn("line", F.col("line") + 1)
-    code = F.regexp_replace(F.regexp_replace("code", F.lit(quoted), F.lit("''")), F.lit(r"//.*$|^\s*#.*$"), F.lit(""))
-    held = held.withColumn("code", code).withColumn("indent", F.length(F.regexp_extract("code", r"^(\s*)", 1)))
-    function = F.coalesce(*(F.nullif(F.regexp_extract("code", FUNCTION, n), F.lit("")) for n in (1, 2)))
-    method = F.nullif(F.regexp_extract("code", METHOD, 1), F.lit(""))
-    return held.select(
-        "id", "line", "code", "indent", F.nullif(F.regexp_extract("code", CLASS, 1), F.lit("")).alias("class"), function.alias("function"),
-        F.when(~method.isin(*NOT_CALLED), method).alias("method"),
-    )
-
-
-def _scoped(files: DataFrame) -> DataFrame:
-    """Lines with the definition that they open (``name``, ``kind``) and the one that they lie in (``enclosing``).
-
-    Top-level functions and classes and the methods of a top-level class are definitions; functions within functions
-    are not. The first 80 of a file count.
-    """
-    above = Window.partitionBy("id").orderBy("line")
-    held = _named_lines(files)
-    top = F.when((F.col("indent") == 0) & F.coalesce("class", "function").isNotNull(), F.struct("class", "function"))
-    held = held.withColumn("top", F.last(top, ignorenulls=True).over(above))
-    inner = F.when((F.col("indent") > 0) & F.col("top.class").isNotNull(), F.coalesce("function", "method"))
-    # the members of a class stand at its first member's depth, deeper ones are within a member
-    held = held.withColumn("inner", inner).withColumn("depth", F.when(inner.isNotNull(), F.col("indent")))
-    held = held.withColumn("member_depth", F.min("depth").over(Window.partitionBy("id", "top.class")))
-    member = F.when(F.col("indent") == F.col("member_depth"), F.concat("top.class", F.lit("."), "inner"))
-    opened = F.when(F.col("indent") == 0, F.coalesce("class", "function")).otherwise(member)
-    kind = F.when(F.col("indent") > 0, "method").when(F.col("class").isNotNull(), "class").otherwise("function")
-    held = held.withColumn("name", opened).withColumn("kind", F.when(opened.isNotNull(), kind))
-    held = held.withColumn("nth", F.count("name").over(above)).withColumn("name", F.when(F.col("nth") <= MOST_DEFINITIONS, F.col("name")))
-    owner = F.last(F.when(F.col("name").isNotNull(), F.struct("name", "kind", "indent")), ignorenulls=True).over(above)
-    held = held.withColumn("owner", owner)
-    within = (F.col("owner.kind") != "class") & ((F.col("indent") > F.col("owner.indent")) | F.col("name").isNotNull())
-    return held.withColumn("enclosing", F.when(within, F.col("owner.name")))
-
-
-def definitions(files: DataFrame) -> DataFrame:
-    """(id, name, kind, line) of the functions, classes and methods that files (id, text) define."""
-    return _scoped(files).filter("name is not null").select("id", "name", "kind", "line")
-
-
-def call_sites(files: DataFrame) -> DataFrame:
-    """(id, name, member, line, enclosing): calls and constructions by name, the first 2000 of a file."""
-    held = _scoped(files)
-    opening = r"\b(?:function\*?|def|fn|func|class)\s+[\w$]+"
-    code = F.regexp_replace("code", F.lit(opening), F.lit("''"))
-    code = F.when(F.col("method").isNotNull(), F.regexp_replace(code, F.lit(r"^[^(]*\("), F.lit(""))).otherwise(code)
-    found = held.select("id", "line", "enclosing", F.posexplode(F.regexp_extract_all(code, F.lit(CALL), F.lit(1))).alias("place", "called"))
-    name = F.regexp_replace("called", F.lit(r"^\.?\s*"), F.lit(""))
-    found = found.select("id", "line", "place", "enclosing", name.alias("name"), F.col("called").startswith(".").alias("member"))
-    found = found.filter(F.col("member") | ~F.col("name").isin(*NOT_CALLED))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("line", "place"))
-    return found.withColumn("nth", nth).filter(F.col("nth") <= MOST_CALLS).select("id", "name", "member", "line", "enclosing")
-
-
 def normal_path(path: Column) -> Column:
     """A slashed path without ``.`` and ``..`` steps."""
     steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))

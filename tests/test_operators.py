@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as S
-from palimpsest.operators import compression, digests, graphs, ranking, retrieval, store, sync
+from palimpsest.operators import compression, digests, graphs, ranking, retrieval, store, sync, syntax
 from palimpsest.sources import markdown
 
 
@@ -131,10 +131,10 @@ def free(x):
     return A().two("call()")
 """
     held = spark.createDataFrame([("a.py", text), ("empty.py", ""), ("none.py", None)], "id string, text string")
-    assert [(r.name, r.kind, r.line) for r in graphs.definitions(held).orderBy("line").collect()] == [
+    assert [(r.name, r.kind, r.line) for r in syntax.definitions(held).orderBy("line").collect()] == [
         ("A", "class", 1), ("A.one", "method", 4), ("A.two", "method", 9), ("free", "function", 11),
     ]
-    assert [(r.name, r.member, r.line, r.enclosing) for r in graphs.call_sites(held).orderBy("line", "name").collect()] == [
+    assert [(r.name, r.member, r.line, r.enclosing) for r in syntax.call_sites(held).orderBy("line", "name").collect()] == [
         ("max", False, 2, None), ("deep", False, 6, "A.one"), ("hidden", False, 7, "A.one"), ("one", True, 9, "A.two"), ("A", False, 13, "free"), ("two", True, 13, "free"),
     ]
 
