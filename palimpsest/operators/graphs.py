@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import edge_id
+from palimpsest.sources import markdown
 from palimpsest.storage import materialize
 
 HUB_FAN_IN = 8
@@ -35,10 +36,52 @@ def source_files(files: DataFrame) -> DataFrame:
 
 
 def normal_path(path: Column) -> Column:
-    """A slashed path without ``.`` and ``..`` steps."""
+    """A slashed path without ``.`` and inner ``..`` steps; steps above its root stay, so it names nothing below."""
     steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
-    folded = F.aggregate(steps, F.array().cast("array<string>"), lambda held, s: F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(s))))
-    return F.array_join(folded, "/")
+
+    def fold(held: Column, step: Column) -> Column:
+        top = F.element_at(F.concat(F.array(F.lit("..")), held), -1)
+        return F.when((step == "..") & (top != ".."), F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(step)))
+
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), fold), "/")
+
+
+DOCUMENT_LINK = r"\[[^\]]*\]\(([^)\s]+)"
+# Fixed value: how an entry says that it supersedes others.
+SUPERSEDES = r"(?i)^>\s*(?:🔄\s*)?\*{0,2}supersede"
+DAY = r"\d{4}-\d{2}-\d{2}"
+
+
+def document_graph(docs: DataFrame) -> DataFrame:
+    """(src, dst, kind) of documents (id, text): links to documents that are there, and what entries of change logs supersede.
+
+    A link is resolved against the folder of its document, without its anchor. An entry is ``id:date#number``; its first
+    line that says so supersedes the entries of the days named there, where a day has one entry of the log only.
+    """
+    link = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(DOCUMENT_LINK), F.lit(1)))).alias("target")
+    found = docs.select(F.col("id").alias("src"), link)
+    path = F.trim(F.regexp_replace("target", F.lit("#.*$"), F.lit("")))
+    found = found.filter(F.contains(path, F.lit(".md")) & ~path.rlike("^([A-Za-z]+:|/)"))
+    found = found.select("src", normal_path(F.concat_ws("/", F.regexp_extract("src", "^(.*)/", 1), path)).alias("dst")).filter("src <> dst").distinct()
+    references = found.join(docs.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit("references").alias("kind"))
+
+    day = F.regexp_extract("date", f"^({DAY})", 1)
+    entries = markdown.changelog(docs, "id", "text").select("key", "nth", day.alias("day"), "body").filter("day <> ''")
+    numbered = Window.partitionBy("key", "day")
+    place = F.row_number().over(numbered.orderBy("nth")) - 1
+    entries = entries.withColumn("entry", F.concat("key", F.lit(":"), "day", F.lit("#"), place)).withColumn("n", F.count("*").over(numbered))
+    marked = F.get(F.filter(F.split("body", "\n"), lambda line: F.trim(line).rlike(SUPERSEDES)), F.lit(0))
+    said = entries.select("key", "entry", F.explode(F.array_distinct(F.regexp_extract_all(marked, F.lit(f"({DAY})"), F.lit(1)))).alias("day"))
+    # the entry that speaks is no target: on its own day there may be one other
+    own = F.count_if(F.col("t.entry") == F.col("s.entry")).over(Window.partitionBy("s.entry", "s.day"))
+    met = said.alias("s").join(entries.alias("t"), ["key", "day"]).filter("t.n <= 2").select(F.col("s.entry").alias("src"), F.col("t.entry").alias("dst"), (F.col("t.n") - own).alias("targets"))
+    superseded = met.filter("src <> dst and targets = 1").select("src", "dst", F.lit("supersede").alias("kind"))
+    return references.unionByName(superseded)
+
+
+def deepened_links(text: Column) -> Column:
+    """A text for a folder one deeper: relative links climb by one more step."""
+    return F.regexp_replace(text, F.lit(r"\]\((?!https?:|mailto:|#|/)(?![^)\s]*[<{])(?:\./)?([^)\s]+)\)"), F.lit("](../$1)"))
 
 
 def folder(path: Column) -> Column:

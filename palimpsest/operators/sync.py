@@ -147,3 +147,42 @@ def recover(spark: SparkSession, folder: str) -> None:
             system.delete(aside, True)
         else:
             system.rename(aside, old)
+
+
+def backup(df: DataFrame, folder: str, *, force: bool = False) -> None:
+    """Write a table to a folder of its own, and read it back to compare; an existing one is kept unless ``force``."""
+    spark = df.sparkSession
+    path, system = _at(spark, folder)
+    if system.exists(path) and not force:
+        raise FileExistsError(f"{folder} exists")
+    _verified_copy(df, f"{folder}.writing")
+    swap_in(spark, f"{folder}.writing", folder)
+
+
+def restore(spark: SparkSession, saved: str, folder: str, *, aside: str | None = None) -> str | None:
+    """Put a copy of a backup in a table's place; the table that was there goes to ``aside``, whose name is returned.
+
+    An existing table is refused without ``aside``. The copy is verified before anything moves, and where the last
+    rename fails the old table comes back.
+    """
+    (source, system), (target, _) = _at(spark, saved), _at(spark, folder)
+    if not system.exists(source):
+        raise FileNotFoundError(f"there is no backup in {saved}")
+    there = system.exists(target)
+    if there and aside is None:
+        raise FileExistsError(f"{folder} exists, and there is no place to keep it")
+    _verified_copy(spark.read.parquet(saved), f"{folder}.restoring")
+    fresh, old = _at(spark, f"{folder}.restoring")[0], _at(spark, aside)[0] if there else None
+    if there and (system.exists(old) or not system.rename(target, old)):
+        raise OSError(f"{folder} could not be set aside as {aside}")
+    if not system.rename(fresh, target):
+        if there:
+            system.rename(old, target)
+        raise OSError(f"{folder} could not be restored")
+    return aside if there else None
+
+
+def _verified_copy(df: DataFrame, folder: str) -> None:
+    df.write.mode("overwrite").parquet(folder)
+    if fingerprint(df) != fingerprint(df.sparkSession.read.schema(df.schema).parquet(folder)):
+        raise ValueError(f"the copy in {folder} differs from its source")

@@ -71,43 +71,57 @@ def nearest_owners(vectors: DataFrame, owners: DataFrame, query: DataFrame, pool
 
 def _packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("vec_id")
-    matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    return pd.DataFrame(
-        {"block": [key[0]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "width": [matrix.shape[1]], "cells": [matrix.tobytes()]}
-    )
+    matrix = np.zeros((len(rows), max(1, int(rows["embedding"].map(len).max()))))
+    for i, v in enumerate(rows["embedding"]):
+        matrix[i, : len(v)] = v
+    return pd.DataFrame({"number": [key[0]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "width": [matrix.shape[1]], "cells": [matrix.tobytes()]})
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding): rows with an identifier and a whole finite vector; shorter vectors count as padded with zeros."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
 
 
 def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     n = max(1, -(-vectors.count() // size))
-    keyed = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
-    return keyed.groupBy("block").applyInPandas(_packed, "block long, ids binary, width int, cells binary"), n
+    keyed = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("number"))
+    return keyed.groupBy("number").applyInPandas(_packed, "number long, ids binary, width int, cells binary"), n
 
 
 def similar_pairs(vectors: DataFrame, queries: DataFrame, least: float, most: int, block_rows: int = 2048) -> DataFrame:
     """For each query vector its ``most`` best others of cosine ``least`` or more, as undirected pairs (a, b, cosine).
 
-    Blocks of queries meet blocks of vectors one by one; a meeting gives ``most`` rows for each query.
+    A block of vectors goes to one task once; the blocks of queries, the smaller side, are copied to every one and pass
+    by it. A meeting gives ``most`` rows for each query.
     """
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = held = None
         for batch in batches:
             for row in batch.itertuples():
-                mine, theirs = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
-                scores = np.frombuffer(row.q_cells).reshape(-1, row.q_width) @ np.frombuffer(row.cells).reshape(-1, row.width).T
-                scores = np.round(scores, 6)
-                scores[(mine[:, None] == theirs[None, :]) | (scores < least)] = -np.inf
+                ids, cells = np.frombuffer(row.ids, np.int64), np.frombuffer(row.cells).reshape(-1, row.width)
+                if not row.asks:
+                    number, held = row.block, (ids, cells)
+                    continue
+                if row.block != number:
+                    continue  # a block that no vector has been dealt to
+                theirs, matrix = held
+                width = min(row.width, matrix.shape[1])
+                scores = np.round(cells[:, :width] @ matrix[:, :width].T, 6)
+                scores[(ids[:, None] == theirs[None, :]) | (scores < least)] = -np.inf
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :most]  # identifiers ascend, so ties go to the smaller
                 q, nth = np.nonzero(np.isfinite(np.take_along_axis(scores, best, axis=1)))
                 found = best[q, nth]
-                yield pd.DataFrame({"q": mine[q], "v": theirs[found], "cosine": scores[q, found]})
-
-    held, n = _blocks(vectors, block_rows)
-    asked, m = _blocks(queries, block_rows)
-    asked = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("cells").alias("q_cells"))
-    pairs = held.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))).join(
-        asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), ["block", "q_block"]
-    )
-    hits = pairs.mapInPandas(meet, "q long, v long, cosine double")
+                yield pd.DataFrame({"q": ids[q], "v": theirs[found], "cosine": scores[q, found]})
+
+    held, n = _blocks(usable(vectors), block_rows)
+    asked, _ = _blocks(usable(queries), block_rows)
+    held = held.select(F.col("number").alias("block"), F.lit(False).alias("asks"), "number", "ids", "width", "cells")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")
+    asked = asked.select(everywhere, F.lit(True).alias("asks"), "number", "ids", "width", "cells")
+    dealt = held.unionByName(asked).repartitionById(n, F.col("block").cast("int")).sortWithinPartitions("block", "asks", "number")
+    hits = dealt.mapInPandas(meet, "q long, v long, cosine double")
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "v"))
     chosen = hits.withColumn("nth", nth).filter(F.col("nth") <= most)
     return chosen.select(F.least("q", "v").alias("a"), F.greatest("q", "v").alias("b"), "cosine").distinct()

@@ -313,3 +313,42 @@ def routing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.regexp_extract("row", shape, 1).alias("concern"), F.regexp_extract("row", shape, 2).alias("slot")).distinct()
 
 
+
+
+_DOC = "'docs/d' || ({k} % 5) || '/p' || {k} || '.md'"
+
+
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each page: links in all forms, a change log, and the page's own text in between."""
+    k = F.col("page_id")
+    half = F.expr("page_id div 2")
+    text = F.format_string(
+        "# Change log\n[half](../d%d/p%d.md#top) [near](./p%d.md) [again](p%d.md) [own](p%d.md) [web](https://h.org/p1.md) [lost](missing.md) [out](../../../docs/d1/p1.md) [text](notes.txt)\n\n"
+        "## [2024-01-%s] — one\n%s\n## [2024-01-02] — two\n> 🔄 **Supersede:** 2024-01-01\n## 2024-01-03 — three\n> supersedes 2024-01-04, 2024-01-02 and 2024-02-30\n"
+        "> supersede: 2024-01-01\n## [2024-01-04] four\nit supersedes 2024-01-03\n## [2024-01-04] five\n> Supersede 2024-01-04\n",
+        half % 5, half, k + 5, k + 5, k, F.when(k % 3 == 0, "02").otherwise("01"), F.regexp_replace("html", F.lit(r"[\[\]()#]"), F.lit(" ")),
+    )
+    name = F.concat(F.lit("docs/d"), k % 5, F.lit("/p"), k, F.lit(".md"))
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("id"), text.alias("text"))
+
+
+@query("GRF-08_document_graph", f"""
+    WITH p AS (SELECT page_id AS k, {_DOC.format(k='page_id')} AS id FROM pages)
+    SELECT a.id AS src, b.id AS dst, 'references' AS kind FROM p a JOIN p b ON (b.k = a.k // 2 OR b.k = a.k + 5) AND a.k <> b.k
+    UNION ALL SELECT id || ':2024-01-02#0', id || ':2024-01-01#0', 'supersede' FROM p WHERE k % 3 <> 0
+    UNION ALL SELECT id || ':2024-01-03#0', id || ':2024-01-02#0', 'supersede' FROM p WHERE k % 3 <> 0
+    UNION ALL SELECT id || ':2024-01-04#1', id || ':2024-01-04#0', 'supersede' FROM p""")
+def document_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links resolved against folders, and supersede edges where a day names one entry."""
+    return G.document_graph(linked_documents(spark, sf_dir))
+
+
+@query("SCL-10_deepened_links", r"""
+    SELECT page_id, md5('[half](../../d' || ((page_id // 2) % 5) || '/p' || (page_id // 2) || '.md#top) [near](../p' || (page_id + 5) || '.md) [web](https://h.org/x.md) [mail](mailto:a@b) [top](#top) [root](/a.md) [made](<a>.md) '
+        || '[plain](../p' || page_id || '.md) ' || regexp_replace(html, '[\[\]()]', ' ', 'g')) AS deeper FROM pages""")
+def deepened_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's text as it reads one folder deeper."""
+    k, half = F.col("page_id"), F.expr("page_id div 2")
+    links = F.format_string("[half](../d%d/p%d.md#top) [near](./p%d.md) [web](https://h.org/x.md) [mail](mailto:a@b) [top](#top) [root](/a.md) [made](<a>.md) [plain](p%d.md) ", half % 5, half, k + 5, k)
+    text = F.concat(links, F.regexp_replace("html", F.lit(r"[\[\]()]"), F.lit(" ")))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(G.deepened_links(text).cast("binary")).alias("deeper"))

@@ -175,6 +175,19 @@ def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(sessions(spark, sf_dir), "backup").agg(F.count("*").alias("n"), F.sum("message_count").alias("messages"))
 
 
+@query("SNK-10_restore", model_sql("""
+    SELECT 'restored' AS name, count(*) AS n, CAST(sum(message_count) AS BIGINT) AS messages FROM sessions
+    UNION ALL SELECT 'set aside', count(*), CAST(sum(message_count) AS BIGINT) FROM sessions WHERE host IS NOT NULL"""))
+def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backup of all sessions takes the place of a store that has lost some, by renames; what was there is kept."""
+    whole, live, saved = sessions(spark, sf_dir), new_path(spark, "live"), new_path(spark, "backup")
+    sync.backup(whole, saved)
+    whole.filter("host is not null").write.parquet(live)
+    aside = sync.restore(spark, saved, live, aside=f"{live}.kept")
+    count = lambda name, path: spark.read.parquet(path).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("message_count").alias("messages"))
+    return count("restored", live).unionByName(count("set aside", aside))
+
+
 @query("MRG-05_folder_sync", model_sql("""
     SELECT * FROM (SELECT 1 AS step, 'a' AS machine, 0 AS merged, 0 AS skipped, 'baseline' AS kind, a AS pushed, a AS held FROM n
     UNION ALL SELECT 2, 'b', 1, 0, 'delta', a + b, a + b FROM n UNION ALL SELECT 3, 'a', 1, 1, 'delta', b, a + b FROM n
