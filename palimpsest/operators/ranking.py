@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,28 +89,55 @@ def mix_by_cosine(ranked: DataFrame, cosine: str = "cosine") -> DataFrame:
     return ranked.withColumn("order", order).withColumn("mixed_pos", F.row_number().over(Window.orderBy(F.desc("order"), "pos"))).drop("order")
 
 
+def first_fit(vectors: list, least: float, block: int = 256) -> list[int | None]:
+    """For each vector in rank order the number of the first head that it repeats, or None where it is a head itself.
+
+    Rows are compared with the heads so far a block at a time; within a block one after another. A null vector is a head
+    that nothing repeats; vectors of another width are no likeness of each other.
+    """
+    out: list[int | None] = [None] * len(vectors)
+    by_width: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None:
+            by_width.setdefault(len(v), []).append(i)
+    for width, rows in by_width.items():
+        held = np.zeros((0, width))
+        heads: list[int] = []
+        for begin in range(0, len(rows), block):
+            mine = rows[begin : begin + block]
+            matrix = np.array([vectors[i] for i in mine], float).reshape(len(mine), width)
+            old = matrix @ held.T >= least if len(heads) else np.zeros((len(mine), 0), bool)
+            among = matrix @ matrix.T >= least
+            fresh: list[int] = []
+            for n, i in enumerate(mine):
+                if old[n].any():
+                    out[i] = heads[int(old[n].argmax())]
+                elif fresh and among[n, fresh].any():
+                    out[i] = mine[fresh[int(among[n, fresh].argmax())]]
+                else:
+                    fresh.append(n)
+            heads += [mine[n] for n in fresh]
+            held = np.concatenate([held, matrix[fresh]])
+    return out
+
+
 def collapse(ranked: DataFrame, least: float = 0.85, names: int = 5) -> DataFrame:
-    """Near copies behind the hit they repeat: greedy first fit in rank order, over one query's few hits.
+    """Near copies behind the hit they repeat: greedy first fit in rank order, over one query's hits, few or thousands.
 
     (query, id, pos, embedding) to (query, id, pos, head, similar, similar_ids): heads first, the others after them.
     """
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[int, list, list]] = []
-        out = []
-        for row in rows.sort_values("pos").itertuples():
-            match = None
-            if row.embedding is not None:
-                match = next((h for h in heads if h[1] is not None and sum(float(a) * float(b) for a, b in zip(h[1], row.embedding, strict=True)) >= least), None)
-            if match is None:
-                heads.append((row.id, row.embedding, []))
-            else:
-                match[2].append(row.id)
-            out.append((row.id, None if match is None else match[0]))
-        extra = {h[0]: h[2] for h in heads}
-        ordered = [x for x in out if x[1] is None] + [x for x in out if x[1] is not None]
+        rows = rows.sort_values("pos")
+        ids = rows["id"].tolist()
+        heads = first_fit([None if v is None else np.asarray(v, float) for v in rows["embedding"]], least)
+        extra: dict[int, list] = {}
+        for i, head in enumerate(heads):
+            if head is not None:
+                extra.setdefault(head, []).append(ids[i])
+        ordered = [i for i, head in enumerate(heads) if head is None] + [i for i, head in enumerate(heads) if head is not None]
         return pd.DataFrame(
-            [(key[0], i, n, head is None, len(extra.get(i, [])), extra.get(i, [])[:names]) for n, (i, head) in enumerate(ordered, 1)],
+            [(key[0], ids[i], n, heads[i] is None, len(extra.get(i, [])), extra.get(i, [])[:names]) for n, i in enumerate(ordered, 1)],
             columns=["query", "id", "pos", "head", "similar", "similar_ids"],
         )
 

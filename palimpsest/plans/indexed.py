@@ -155,3 +155,26 @@ def abstained(spark: SparkSession, sf_dir: str) -> DataFrame:
     axis = held.orderBy("vec_id").limit(1).select(F.transform("embedding", lambda x, i: F.when(i == 0, 1.0).otherwise(0.0)).alias("q"))
     found = recall_checked(spark, sf_dir, "the with thing", vector=axis, vectors=vectors)
     return spark.createDataFrame([(found.reason, round(found.top_distance, 6))], "reason string, top_distance double")
+
+
+_NEAR = """unit AS (SELECT vec_id, list_transform(h, lambda x: CAST(x / sqrt(list_inner_product(h, h)) AS FLOAT)) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS h FROM embeddings)),
+    pairs AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(CAST(a.u AS DOUBLE[]), CAST(b.u AS DOUBLE[])), 6) AS cosine FROM unit a, unit b WHERE a.vec_id % 20 = 0 AND b.vec_id % 9 <> 4)"""
+
+
+@query("EMB-05_quantised_store", f"""WITH {_NEAR}
+    SELECT query_id, vec_id, cosine FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 10""")
+@query("RET-08_quantised_store", f"""WITH {_NEAR}
+    SELECT query_id, vec_id, cosine FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 10""")
+def quantised_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest by an index in bytes that was added to twice, removed from twice, and added to again."""
+    from palimpsest.operators.vector_store import VectorStore
+
+    held = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    width = held.agg(F.max(F.size("embedding"))).first()[0]
+    store = VectorStore.create(spark, profile="raw", width=width, native=width)
+    store.add(held.filter("vec_id % 2 = 0"), profile="raw")
+    store.add(held.filter("vec_id % 2 = 1"), profile="raw")
+    store.remove(held.filter("vec_id % 9 = 4 or vec_id % 5 = 3"))
+    store.add(held.filter("vec_id % 5 = 3 and vec_id % 9 <> 4"), profile="raw")
+    asked = held.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return store.search(asked, 10).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
