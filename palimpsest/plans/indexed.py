@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import query
@@ -178,3 +178,35 @@ def quantised_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.add(held.filter("vec_id % 5 = 3 and vec_id % 9 <> 4"), profile="raw")
     asked = held.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return store.search(asked, 10).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query("EMB-06_trained_embedding", r"""
+    WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM documents),
+    v AS (SELECT w FROM t GROUP BY w HAVING count(*) >= 3 ORDER BY count(*) DESC, w LIMIT 20000),
+    k AS (SELECT DISTINCT doc_id FROM t SEMI JOIN v USING (w))
+    SELECT doc_id, CASE WHEN k.doc_id IS NOT NULL THEN 64 END AS dims, CASE WHEN k.doc_id IS NOT NULL THEN 1.0 END AS norm FROM documents LEFT JOIN k USING (doc_id)""")
+def trained_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by an embedding that is trained on all of them: unit vectors, null where no word is known."""
+    from palimpsest.operators import embedding
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = docs.select("doc_id", embedding.train(docs).of(F.col("text")).alias("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return held.select("doc_id", F.when(F.col("v").isNotNull(), F.size("v")).alias("dims"), F.round(length, 4).alias("norm"))
+
+
+@query("RET-12_trained_rerank")
+def trained_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of odd benchmark items in the order of a scorer that was fitted on the even ones."""
+    from palimpsest.operators import evaluation, pair_scorer
+
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    said = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 5 != 4), " ")
+    queries = items.select("item_id", said.alias("text"))
+    near = evaluation.four_word_ranks(queries, docs).filter("pos <= 40").select("item_id", "doc_id", (F.col("pos") - 1).alias("place"))
+    held = near.join(items.select("item_id", F.col("text").alias("whole"), said.alias("query")), "item_id").join(docs.withColumnRenamed("text", "passage"), "doc_id")
+    held = materialize(held.select(F.col("item_id").alias("query_id"), "doc_id", "query", "passage", "place", F.contains("passage", "whole").alias("good")), "rerank-candidates")
+    scorer = pair_scorer.fit(held.filter("query_id % 2 = 0"), pair_scorer.rarities(queries, docs))
+    scored = held.filter("query_id % 2 = 1").withColumn("score", scorer.score(F.col("query"), F.col("passage"), F.col("place")))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "place")).cast("long")
+    return scored.select(F.col("query_id").alias("item_id"), "doc_id", F.col("place").cast("long").alias("place"), pos.alias("pos"), "good")
