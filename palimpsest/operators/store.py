@@ -85,6 +85,25 @@ def count_gaps(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return sessions.join(held, "id", "left").select("id", "message_count", F.coalesce("actual", F.lit(0)).alias("actual"), gap).filter("gap > 0")
 
 
+def reopened(offsets: DataFrame, sessions: DataFrame, messages: DataFrame, *, everything: bool = False) -> DataFrame:
+    """Offsets (file_path, session_id, last_line, parser) with the files of sessions that lack messages to be read from their start.
+
+    Reading them again is harmless: what is known adds nothing. ``everything`` reopens all files, where counts can't be trusted either.
+    """
+    if everything:
+        return offsets.withColumn("last_line", F.lit(0).cast("long"))
+    gaps = count_gaps(sessions, messages).select(F.col("id").alias("session_id"), F.lit(True).alias("gap"))
+    held = offsets.join(gaps, "session_id", "left")
+    return held.withColumn("last_line", F.when(F.col("gap"), F.lit(0).cast("long")).otherwise(F.col("last_line"))).select(offsets.columns)
+
+
+def reconciled(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """Sessions with the number of messages that there are."""
+    actual = messages.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("actual"))
+    held = sessions.join(actual, "id", "left").withColumn("message_count", F.coalesce("actual", F.lit(0).cast("long")))
+    return held.select(sessions.columns)
+
+
 def forget_selector(
     *, session: str | None = None, project: str | None = None, source: str | None = None, before: str | None = None, message: int | None = None
 ) -> Column:
