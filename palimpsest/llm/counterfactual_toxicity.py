@@ -198,10 +198,11 @@ def _sketch(groups: Groups):
     return run
 
 
-def _matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of all entries."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    return at, np.concatenate(rows) if rows else np.zeros(0, np.int32)
+def _pieces(rows: list[np.ndarray], most: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, feature) of all entries, some rows at a time: what is fitted is a small part of them."""
+    for begin in range(0, len(rows), most):
+        some = rows[begin : begin + most]
+        yield np.repeat(np.arange(begin, begin + len(some), dtype=np.int32), [len(r) for r in some]), np.concatenate(some)
 
 
 def fit(rows: pd.DataFrame, counterfactual: float = COUNTERFACTUAL) -> tuple[float, np.ndarray, np.ndarray]:
@@ -212,8 +213,10 @@ def fit(rows: pd.DataFrame, counterfactual: float = COUNTERFACTUAL) -> tuple[flo
     if not 0 < positives < len(y):
         return (-NEVER if positives else NEVER), np.zeros(0, np.int32), np.zeros(0)
 
-    unique = [np.unique(r) for r in here]
-    df = [np.bincount(_matrix([u for u, t in zip(unique, y, strict=True) if t == label])[1], minlength=FEATURES) for label in (0, 1)]
+    df = [np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)]
+    for label in (0, 1):
+        for row in (r for r, t in zip(here, y, strict=True) if t == label):
+            df[label][np.unique(row)] += 1
     rate, all_rate = [df[0] / (len(y) - positives), df[1] / positives], (df[0] + df[1]) / len(y)
     error = np.sqrt(all_rate * (1 - all_rate) * (1 / positives + 1 / (len(y) - positives))) + 1e-12
     used = np.flatnonzero((df[0] + df[1] >= 3) & (np.abs(rate[1] - rate[0]) >= SCREEN * error))
@@ -221,9 +224,11 @@ def fit(rows: pd.DataFrame, counterfactual: float = COUNTERFACTUAL) -> tuple[flo
     place[used] = np.arange(len(used))
 
     def narrowed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        at, f = _matrix(rows)
-        f = place[f]
-        return at[f >= 0], f[f >= 0]
+        kept = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for at, f in _pieces(rows):
+            f = place[f]
+            kept.append((at[f >= 0], f[f >= 0]))
+        return np.concatenate([at for at, _ in kept]), np.concatenate([f for _, f in kept])
 
     at, f = narrowed(here)
     comes_at, comes_f = narrowed([np.frombuffer(b, np.int32) for b in rows["comes"]])
