@@ -13,7 +13,9 @@ Everything is built-in DataFrame functions. Hot digests shrink to one row per
 memtable and task before any shuffle; the joins that carry every row have digests
 and identifiers only, and adaptive execution splits them. Texts of hits alone are
 exchanged: a filter of bounded size says which rows may be hits where they are
-read. They meet the text that stays under a salt that grows with the group.
+read, and digests with more than a thousandth of the hits meet the index there,
+by a broadcast of under a thousand rows. All meet the text that stays under a salt
+that grows with the group.
 
 Defined cases: a null text counts as empty; a null identifier is smaller than
 any other; rows that repeat both identifier and text are the same document and
@@ -26,15 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.key_joins import BITS_PER_ENTRY, FILTER_BITS, has_bit, join_by_digest, marked, slotted
 from palimpsest.storage import discard, materialize, table
 
-FILTER_BITS = 32768  # what one bitmap of bitmap_construct_agg holds
-BITS_PER_ENTRY = 64
 MEMTABLE_ROWS, LEAST_MEMTABLES = 50_000_000, 4
 #: Runs that one compaction merges.
 FAN_IN = 4
-#: Bitmaps of the filter of hits at most: 4 MB.
-HIT_BITMAPS = 1024
 MEMBERS_PER_KEEPER_COPY = 64
 
 
@@ -49,30 +48,19 @@ def flush(rows: DataFrame, keep: str) -> DataFrame:
     return materialize(runs.sortWithinPartitions("run", "digest"), "memtables")
 
 
-def _slotted(rows: DataFrame, bitmaps: int) -> DataFrame:
-    """Rows with the bitmap and the bit that their digest has in a filter of so many bitmaps."""
-    slot = F.pmod(F.xxhash64("digest"), F.lit(bitmaps * FILTER_BITS))
-    return rows.withColumn("slot", slot).withColumn("bucket", F.expr(f"slot div {FILTER_BITS}")).withColumn("bit", F.pmod("slot", F.lit(FILTER_BITS))).drop("slot")
-
-
 def filters(runs: DataFrame) -> DataFrame:
     """One row for each set of runs and bitmap, with each run's bits, from rows that know their place."""
     held = [F.bitmap_construct_agg(F.when(F.col("member") == r, F.bitmap_bit_position(F.col("bit") + 1))).alias(f"bits_{r}") for r in range(FAN_IN)]
     return runs.groupBy("merged", "bucket").agg(*held)
 
 
-def _has_bit(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1
-
-
 def compact(runs: DataFrame, keep: str, bitmaps: int) -> DataFrame:
     """One level: each FAN_IN runs become one; digests that no other of them knows by its filter are passed on as they are."""
     extreme = F.max if keep == "largest" else F.min
-    placed = _slotted(runs, bitmaps).withColumn("merged", F.expr(f"run div {FAN_IN}")).withColumn("member", F.pmod("run", F.lit(FAN_IN)))
+    placed = slotted(runs, bitmaps).withColumn("merged", F.expr(f"run div {FAN_IN}")).withColumn("member", F.pmod("run", F.lit(FAN_IN)))
     elsewhere = F.lit(False)
     for r in range(FAN_IN):
-        elsewhere = elsewhere | ((F.col("member") != r) & F.coalesce(_has_bit(F.col(f"bits_{r}"), F.col("bit")), F.lit(False)))
+        elsewhere = elsewhere | ((F.col("member") != r) & F.coalesce(has_bit(F.col(f"bits_{r}"), F.col("bit")), F.lit(False)))
     probed = placed.join(filters(placed), ["merged", "bucket"]).select(F.col("merged").alias("run"), "digest", "keep_id", "copies", elsewhere.alias("elsewhere"))
     probed = materialize(probed, "probed")
     columns = ["run", "digest", "keep_id", "copies"]
@@ -83,15 +71,6 @@ def compact(runs: DataFrame, keep: str, bitmaps: int) -> DataFrame:
     return out
 
 
-def _may_be_hits(texts: DataFrame, index: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose digest stands in a filter of all digests with copies: all hits, and few others."""
-    hits = index.filter("copies > 1")
-    bitmaps = min(HIT_BITMAPS, max(1, -(-hits.count() * BITS_PER_ENTRY // FILTER_BITS)))
-    known = _slotted(hits, bitmaps).groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
-    # HIT_BITMAPS rows of 4 KB at most; where hits are too many for them, more rows pass that are none
-    return _slotted(texts, bitmaps).join(F.broadcast(known), "bucket").filter(_has_bit(F.col("bits"), F.col("bit"))).select(texts.columns)
-
-
 def deduplicate(
     docs: DataFrame,
     *,
@@ -123,7 +102,8 @@ def deduplicate(
     columns = ["row_id", "digest", "keep_id", "copies", "same"]
     single = texts.select("row_id", "digest").join(index.filter("copies = 1"), "digest").withColumn("same", F.lit(True))
     spread = F.ceil(F.col("copies") / MEMBERS_PER_KEEPER_COPY).cast("int")
-    hits = _may_be_hits(texts, index).join(index.filter("copies > 1"), "digest").withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(1)), spread))
+    copied = index.filter("copies > 1")
+    hits = join_by_digest(marked(texts, copied).filter("known").drop("known"), copied).withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(1)), spread))
     keepers = (
         hits.filter(F.col("row_id").eqNullSafe(F.col("keep_id")))
         .groupBy("digest", "copies")

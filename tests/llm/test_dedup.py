@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import chosen_path_join as J
-from palimpsest.llm import digest_log
+from palimpsest.llm import digest_log, key_joins
+from palimpsest.storage import materialize
 
 KIND = "doc_id long, text string"
 ROWS = [(1, "a b"), (2, "a b"), (3, None), (4, ""), (5, "c"), (5, "c"), (None, "a b"), (6, "x " * 60_000)]
@@ -134,3 +135,31 @@ def test_no_link_met_is_no_proof_that_there_is_none(spark):
         rows = [(1, " ".join(words)), (2, " ".join([*words[:94], *(f"x{i}" for i in range(10))])), (3, "something else with six words")]
         got = sorted((r.doc_id, r.class_id, r.links) for r in J.similar(spark.createDataFrame(rows, KIND), runs=1).collect())
         assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
+def test_a_digest_of_a_third_of_all_rows_is_no_large_task(spark):
+    """Rows of a hot digest meet their partner where they are read, the others by an exchange, and none is lost."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise((F.col("id") / 2).cast("long"))
+    rows = spark.range(0, 100_000, 1, 8).select("id", F.md5(hot.cast("string")).alias("digest"))
+    partners = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("least")).filter("copies > 1")
+    partners = materialize(partners, "test-partners")
+    got = key_joins.join_by_digest(key_joins.marked(rows, partners).filter("known").drop("known"), partners)
+    want = rows.join(partners, "digest")
+    assert sorted(got.select("id", "least").collect()) == sorted(want.select("id", "least").collect())
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # small partitions would be one here
+    spark.conf.set(coalesce, "false")
+    try:
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset(coalesce)
+    assert max(sizes) < 0.2 * sum(sizes) and sum(sizes) == want.count()
+    # a left join keeps the rows without partner
+    assert key_joins.join_by_digest(rows, partners, "left").count() == 100_000
+
+
+def test_the_filter_knows_all_keys_and_few_others(spark):
+    keys = spark.range(0, 5000).select(F.md5(F.col("id").cast("string")).alias("digest"))
+    rows = spark.range(0, 50_000).select("id", F.md5(F.col("id").cast("string")).alias("digest"))
+    known = {r.id for r in key_joins.marked(rows, keys).filter("known").collect()}
+    assert known >= set(range(5000)) and len(known) < 7000
+    assert key_joins.marked(rows, keys.limit(0)).filter("known").count() == 0
