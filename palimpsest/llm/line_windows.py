@@ -7,8 +7,10 @@ later occurrence covers are removed, overlapping ones once. A removed line
 always stands in an earlier window, so no line is lost altogether.
 
 The exchange carries hashes and places, never lines; the first occurrence is
-found by a combining aggregate, and the join that marks later occurrences is a
-plain equi-join that adaptive execution splits where one window is everywhere.
+found by a combining aggregate. Windows that a bounded filter knows not to repeat
+are not exchanged again, and those with more than a thousandth of all repetitions
+meet their first occurrence where they are read. Texts move only where the filter
+says that lines of them may be covered.
 
 Defined cases: a null text counts as empty; blank lines (of blanks, tabs and
 carriage returns alone) belong to no window and stay; an empty table gives an
@@ -22,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.key_joins import join_by_digest, marked
 from palimpsest.storage import discard, materialize, table
 
 WINDOW = 3
@@ -48,26 +51,30 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc", "tag", F.explode(F.transform(place, window)).alias("w")).select("doc", "tag", "w.nth", "w.at", "w.digest")
 
 
-def later_lines(found: DataFrame) -> DataFrame:
-    """(doc, tag, covered): the lines of each document that later occurrences of windows cover."""
-    place = F.struct("doc", "tag", "nth")
-    repeated = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = found.join(repeated.select("digest", "first"), "digest").filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc", "tag").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("covered"))
+def later_lines(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc, tag, covered): the lines of each document that later occurrences of ``repeated`` windows cover."""
+    met = join_by_digest(marked(found, repeated).filter("known").drop("known"), repeated)
+    later = met.filter(~F.struct("doc", "tag", "nth").eqNullSafe(F.col("first")))
+    return later.groupBy("doc", "tag").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("covered"))
 
 
 def drop_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` as structs ``row``, with ``cleaned`` text and the numbers of ``lines`` and ``removed`` ones."""
     found = materialize(windows(docs, id_col, text_col), "line-windows")
-    covered = materialize(later_lines(found), "covered-lines")
-    discard(found)
+    first = F.min(F.struct("doc", "tag", "nth")).alias("first")
+    repeated = materialize(found.groupBy("digest").agg(first, F.count("*").alias("copies")).filter("copies > 1"), "repeated-windows")
+    covered = materialize(later_lines(found, repeated), "covered-lines")
+    discard(found, repeated)
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(id_col).alias("id"), F.col(text_col).alias("body"),
-        F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_tag"),
+        F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"),
     )
+    rows = marked(rows, covered.select(F.col("tag").alias("digest")))
     # what is covered has no bound, so it is never broadcast
-    joined = rows.join(covered.hint("merge"), (F.col("text_tag") == F.col("tag")) & F.col("id").eqNullSafe(F.col("doc")), "left")
+    met = rows.filter("known").join(covered.hint("merge"), (F.col("digest") == F.col("tag")) & F.col("id").eqNullSafe(F.col("doc")), "left")
+    untouched = rows.filter(~F.col("known")).withColumn("covered", F.lit(None).cast("array<int>"))
+    joined = met.select(untouched.columns).unionByName(untouched)
     lines = _lines(F.col("body"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
     cleaned = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("line_list"), i + 1)), "\n")
