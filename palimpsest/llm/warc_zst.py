@@ -34,14 +34,17 @@ from pathlib import Path
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.key_joins import join_by_digest, marked
 from palimpsest.storage import materialize, table
 
 SKIPPABLE_DICTIONARY = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
 ARCHIVE_RECORDS = 20_000
+#: Repetitions of one row that a task puts out at a time.
+REPEATS_IN_PART = 1000
 #: Bytes that a reader first looks at for a frame.
 STEP = 4096
 #: The dictionary is fitted on the heads of so many records at most, and has so many bytes at most. It changes sizes only.
@@ -246,25 +249,46 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """The table of archives of all pages: equal payloads once, at the largest identifier."""
+    """The table of archives of all pages: equal payloads once, at the largest identifier.
+
+    Payloads of which there is one copy stay where they are read.
+    """
     rows = pages.select(
         F.col(id_col).cast("long").alias("record_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
-    each = rows.groupBy("sha", "record_id").agg(F.count("*").alias("n"))
-    kept = each.groupBy("sha").agg(F.max(F.struct("record_id", "n")).alias("top"))
-    kept = materialize(kept.select("sha", F.col("top.record_id").alias("refers_to"), (F.col("top.n") > 1).alias("again")), "warc-kept")
-    joined = rows.join(kept, "sha")
-    top = F.col("record_id").eqNullSafe(F.col("refers_to"))
-    out = _records(joined if not (again := not kept.filter("again").isEmpty()) else joined.filter(~(top & F.col("again"))), ~top)
-    if again:  # rows that repeat payload and identifier: the first by url is the response
-        nth = F.row_number().over(Window.partitionBy("sha").orderBy(F.col("url").asc_nulls_last()))
-        out = out.unionByName(_records(joined.filter(top & F.col("again")).withColumn("nth", nth), F.col("nth") > 1))
+    ).withColumn("digest", F.sha1("payload"))
+    each = rows.groupBy("digest", "record_id").agg(F.count("*").alias("n"))
+    kept = each.groupBy("digest").agg(F.max(F.struct("record_id", "n")).alias("top"), F.sum("n").alias("copies")).filter("copies > 1")
+    kept = materialize(kept.select("digest", F.col("top.record_id").alias("refers_to"), (F.col("top.n") > 1).alias("again"), "copies"), "warc-kept")
+    rows = marked(rows, kept)
+    single = rows.filter(~F.col("known")).withColumn("refers_to", F.lit(None).cast("long"))
+    # where the filter errs a row has no partner, and is the only one of its payload
+    copied = join_by_digest(rows.filter("known").drop("known"), kept, "left")
+    top = F.col("copies").isNull() | F.col("record_id").eqNullSafe(F.col("refers_to"))
+    again = F.coalesce("again", F.lit(False)) & top
+    out = _records(single, F.lit(False)).unionByName(_records(copied.filter(~again), ~top))
+    if not kept.filter("again").isEmpty():
+        out = out.unionByName(_one_response(copied.filter(again)))
     heads = pages.select(F.substring(payload_col, 1, DICTIONARY_HEAD).cast("binary")).limit(DICTIONARY_SAMPLE).collect()
     return write_archives(out, fit_dictionary([bytes(r[0]) for r in heads if r[0]]))
 
 
+def _one_response(rows: DataFrame) -> DataFrame:
+    """Records of rows that repeat payload and identifier: the first by url is the response, whole repetitions are counted and put out in parts."""
+    same = rows.groupBy("digest", "record_id", "refers_to", "url").agg(F.max("payload").alias("payload"), F.count("*").alias("n"))
+    order = F.struct(F.col("url").isNull(), F.col("url"))
+    same = materialize(same.withColumn("order", order), "warc-again")
+    least = same.groupBy("digest").agg(F.min("order").alias("least"))
+    same = same.join(least, "digest").withColumn("first", F.col("order").eqNullSafe(F.col("least")))
+    left = F.col("n") - F.col("first").cast("long")
+    parts = same.filter(left > 0).withColumn("left", left).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(left - 1) div {REPEATS_IN_PART}"))))
+    parts = parts.repartition("digest", "url", "part")
+    number = F.least(F.lit(REPEATS_IN_PART).cast("long"), F.col("left") - F.col("part") * REPEATS_IN_PART)
+    revisits = parts.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), number)))
+    return _records(same.filter("first"), F.lit(False)).unionByName(_records(revisits, F.lit(True)))
+
+
 def _records(rows: DataFrame, revisit: Column) -> DataFrame:
     return rows.select("record_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 

@@ -114,6 +114,14 @@ def test_archives_of_repeated_rows(spark):
     assert got == sorted([(2, "a", "response", None), (2, "b", "revisit", 2), (2, None, "revisit", 2), (1, "c", "revisit", 2), (5, "x", "response", None), (5, "x", "revisit", 5)], key=str)
 
 
+def test_a_page_that_is_there_thousands_of_times_has_one_response(spark):
+    rows = [(7, None, "same")] * 2501 + [(7, "z", "same")] * 2 + [(i, "u", f"own {i}") for i in range(20)]
+    got = warc_zst.read_archives(warc_zst.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    count = {(r.record_type, r.refers_to, r.url): r["count"] for r in got.filter("payload_bytes = 4").groupBy("record_type", "refers_to", "url").count().collect()}
+    assert count == {("response", None, "z"): 1, ("revisit", 7, "z"): 1, ("revisit", 7, None): 2501}
+    assert got.filter("record_type = 'response'").count() == 21 and got.count() == 2523
+
+
 def test_archive_files_are_read_back(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     archives = warc_zst.archive_pages(pages).persist()
