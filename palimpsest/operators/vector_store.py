@@ -1,10 +1,10 @@
-"""A stored vector index in eight bits: parts that are added and removed from, a coarse scan, and exact scores for what it finds.
+"""A stored vector index in eight bits: parts that are added and removed from, a coarse scan with bounds, and exact scores for what they leave.
 
 An index has an identity (profile, width, type), written once and never guessed: vectors of another profile or a smaller
 width are refused, wider ones are cut to the width and brought to unit length, as queries are. A vector is stored twice:
 as bytes, each component by the vector's own scale, in blocks of bounded size by a hash of the identifier; and as it is.
-A search reads the bytes of every block, keeps ``widen`` times as many candidates as are wanted, and reads the vectors of
-these alone for their scores.
+A search multiplies the bytes of every block, which bounds each cosine from both sides, and takes the exact cosine of all
+that the bounds leave among the nearest: it finds what a search of all vectors finds.
 
 Removals are parts as well: a vector counts if no later part removes it, and can be added anew. ``prune`` rewrites all
 parts into one, which takes the old ones' place when it is complete. Vectors that are null or hold a null or non-finite
@@ -26,9 +26,10 @@ from palimpsest.operators.sync import recover, swap_in
 from palimpsest.operators.vectors import WIDTHS
 from palimpsest.storage import discard, materialize, new_path
 
-BLOCK_ROWS, QUERY_ROWS, WIDEN = 4096, 512, 8
+BLOCK_ROWS, QUERY_ROWS = 4096, 512
 ADDED, REMOVED = "a", "r"
-CODES = "number long, ids binary, scales binary, codes binary"
+BLOCK = ("ids", "scales", "codes", "errors", "exact")
+CODES = "number long, of long, " + ", ".join(f"{name} binary" for name in BLOCK)
 VECTORS = "vec_id long, v array<float>"
 
 
@@ -118,7 +119,7 @@ class VectorStore:
         rows = materialize(rows, "vectors")
         n = max(1, -(-rows.count() // BLOCK_ROWS))
         keyed = rows.withColumn("number", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
-        keyed.groupBy("number").applyInPandas(_quantised, CODES).write.mode("overwrite").parquet(f"{folder}/codes/{part}")
+        keyed.groupBy("number").applyInPandas(_quantised(n), CODES).write.mode("overwrite").parquet(f"{folder}/codes/{part}")
         rows.write.mode("overwrite").parquet(f"{folder}/vectors/{part}")
         discard(rows)
 
@@ -140,59 +141,93 @@ class VectorStore:
         swap_in(self.spark, fresh, self.folder)
         return n
 
-    def search(self, queries: DataFrame, k: int, *, id_col: str = "query_id", vector_col: str = "embedding", widen: int = WIDEN) -> DataFrame:
-        """(query_id, rank, vec_id, cosine): the k nearest of each query by exact cosine, of ``widen`` times k by coarse one."""
+    def _dead(self, blocks: DataFrame) -> DataFrame:
+        """(part, number, dead): of each block the identifiers that a later part has removed; ``blocks`` has part, number and of."""
+        names = [n for n in self.parts() if n.endswith(ADDED)]
+        there = self._read("vectors", VECTORS, names).select("vec_id", "part")
+        dead = there.join(self._gone(), "vec_id").filter(F.col("since") > F.col("part"))
+        sizes = blocks.select("part", "of").distinct()  # a row for each part
+        numbered = dead.join(F.broadcast(sizes), "part").withColumn("number", F.pmod(F.xxhash64("vec_id"), F.col("of")))
+        return numbered.groupBy("part", "number").agg(F.collect_list("vec_id").alias("dead"))
+
+    def search(self, queries: DataFrame, k: int, *, id_col: str = "query_id", vector_col: str = "embedding", digits: int = 9) -> DataFrame:
+        """(query_id, rank, vec_id, cosine): the k nearest of each query by exact cosine.
+
+        Cosines are rounded once, to ``digits`` places; those that are equal then are ties, which go to the smaller identifier.
+        """
         asked = materialize(self.usable(queries, id_col, vector_col), "asked")
         codes = self._read("codes", CODES, [n for n in self.parts() if n.endswith(ADDED)])
         n_codes, n_asked = codes.count(), asked.count()
         # blocks are numbered by their keys alone
-        numbers = codes.select("part", "number").withColumn("block", F.row_number().over(Window.orderBy("part", "number")).cast("long"))
-        held = codes.join(F.broadcast(numbers), ["part", "number"]).select("block", F.lit(False).alias("asks"), "part", "ids", "scales", "codes")
-        q = asked.withColumn("number", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n_asked // QUERY_ROWS))))).groupBy("number").applyInPandas(_quantised, CODES)
+        keys = codes.select("part", "number", "of")
+        numbers = keys.withColumn("block", F.row_number().over(Window.orderBy("part", "number")).cast("long")).drop("of")
+        held = codes.join(F.broadcast(numbers), ["part", "number"]).join(self._dead(keys), ["part", "number"], "left")
+        held = held.select("block", F.lit(False).alias("asks"), "dead", *BLOCK)
+        n_lots = max(1, -(-n_asked // QUERY_ROWS))
+        q = asked.withColumn("number", F.pmod(F.xxhash64("vec_id"), F.lit(n_lots))).groupBy("number").applyInPandas(_quantised(n_lots), CODES)
         everywhere = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max(1, n_codes)).cast("long"))).alias("block")
-        q = q.select(everywhere, F.lit(True).alias("asks"), F.lit("").alias("part"), "ids", "scales", "codes")
+        q = q.select(everywhere, F.lit(True).alias("asks"), F.lit(None).cast("array<bigint>").alias("dead"), *BLOCK)
         dealt = held.unionByName(q).repartitionById(max(1, n_codes), (F.col("block") - 1).cast("int")).sortWithinPartitions("block", "asks")
-        # removed vectors may stand among a block's best, so as many more are kept as were ever removed there, at most the block
-        spare = self._gone().count() if self._named("removed") else 0
-        coarse = dealt.mapInPandas(_coarse(k * widen, spare), "query_id long, vec_id long, part string, coarse double")
-        best = Window.partitionBy("query_id").orderBy(F.desc("coarse"), "vec_id")
-        near = self._live(coarse).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k * widen)
-        exact = self._read("vectors", VECTORS, [n for n in self.parts() if n.endswith(ADDED)])
-        scored = near.select("query_id", "vec_id", "part").join(exact, ["vec_id", "part"]).join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        scored = scored.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 9).alias("cosine"))
+        near = dealt.mapInPandas(_nearest(k, digits), "query_id long, vec_id long, cosine double")
         order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
+        return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
+
+
+def _quantised(of: int):
+    """A block of vectors: bytes and scales, how far these are from the vectors, and the vectors themselves."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id")
+        matrix = np.stack(rows["v"].to_numpy()).astype(np.float32)
+        scales = np.maximum(np.abs(matrix).max(axis=1), np.float32(1e-30)) / np.float32(127)
+        codes = np.rint(matrix / scales[:, None]).astype(np.int8)
+        errors = np.linalg.norm(matrix - codes * scales[:, None].astype(np.float64), axis=1)
+        cells = {"ids": rows["vec_id"].to_numpy(np.int64), "scales": scales, "codes": codes, "errors": errors, "exact": matrix}
+        return pd.DataFrame({"number": [key[0]], "of": [of]} | {name: [cell.tobytes()] for name, cell in cells.items()})
+
+    return run
 
 
-def _quantised(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id")
-    matrix = np.stack(rows["v"].to_numpy()).astype(np.float32)
-    scales = np.maximum(np.abs(matrix).max(axis=1), np.float32(1e-30)) / np.float32(127)
-    codes = np.rint(matrix / scales[:, None]).astype(np.int8)
-    return pd.DataFrame({"number": [key[0]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "scales": [scales.tobytes()], "codes": [codes.tobytes()]})
+def _nearest(k: int, digits: int):
+    """Each block's k nearest for the queries that come after it.
 
+    Products of bytes say between which bounds a cosine lies. Those whose upper bound is below the k-th lower one can't
+    be among the k; the others get their exact cosine.
+    """
+    step = 10.0**digits
 
-def _coarse(k: int, spare: int):
-    """Each block's best for the queries that come after it, by products of bytes."""
+    def opened(row):
+        ids, scales, errors = np.frombuffer(row.ids, np.int64), np.frombuffer(row.scales, np.float32), np.frombuffer(row.errors)
+        return ids, scales.astype(np.float64), errors, np.frombuffer(row.codes, np.int8).reshape(len(ids), -1).astype(np.float32), np.frombuffer(row.exact, np.float32).reshape(len(ids), -1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = held = None
         for batch in batches:
             for row in batch.itertuples():
-                ids, scales = np.frombuffer(row.ids, np.int64), np.frombuffer(row.scales, np.float32)
-                codes = np.frombuffer(row.codes, np.int8).reshape(len(ids), -1)
+                block = opened(row)
                 if not row.asks:
-                    number, held, part = row.block, (ids, scales, codes.astype(np.float32)), row.part
+                    if row.dead is not None and len(row.dead):
+                        there = ~np.isin(block[0], row.dead)
+                        block = tuple(x[there] for x in block)
+                    number, held = row.block, block
                     continue
-                if row.block != number:
+                if row.block != number or not len(held[0]):
                     continue
-                theirs, their_scales, matrix = held
+                (ids, scales, errors, codes, exact), (theirs, their_scales, their_errors, their_codes, their_exact) = block, held
                 # products of bytes are whole numbers that floats of this size hold exactly
-                scores = (codes.astype(np.float32) @ matrix.T).astype(np.float64) * their_scales
-                most = min(len(theirs), k + spare)
-                best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-                q = np.repeat(np.arange(len(ids)), most)
-                found = best.ravel()
-                yield pd.DataFrame({"query_id": ids[q], "vec_id": theirs[found], "part": part, "coarse": scores[q, found] * scales[q]})
+                scores = (codes @ their_codes.T).astype(np.float64) * their_scales * scales[:, None]
+                # vectors are of unit length but for the last digit of a float; the rest is for that and for the rounding
+                slack = errors[:, None] + (1 + errors[:, None]) * their_errors[None, :] + 1e-5 + 1 / step
+                most = min(len(theirs), k)
+                least = -np.partition(slack - scores, most - 1, axis=1)[:, most - 1]
+                maybe = scores + slack >= least[:, None]
+                out = []
+                for i in range(len(ids)):
+                    at = np.flatnonzero(maybe[i])
+                    cosine = their_exact[at].astype(np.float64) @ exact[i].astype(np.float64)
+                    cosine = np.copysign(np.floor(np.abs(cosine) * step + 0.5) / step, cosine)
+                    best = np.lexsort((theirs[at], -cosine))[:most]
+                    out.append(pd.DataFrame({"query_id": ids[i], "vec_id": theirs[at[best]], "cosine": cosine[best]}))
+                yield pd.concat(out, ignore_index=True)
 
     return run
