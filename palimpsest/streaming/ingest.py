@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.storage import new_path
 from palimpsest.streaming.session_store import SessionStore
 
 
-def file_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 64) -> DataFrame:
-    """New Parquet files of a folder, or one file, a bounded number at a time."""
+def file_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = 64) -> DataFrame:
+    """New Parquet files of a folder, or one file, a bounded number at a time or, for None, all that are there."""
     schema = spark.read.parquet(path).schema
     # a stream takes a file only as a pattern: one that nothing else matches
     pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(pattern)
 
 
 def drain(stream: DataFrame, each_batch, *, mode: str = "append", progress: str | None = None) -> None:
@@ -58,23 +55,30 @@ def spans(stream: DataFrame, key: str, time: str) -> DataFrame:
 WARNED = "key long, event_id long, value double"
 
 
-def warnings(stream: DataFrame, threshold: float) -> DataFrame:
-    """(key, event_id, value): each key warns once above the threshold, and again after a boundary.
+def warnings(stream: DataFrame, threshold: float, path: str) -> None:
+    """Write (key, event_id, value) under ``path``/warned: each key warns once above the threshold, and again after a boundary.
 
-    ``stream`` has key, at, event_id, value and boundary; rows of a key are taken in the order of time within what arrives together.
+    ``stream`` has key, at, event_id, value and boundary; rows of a key are taken in the order of time within what arrives
+    together. Which keys have warned since their last boundary is kept from batch to batch under ``path``/state.
     """
+    order = (F.col("at").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    cycle = F.count_if("boundary").over(Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        warned = state.get[0] if state.exists else False
-        for part in parts:
-            out = []
-            for row in part.sort_values(["at", "event_id"]).itertuples():
-                if row.boundary:
-                    warned = False
-                elif row.value > threshold and not warned:
-                    warned = True
-                    out.append((key[0], row.event_id, row.value))
-            yield pd.DataFrame(out, columns=["key", "event_id", "value"])
-        state.update((warned,))
-
-    return stream.groupBy("key").applyInPandasWithState(step, WARNED, "warned boolean", "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        high = ~F.col("boundary") & (F.col("value") > threshold)
+        rows = batch.withColumn("cycle", cycle).withColumn("high", F.coalesce(high, F.lit(False)))
+        if batch_id:
+            before = spark.read.schema("was long").parquet(f"{path}/state/{batch_id - 1:08d}")
+        else:
+            before = spark.createDataFrame([], "was long")
+        nth = F.row_number().over(Window.partitionBy("key", "cycle").orderBy(*order))
+        first = rows.filter("high").withColumn("nth", nth).filter("nth = 1")
+        silent = F.col("key").eqNullSafe(F.col("was")) & (F.col("cycle") == 0)
+        first.join(before, silent, "left_anti").select("key", "event_id", "value").write.mode("overwrite").parquet(f"{path}/warned/{batch_id:08d}")
+        ends = rows.groupBy("key").agg(F.max("cycle").alias("last"), F.max(F.when(F.col("high"), F.col("cycle"))).alias("warned"), F.lit(True).alias("came"))
+        both = ends.join(before.withColumn("held", F.lit(True)), F.col("key").eqNullSafe(F.col("was")), "full")
+        still = F.col("came").isNull() | F.coalesce(F.col("warned") == F.col("last"), F.lit(False)) | (F.col("held") & (F.col("last") == 0))
+        both.filter(still).select(F.when(F.col("came"), F.col("key")).otherwise(F.col("was")).alias("was")).write.mode("overwrite").parquet(f"{path}/state/{batch_id:08d}")
+
+    drain(stream, write)
