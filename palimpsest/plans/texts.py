@@ -164,18 +164,23 @@ def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SCL-05_source_signature", """
-    SELECT lang, count(*) AS files, md5(concat_ws(':', count(*), CAST(sum(h1) AS HUGEINT), CAST(sum(h2) AS HUGEINT))) AS signature
-    FROM (SELECT lang, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2 FROM (SELECT lang, sha256(concat_ws(':', source, doc_id)) AS d FROM documents))
-    GROUP BY lang""")
+    WITH leaf AS (SELECT lang, sha256(concat_ws(':', source, doc_id)) AS d FROM documents),
+    six AS (SELECT lang, left(d, 6) AS six, count(*) AS n, sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM leaf GROUP BY ALL),
+    four AS (SELECT lang, left(six, 4) AS four, sum(n) AS n, sha256(string_agg(six || ':' || h, chr(10) ORDER BY six)) AS h FROM six GROUP BY ALL),
+    two AS (SELECT lang, left(four, 2) AS two, sum(n) AS n, sha256(string_agg(four || ':' || h, chr(10) ORDER BY four)) AS h FROM four GROUP BY ALL)
+    SELECT lang, CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(two || ':' || h, chr(10) ORDER BY two)) AS signature FROM two GROUP BY lang""")
 def source_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent of the order in which files are listed: a digest of their count and of two sums of their digests' words.
+    """Independent of the order in which files are listed: a tree of digests over all digests of the files, whole and sorted.
 
-    Sums are taken before anything is exchanged, so a language of any size is one row of each task.
+    Digests meet by their first six digits, and their groups' digests by four, by two and by language: a group has 256 parts at most.
     """
     digest = F.sha2(F.concat_ws(":", "source", "doc_id"), 256)
-    word = lambda i: F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
-    held = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum(word(0)).alias("h1"), F.sum(word(1)).alias("h2"))
-    return held.select("lang", "files", F.md5(F.concat_ws(":", "files", "h1", "h2").cast("binary")).alias("signature"))
+    joined = lambda part: F.sha2(F.array_join(F.array_sort(F.collect_list(part)), "\n"), 256).alias("h")
+    held = table(spark, sf_dir, "documents").select("lang", digest.alias("d"))
+    held = held.groupBy("lang", F.left("d", F.lit(6)).alias("p")).agg(F.count("*").alias("n"), joined("d"))
+    for digits in (4, 2):
+        held = held.groupBy("lang", F.left("p", F.lit(digits)).alias("q")).agg(F.sum("n").alias("n"), joined(F.concat_ws(":", "p", "h"))).withColumnRenamed("q", "p")
+    return held.groupBy("lang").agg(F.sum("n").alias("files"), joined(F.concat_ws(":", "p", "h"))).withColumnRenamed("h", "signature")
 
 
 @query("SCL-07_least_greatest", model_sql("SELECT id, least(started_at, ended_at) AS lo, greatest(started_at, ended_at) AS hi FROM sessions"))
