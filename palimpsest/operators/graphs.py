@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import edge_id
 from palimpsest.sources import markdown
-from palimpsest.storage import materialize
+from palimpsest.storage import dealt, materialize
 
 HUB_FAN_IN = 8
 GATES = {"hub_pct": 20.0, "isolated_pct": 30.0, "util_violations": 0.0}
@@ -97,7 +97,7 @@ def _resolved(wanted: DataFrame, files: DataFrame) -> DataFrame:
 def import_edges(files: DataFrame) -> DataFrame:
     """(src, dst) of relative imports in files (id, text): as written, with the known extensions, or as an index."""
     specs = F.concat(*(F.regexp_extract_all("text", F.lit(JS_IMPORT), F.lit(n)) for n in (1, 2, 3)))
-    found = files.select(F.col("id").alias("src"), F.explode(F.array_distinct(specs)).alias("spec"))
+    found = dealt(files).select(F.col("id").alias("src"), F.explode(F.array_distinct(specs)).alias("spec"))
     found = found.filter(F.col("spec").startswith("."))
     base = normal_path(F.concat_ws("/", folder(F.col("src")), "spec"))
     extension = F.regexp_extract("base", r"(\.[a-z]+)$", 1)
@@ -110,7 +110,7 @@ def import_edges(files: DataFrame) -> DataFrame:
 
 def python_edges(files: DataFrame) -> DataFrame:
     """(src, dst) of imports in Python files: the module, or the module that a name is taken from, also below another root."""
-    found = files.select(F.col("id").alias("src"), F.explode(F.array_distinct(F.concat(*(F.regexp_extract_all("text", F.lit(PY_IMPORT), F.lit(n)) for n in (1, 2))))).alias("spec")).filter("spec <> ''")
+    found = dealt(files).select(F.col("id").alias("src"), F.explode(F.array_distinct(F.concat(*(F.regexp_extract_all("text", F.lit(PY_IMPORT), F.lit(n)) for n in (1, 2))))).alias("spec")).filter("spec <> ''")
     dots = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
     steps = F.filter(F.split(folder(F.col("src")), "/"), lambda s: s != "")
     anchor = F.when(dots > 0, F.slice(steps, F.lit(1), F.greatest(F.size(steps) - dots + 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
