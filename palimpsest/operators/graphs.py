@@ -13,6 +13,8 @@ HUB_FAN_IN = 8
 GATES = {"hub_pct": 20.0, "isolated_pct": 30.0, "util_violations": 0.0}
 MOST_CANDIDATES = 4
 MOST_FOLDERS = 8
+#: Rows of layers that a task is dealt, on average, when they are merged.
+EDGE_ROWS = 1 << 20
 
 # Import and definition shapes, source extensions and where routes are called.
 JS_IMPORT = r"""(?:import|export)\s[^'"]*?from\s*['"]([^'"]+)['"]|import\s*['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\)"""
@@ -239,9 +241,12 @@ def merged_view(layers: list[DataFrame]) -> DataFrame:
     out = layers[0]
     for more in layers[1:]:
         out = out.unionByName(more)
-    imports = out.filter("kind = 'imports'").select("src", "dst", F.lit(True).alias("known")).distinct()
-    kept = out.join(imports, ["src", "dst"], "left").filter(~((F.col("kind") == "calls") & F.coalesce("known", F.lit(False))))
-    total = kept.groupBy("src", "dst", "kind", "rel").agg(F.sum("count").alias("count"))
+    # a task holds so many edges whatever their number: both the sums and the imports are met where they were dealt to
+    out = out.repartition(-(-out.count() // EDGE_ROWS) or 1, "src", "dst")
+    summed = lambda edges: edges.groupBy("src", "dst", "kind", "rel").agg(F.sum("count").alias("count"))
+    calls = F.coalesce(F.col("kind") == "calls", F.lit(True))
+    imports = out.filter("kind = 'imports'").select("src", "dst").distinct()
+    total = summed(out.filter(~calls)).unionByName(summed(out.filter(calls)).join(imports, ["src", "dst"], "left_anti"))
     return total.withColumn("eid", edge_id(F.col("src"), F.col("dst"), F.col("kind"), F.col("rel")))
 
 
