@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -25,6 +27,8 @@ from palimpsest.storage import discard, materialize
 
 DIMS, VOCABULARY, LEAST_COUNT = 64, 20_000, 3
 WINDOW, ROUNDS, BLOCK_WORDS = 4, 4, 512
+#: Words, or a text's if it has more, whose pairs are counted at a time.
+PIECE_WORDS = 1 << 21
 #: Share of all words at which a word's weight is a half.
 HALF_WEIGHT = 1e-3
 SEED = 7
@@ -76,26 +80,42 @@ def vocabulary(texts: DataFrame, size: int = VOCABULARY, least: int = LEAST_COUN
 
 def together(texts: DataFrame, words: DataFrame, window: int = WINDOW) -> DataFrame:
     """(a, b, n): how often two words of the vocabulary stand within ``window`` places of each other, both ways."""
-    held = {r["word"]: r["number"] for r in words.collect()}
-    known = texts.sparkSession.sparkContext.broadcast(held)
+    # in the order of their numbers
+    known = texts.sparkSession.sparkContext.broadcast([r["word"] for r in words.orderBy("number").collect()])
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = known.value
-        size = len(place)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(known.value, pa.string())
         for batch in batches:
-            keys = []
-            for row in batch["words"]:
-                at = np.array([place.get(w, -1) for w in row], np.int64)
-                for step in range(1, window + 1):
-                    a, b = at[:-step], at[step:]
-                    both = (a >= 0) & (b >= 0)
-                    keys += [a[both] * size + b[both], b[both] * size + a[both]]
-            if keys:
-                pair, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pd.DataFrame({"a": (pair // size).astype(np.int32), "b": (pair % size).astype(np.int32), "n": n})
-
-    pairs = texts.select(tokens(F.col("text")).alias("words")).filter("size(words) > 1").mapInPandas(counted, "a int, b int, n long")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+            lists = batch.column("words")
+            offsets = lists.offsets.to_numpy()
+            # some texts at a time, so that their pairs are of bounded size
+            cuts = np.unique(np.r_[np.searchsorted(offsets, np.arange(offsets[0], offsets[-1], PIECE_WORDS)), len(offsets) - 1])
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                here = lists.values.slice(offsets[first], offsets[last] - offsets[first])
+                place = pc.fill_null(pc.index_in(here, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield _pairs(place, np.diff(offsets[first : last + 1]), len(vocabulary), window)
+
+    pairs = texts.select(tokens(F.col("text")).alias("words")).filter("size(words) > 1").mapInArrow(counted, "a int, b int, n long")
+    # a pair is exchanged one way and stands both ways then; a word beside itself counts for both
+    summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    way = lambda a, b, n: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), n.alias("n"))
+    both = F.when(F.col("a") == F.col("b"), F.array(way("a", "b", F.col("n") * 2))).otherwise(F.array(way("a", "b", F.col("n")), way("b", "a", F.col("n"))))
+    return summed.select(F.explode(both).alias("p")).select("p.*")
+
+
+def _pairs(place: np.ndarray, sizes: np.ndarray, size: int, window: int) -> pa.RecordBatch:
+    """(a, b, n), a not above b, of texts whose words' numbers (-1: none) come one after another."""
+    # texts lie as far apart as words of two texts must not meet
+    row = np.full(len(place) + window * len(sizes), -1, np.int64)
+    row[np.arange(len(place)) + np.repeat(window * np.arange(len(sizes)), sizes)] = place
+    keys = []
+    for step in range(1, window + 1):
+        a, b = row[:-step], row[step:]
+        both = (a >= 0) & (b >= 0)
+        a, b = a[both], b[both]
+        keys.append(np.minimum(a, b) * size + np.maximum(a, b))
+    pair, n = np.unique(np.concatenate(keys), return_counts=True)
+    return pa.RecordBatch.from_pydict({"a": (pair // size).astype(np.int32), "b": (pair % size).astype(np.int32), "n": n.astype(np.int64)})
 
 
 def informative(pairs: DataFrame) -> DataFrame:
@@ -122,12 +142,14 @@ def product(blocks: DataFrame, matrix: np.ndarray) -> np.ndarray:
         for batch in batches:
             for row in batch.itertuples():
                 a, b, x = np.frombuffer(row.a, np.int32), np.frombuffer(row.b, np.int32), np.frombuffer(row.x, np.float32)
-                rows, begin = np.unique(a, return_index=True)
+                rows = np.unique(a)
                 out = np.zeros((len(rows), dense.shape[1]), np.float64)
-                # entries in pieces, so that a block of common words needs no more than its share of memory
+                # entries in pieces, so that a block of common words needs no more than its share of memory; they are in
+                # order of their rows, so those of a row are summed as a stretch
                 for at in range(0, len(a), 1 << 16):
                     piece = slice(at, at + (1 << 16))
-                    np.add.at(out, np.searchsorted(rows, a[piece]), (dense[b[piece]] * x[piece, None]).astype(np.float64))
+                    heads = np.flatnonzero(np.r_[True, a[piece][1:] != a[piece][:-1]])
+                    out[np.searchsorted(rows, a[piece][heads])] += np.add.reduceat(dense[b[piece]] * x[piece, None], heads, axis=0, dtype=np.float64)
                 yield pd.DataFrame({"rows": [rows.astype(np.int32).tobytes()], "cells": [out.tobytes()]})
 
     out = np.zeros(matrix.shape)
