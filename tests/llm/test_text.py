@@ -373,3 +373,22 @@ def test_the_fit_is_the_least_of_its_loss(monkeypatch):
     found[where] = weights
     found = found[used]
     assert np.abs(1 / (1 + np.exp(-(here @ found + bias))) - 1 / (1 + np.exp(-(here @ w + b)))).max() < 0.03
+
+
+def test_log_odds_are_packed_for_each_digit():
+    """A digit's four decisions come as one number: the log-odds in favour of it, of the nodes that it passes."""
+    tables = np.random.default_rng(4).integers(-126, 127, (C.CONTEXTS, 64, 16)).astype(np.int8)
+    tables[:, :, 0] = np.random.default_rng(5).integers(0, 5, (C.CONTEXTS, 64))
+    leaves = C.Leaves(tables)
+    got = leaves.odds.view(np.int8).reshape(C.CONTEXTS, 64, 16, 4)
+    for digit in range(16):
+        node = 1
+        for depth in range(4):
+            bit = digit >> (3 - depth) & 1
+            assert (got[:, :, digit, depth] == (tables[:, :, node] if bit else -tables[:, :, node])).all()
+            node = 2 * node + bit
+    assert (leaves.gate1 == 5 * tables[1, :, 0]).all() and (leaves.gate2 == tables[2, :, 0]).all()
+    # stretches of 128, 128, 256, ... digits, wherever a window begins
+    whole = C._turns(0, 5000)
+    assert [int((whole == k).sum()) for k in range(4)] == [128, 128, 256, 512]
+    assert (np.concatenate([C._turns(0, 200), C._turns(200, 4800)]) == whole).all()
