@@ -323,7 +323,8 @@ _METRICS = f"""WITH {_GRAMS} SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE '
 
 def _gold(items: DataFrame, docs: DataFrame, ranked: DataFrame) -> DataFrame:
     """Documents that hold a passage; they share its first run of words, so they are looked for among the ranked only."""
-    held = ranked.join(items, "item_id").join(docs.withColumnRenamed("text", "body"), "doc_id")
+    # ranks first, as what is ranked may be small enough to leave the texts where they are
+    held = docs.withColumnRenamed("text", "body").join(ranked, "doc_id").join(items, "item_id")
     return held.filter(F.contains("body", "text")).select("item_id", "doc_id", "pos")
 
 
@@ -369,9 +370,14 @@ def paraphrase_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.operators.evaluation import four_word_ranks, lanes, recall_at
 
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    gold = materialize(_gold(items, docs, four_word_ranks(items, docs)).select("item_id", "doc_id"), "gold")
-    said = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 5 != 4), " ")
-    ranked = materialize(lanes(items.select("item_id", said.alias("text")), docs), "lanes")
+    said = items.select("item_id", F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 5 != 4), " ").alias("text"))
+    # passages and what is said of them are looked for in one reading of the documents
+    of = lambda df, is_said: df.select(F.struct("item_id", F.lit(is_said).alias("is_said")).alias("item_id"), "text")
+    ranks = materialize(four_word_ranks(of(items, False).unionByName(of(said, True)), docs), "ranks")
+    part = lambda is_said: ranks.filter(F.col("item_id.is_said") == is_said).withColumn("item_id", F.col("item_id.item_id"))
+    whole, said_ranks = materialize(part(False), "ranks-of-passages"), part(True)
+    gold = materialize(_gold(items, docs, whole).select("item_id", "doc_id"), "gold")
+    ranked = materialize(lanes(said, docs, ranked=said_ranks), "lanes")
     return recall_at(ranked, gold, 3)
 
 
