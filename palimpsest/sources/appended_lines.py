@@ -11,7 +11,7 @@ last bytes before. A file with the size and time of the last batch is not opened
 seen, or whose checksum is another, was written anew: its generation goes up and it is read from its start, after a row
 without a value that says so (start -1), so that an emptied file is told as well.
 
-Tasks get ranges of bytes. A line belongs to the range that its line break lies in, and whoever reads that range looks
+Tasks get ranges of bytes, of a bounded number of files. A line belongs to the range that its line break lies in, and whoever reads that range looks
 back for the line's start: a long file is read by many tasks, and half a line waits for the batch that sees its end. A
 last line without a break counts if it is JSON; when the break comes later, the line is not given again.
 
@@ -44,6 +44,8 @@ ARROW = pa.schema([("path", pa.string()), ("start", pa.int64()), ("generation",
 PARTITION_BYTES, TAIL_BYTES = 64 << 20, 1 << 16
 BLOCK_BYTES, BATCH_BYTES, BATCH_ROWS = 1 << 20, 4 << 20, 8192
 MARK_BYTES, THREADS = 64, 8
+#: Files that a task opens, one after the other.
+TASK_FILES = 1024
 
 
 @dataclass(frozen=True)
@@ -126,7 +128,9 @@ class Folder:
         with system.open_input_file(path) as source:
             anew = before is not None and (parsed_anew or size < before.at or _mark(source, before.at) != before.mark)
             generation = 0 if before is None else before.generation + anew
-            return Seen(size, mtime, generation, _ends_in_json(source, size, self.tail_bytes), _mark(source, size))
+            end = source.read_at(min(size, MARK_BYTES), max(0, size - MARK_BYTES))
+            told = not end.endswith(b"\n") and _ends_in_json(source, size, self.tail_bytes)
+            return Seen(size, mtime, generation, told, zlib.crc32(end) if size else 0)
 
     def state(self, before: dict) -> dict:
         """The offset of everything that is there now."""
@@ -161,7 +165,7 @@ class Folder:
                 stop = min(now.at, begin + left)
                 open_spans.append(Span(path, begin, stop, now.generation, told and first, now.told and stop == now.at, anew and first))
                 left, begin, first = left - (stop - begin), stop, False
-                if left <= 0:
+                if left <= 0 or len(open_spans) >= TASK_FILES:
                     out.append(Spans(self.root, open_spans))
                     open_spans, left = [], self.partition_bytes
         return out + ([Spans(self.root, open_spans)] if open_spans else [])
@@ -286,6 +290,10 @@ class StreamReader(DataSourceStreamReader):
     def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         return read_spans(partition)
 
+    def __getstate__(self) -> dict:
+        """A task reads its spans and needs neither the offset nor the list of files, which grow with the folder."""
+        return {"folder": None, "last": None}
+
     def commit(self, end: dict) -> None:
         pass
 
@@ -303,6 +311,10 @@ class BatchReader(DataSourceReader):
     def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         return read_spans(partition)
 
+    def __getstate__(self) -> dict:
+        """As of a stream's reader."""
+        return {"folder": None, "after": None, "until": None}
+
 
 class AppendedLines(DataSource):
     @classmethod

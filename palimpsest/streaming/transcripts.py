@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.sources import appended_lines as A
 from palimpsest.sources import transcripts as T
+from palimpsest.storage import discard, materialize
 from palimpsest.streaming.ingest import drain
 from palimpsest.streaming.session_store import ANEW, COLUMNS, SessionStore
 
@@ -53,8 +54,18 @@ def ingest_folder(store: SessionStore, folder: str, *, source: str = "main", par
     """Store what is new in a folder since the last run of this source."""
     progress = f"{store.folder}.progress/{source}"
     stream = A.appended_lines(store.spark, folder, progress, parser=parser, **options)
-    # the batch is asked for its sessions first and for its messages then: the same ranges of files, as the offsets say
-    drain(stream, lambda batch, number: store.add(by_folder(batch, adapters), source, number), progress=progress)
+
+    def write(batch: DataFrame, number: int) -> None:
+        _add(store, batch, adapters, source, number)
+
+    drain(stream, write, progress=progress)
+
+
+def _add(store: SessionStore, lines: DataFrame, adapters: Mapping[str, Adapter], source: str, number: int) -> None:
+    """Store a batch of lines. Each adapter looks at them twice, so they are written first: every file is opened once."""
+    held = materialize(lines, "lines")
+    store.add(by_folder(held, adapters), source, number)
+    discard(held)
 
 
 def _states(store: SessionStore, paths: list[str], but: str) -> dict:
@@ -91,7 +102,7 @@ def ingest_hooks(store: SessionStore, events: DataFrame, *, source: str = "hooks
         options = {"files": json.dumps(paths), "path": paths[0], "parser": PARSER}
         until = A.Folder(options).state(after)
         lines = spark.read.format(A.NAME).options(after=json.dumps(after), until=json.dumps(until), **options).load()
-        store.add(by_folder(lines, adapters), source, batch_id)
+        _add(store, lines, adapters, source, batch_id)
         states = [(path, *packed, part) for path, packed in until["files"].items()]
         spark.createDataFrame(states, STATES).write.mode("overwrite").parquet(f"{store.folder}.files/{part.removeprefix('part=')}")
 

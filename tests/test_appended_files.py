@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 import random
 
 import pytest
@@ -211,3 +212,31 @@ def test_hook_events_read_their_files_alone(spark, tmp_path, order):
         # all events again, by a source without progress
         transcripts.ingest_hooks(store, spark.readStream.schema(EVENTS).json(events), source="again")
         assert _held(store) == _wanted(a=range(5), q=[0, 1])
+
+
+def test_tasks_open_a_bounded_number_of_files_and_get_no_offset(tmp_path, monkeypatch):
+    """What a task is sent does not grow with the folder: neither the list of its files nor how far each was read."""
+    monkeypatch.setattr(A, "TASK_FILES", 7)
+    folder, progress = f"{tmp_path}/in", f"{tmp_path}/progress"
+    for i in range(40):
+        _write(f"{folder}/log-a/s{i}.jsonl", _line(f"s{i}", 1) + b"\n")
+    reader = A.StreamReader({"path": f"file://{folder}", "progress": f"file://{progress}"})
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert [len(p.spans) for p in parts] == [7] * 5 + [5] and len(end["files"]) == 40
+    assert b"jsonl" not in pickle.dumps(reader)
+    sent = pickle.loads(pickle.dumps(reader))
+    assert sorted(v for p in parts for b in sent.read(p) for v in b.column(3).to_pylist()) == sorted(_line(f"s{i}", 1).decode() for i in range(40))
+    batch = A.BatchReader({"path": f"file://{folder}", "files": json.dumps([f"file://{folder}/log-a/s{i}.jsonl" for i in range(40)]), "until": json.dumps(end)})
+    assert b"jsonl" not in pickle.dumps(batch) and len(batch.partitions()) == 6
+
+
+def test_a_batch_opens_its_files_once(spark, tmp_path, monkeypatch):
+    """Adapters look at written lines, however often each does."""
+    seen, by_folder = [], transcripts.by_folder
+    monkeypatch.setattr(transcripts, "by_folder", lambda lines, adapters: seen.append(lines._jdf.queryExecution().analyzed().toString()) or by_folder(lines, adapters))
+    _write(f"{tmp_path}/in/log-a/a.jsonl", _line("a", 1) + b"\n" + _line("a", 2) + b"\n")
+    store = SessionStore(spark, f"file://{tmp_path}/store", buckets=4)
+    transcripts.ingest_folder(store, f"file://{tmp_path}/in")
+    assert len(seen) == 1 and "parquet" in seen[0] and A.NAME not in seen[0]
+    assert _held(store) == _wanted(a=(1, 2))
